@@ -28,25 +28,31 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "idx",
                       num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (the order columns must be unique).
 
-    The range exchange is planned once and reused by both branches (counts and
-    rows), with an explicit partition count so adaptive execution does not
-    re-coalesce one branch differently from the other. The offsets table has
-    one row per partition, so broadcasting it is bounded by the partition count.
+    One range exchange sorts the rows into key ranges; the sorted partitions
+    are written once with a reliable ``checkpoint()`` (the cluster's shared
+    checkpoint folder), so the per-partition counts and the local positions
+    are read from the same fixed copy, and a lost executor cannot make a
+    recomputation draw different range bounds. The offsets table has one row
+    per partition, so broadcasting it is bounded by the partition count.
     """
+    from quire.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     n = num_partitions or _num_partitions(df)
     cols = [F.col(c) for c in order]
     ranked = (df.repartitionByRange(n, *cols)
               .sortWithinPartitions(*cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1)))
+              .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
+              .drop("_mid")
+              .checkpoint(eager=True))
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: an unpartitioned window here is over n rows, not the data
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (ranked.join(F.broadcast(offsets), "_part")
             .withColumn(name, F.col("_off") + F.col("_local"))
-            .drop("_mid", "_part", "_local", "_off"))
+            .drop("_part", "_local", "_off"))
 
 
 def take_first(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -85,14 +91,21 @@ def exact_split(df: DataFrame, id_col: str, seed: int = 42, cap: int = 32,
         .drop("_rk", "_ev", "_pos")
 
 
+def shuffle_key(df: DataFrame, id_col: str, seed: int = 42, epoch: int = 0,
+                key_col: str = "shuffle_key") -> DataFrame:
+    """W-3 key: md5 of ``seed:epoch:id``; ordering by it is the epoch's random order."""
+    return df.withColumn(key_col, hash_key(f"{seed}:{epoch}", id_col))
+
+
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, epoch: int = 0,
                    key_col: str = "shuffle_key") -> DataFrame:
     """W-3: a new random order per epoch, reproducible from (seed, epoch, id).
 
     Range partitioning on the hash spreads rows evenly however the ids are
-    skewed; the order is then partition by partition.
+    skewed; the order is then partition by partition. To number rows in this
+    order use ``shuffle_key`` + ``with_global_index`` (one exchange, not two).
     """
-    return (df.withColumn(key_col, hash_key(f"{seed}:{epoch}", id_col))
+    return (shuffle_key(df, id_col, seed, epoch, key_col)
             .repartitionByRange(F.col(key_col)).sortWithinPartitions(key_col))
 
 
