@@ -18,43 +18,76 @@ from quire.functions import logits as L
 from quire.functions import text as T
 from quire.session import checkpoint_dir
 
-CHECKPOINT_EVERY = 4
+def _checkpoint(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Reliable checkpoint; ``partitions`` caps the partition count first.
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
+    Loop state is rebuilt as a union of its finished part and the step's new
+    rows each step; without the cap the partition count would multiply.
+    """
     checkpoint_dir(df.sparkSession)
+    if partitions is not None:
+        df = df.coalesce(partitions)
     return df.checkpoint(eager=True)
 
 
-def context_of(tokens, order: int):
-    """The last ``order`` tokens (the table's context key)."""
-    return let(F.col(tokens) if isinstance(tokens, str) else tokens,
-               lambda v: F.slice(v, F.greatest(F.size(v) - (order - 1), F.lit(1)), F.lit(order)))
+def _state_partitions(df: DataFrame) -> int:
+    return max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+
+
+_ID_BITS = 21  # ids below 2**21 (code points and any vocabulary up to two million)
+
+
+def context_key(tokens, order: int):
+    """The last ``order`` tokens packed into one bigint (the table's join key).
+
+    ``order`` up to 3 fits in 63 bits; grouping and joining on a long is far
+    cheaper than on an ``array<int>``. Shorter sequences pack what they have.
+    """
+    if order > 3:
+        raise ValueError("context keys pack at most 3 ids")
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+
+    def body(v):
+        ctx = F.slice(v, F.greatest(F.size(v) - (order - 1), F.lit(1)), F.lit(order))
+        return F.aggregate(ctx, F.lit(0).cast("bigint"),
+                           lambda acc, x: F.shiftleft(acc, _ID_BITS).bitwiseOR(x.cast("bigint")))
+    return let(t, body)
+
+
+def unpack_context(key, order: int):
+    """Inverse of ``context_key`` for full contexts: ``array<int>`` of ``order`` ids."""
+    k = F.col(key) if isinstance(key, str) else key
+    mask = (1 << _ID_BITS) - 1
+    return F.array(*[F.shiftright(k, (order - 1 - j) * _ID_BITS).bitwiseAND(mask).cast("int") for j in range(order)])
 
 
 def next_token_table(df: DataFrame, ids: str = "ids", order: int = 1) -> DataFrame:
-    """G-1: ``(context, next, cnt, logprob)`` with ``logprob = ln(cnt / count(context))``.
+    """G-1: ``(context, ckey, next, cnt, logprob)`` with ``logprob = ln(cnt / count(context))``.
 
     Pairs are emitted per row (no self-join), counted with a partial
-    aggregation, and the per-context totals (one row per context) are joined
-    back; a hot context is combined map-side before any shuffle.
+    aggregation on a packed bigint context, and the per-context totals (one
+    row per context) are joined back; a hot context is combined map-side
+    before any shuffle.
     """
     def pairs(v):
         n = F.size(v)
         idx = F.when(n > order, F.sequence(F.lit(order), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(F.slice(v, i - order + 1, order).alias("context"),
-                                                   F.get(v, i).alias("next")))
-    p = df.select(F.explode(let(F.col(ids), pairs)).alias("p")).select("p.context", "p.next")
-    counts = p.groupBy("context", "next").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = counts.groupBy("context").agg(F.sum("cnt").alias("_tot"))
-    return counts.join(totals, "context").select(
-        "context", "next", "cnt", F.log(F.col("cnt") / F.col("_tot")).alias("logprob"))
+        return F.transform(idx, lambda i: F.struct(
+            F.aggregate(F.slice(v, i - order + 1, order), F.lit(0).cast("bigint"),
+                        lambda acc, x: F.shiftleft(acc, _ID_BITS).bitwiseOR(x.cast("bigint"))).alias("ckey"),
+            F.get(v, i).alias("next")))
+    p = df.select(F.explode(let(F.col(ids), pairs)).alias("p")).select("p.ckey", "p.next")
+    counts = p.groupBy("ckey", "next").agg(F.count(F.lit(1)).alias("cnt"))
+    totals = counts.groupBy("ckey").agg(F.sum("cnt").alias("_tot"))
+    return counts.join(totals, "ckey").select(
+        unpack_context("ckey", order).alias("context"), "ckey", "next", "cnt",
+        F.log(F.col("cnt") / F.col("_tot")).alias("logprob"))
 
 
 def greedy_table(table: DataFrame) -> DataFrame:
     """Per context the most likely next token (first of ties = smallest id), one row per context."""
     best = F.max_by("next", F.struct(F.col("cnt"), -F.col("next")))
-    return table.groupBy("context").agg(best.alias("next"))
+    return table.groupBy("ckey").agg(best.alias("next"))
 
 
 def top_next(table: DataFrame, k: int) -> DataFrame:
@@ -62,14 +95,14 @@ def top_next(table: DataFrame, k: int) -> DataFrame:
 
     The window's partition is one context, bounded by the vocabulary size.
     """
-    w = Window.partitionBy("context").orderBy(F.desc("logprob"), F.asc("next"))
+    w = Window.partitionBy("ckey").orderBy(F.desc("logprob"), F.asc("next"))
     return table.withColumn("k", F.row_number().over(w) - 1).filter(F.col("k") < k)
 
 
 def beam_extend(beams: DataFrame, cands: DataFrame, order: int = 1) -> DataFrame:
     """J-5: every live beam joined with its context's candidates; score += logprob."""
-    keyed = beams.withColumn("context", context_of("tokens", order))
-    j = keyed.join(cands.select("context", "next", "logprob", "k"), "context")
+    keyed = beams.withColumn("ckey", context_key("tokens", order))
+    j = keyed.join(cands.select("ckey", "next", "logprob", "k"), "ckey")
     return j.select("prompt_id", F.col("beam_id").alias("parent"), "k",
                     F.concat("tokens", F.array(F.col("next"))).alias("tokens"),
                     (F.col("score") + F.col("logprob")).alias("score"),
@@ -93,25 +126,28 @@ def beam_search(prompts: DataFrame, table: DataFrame, num_beams: int = 3, max_ne
     A prompt stops when its best beam ends in ``stop_id`` (finished beams are
     not frozen before that) or when no beam has a continuation. No length
     normalisation. Returns per prompt the best beam's new tokens and score.
+
+    The candidate table is written once; the beam state (prompts x beams) is
+    written every step, so each step's plan is a scan plus one join.
     """
-    cands = top_next(table, num_beams)
-    state = prompts.select(F.col("prompt_id"), F.lit(0).alias("beam_id"), F.col(ids).alias("tokens"),
-                           F.lit(0.0).alias("score"), F.size(ids).alias("prompt_len"),
-                           F.lit(False).alias("finished"))
-    for step in range(max_new_tokens):
-        active = state.filter(~F.col("finished"))
-        new = beam_prune(beam_extend(active.drop("finished"), cands, order), num_beams)
-        best_ends = (new.filter(F.col("beam_id") == 0)
-                     .select("prompt_id", (F.element_at("tokens", -1) == F.lit(stop_id if stop_id is not None else -1))
-                             .alias("_stop")))
-        new = new.join(best_ends, "prompt_id").withColumnRenamed("_stop", "finished")
-        dead = active.join(new.select("prompt_id").distinct(), "prompt_id", "left_anti") \
-            .withColumn("finished", F.lit(True))
-        state = state.filter(F.col("finished")).unionByName(dead).unionByName(new.select(*state.columns))
-        if (step + 1) % CHECKPOINT_EVERY == 0 or step == max_new_tokens - 1:
-            state = _checkpoint(state)
-            if state.filter(~F.col("finished")).isEmpty():
-                break
+    cands = _checkpoint(top_next(table, num_beams).select("ckey", "next", "logprob", "k"))
+    state = _checkpoint(prompts.select(
+        F.col("prompt_id"), F.lit(0).alias("beam_id"), F.col(ids).alias("tokens"), F.lit(0.0).alias("score"),
+        F.size(ids).alias("prompt_len"), F.lit(False).alias("finished")))
+    parts = _state_partitions(state)
+    per_prompt = Window.partitionBy("prompt_id")  # at most num_beams rows
+    stop = F.lit(stop_id if stop_id is not None else -1)
+    for _ in range(max_new_tokens):
+        active = state.filter(~F.col("finished")).drop("finished")
+        new = beam_prune(beam_extend(active, cands, order), num_beams)
+        new = new.withColumn("finished", F.coalesce(F.max(F.when(
+            F.col("beam_id") == 0, F.element_at("tokens", -1) == stop)).over(per_prompt), F.lit(False)))
+        dead = (active.join(new.select("prompt_id").distinct(), "prompt_id", "left_anti")
+                .withColumn("finished", F.lit(True)))
+        state = _checkpoint(state.filter(F.col("finished")).unionByName(dead)
+                            .unionByName(new.select(*state.columns)), parts)
+        if state.filter(~F.col("finished")).isEmpty():
+            break
     best = state.filter(F.col("beam_id") == 0)
     return best.select("prompt_id", F.slice("tokens", F.col("prompt_len") + 1, F.size("tokens")).alias("generated"),
                        "score")
@@ -120,8 +156,8 @@ def beam_search(prompts: DataFrame, table: DataFrame, num_beams: int = 3, max_ne
 def sampling_table(table: DataFrame) -> DataFrame:
     """Per context its next tokens and log-probabilities as arrays sorted by id (bounded by the vocabulary)."""
     srt = F.array_sort(F.collect_list(F.struct("next", "logprob")))
-    return (table.groupBy("context").agg(srt.alias("_c"))
-            .select("context", F.transform("_c", lambda x: x.getField("next")).alias("nexts"),
+    return (table.groupBy("ckey").agg(srt.alias("_c"))
+            .select("ckey", F.transform("_c", lambda x: x.getField("next")).alias("nexts"),
                     F.transform("_c", lambda x: x.getField("logprob")).alias("logits")))
 
 
@@ -133,38 +169,33 @@ def batch_generate(prompts: DataFrame, table: DataFrame, max_new_tokens: int = 1
     ``temperature`` follows M-3's rule for ``entry`` (``generate``: 0 is
     greedy; ``generate_super``: below 0.1 is greedy). Sampling is W-10 with a
     uniform from (seed, prompt, sample, step), reproducible on any cluster
-    layout. Returns the new tokens only, the stop token included.
+    layout. Returns the new tokens only, the stop token included. The lookup
+    table (one row per context) is written once, the state every step.
     """
     mode, t = L.decode_mode(temperature, entry)
-    if mode == "greedy":
-        lookup = greedy_table(table)
-    else:
-        st = sampling_table(table)
-        pick = L.seeded_sample("logits", t, top_k, seed, F.col("_u_key"), 0)
-        lookup = st
-    state = (prompts.select("prompt_id", F.col(ids).alias("tokens"), F.size(ids).alias("prompt_len"))
-             .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
-             .withColumn("done", F.lit(False)))
+    lookup = _checkpoint(greedy_table(table) if mode == "greedy" else sampling_table(table))
+    state = _checkpoint(
+        prompts.select("prompt_id", F.col(ids).alias("tokens"), F.size(ids).alias("prompt_len"))
+        .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
+        .withColumn("done", F.lit(False)))
+    parts = _state_partitions(state)
+    stop = F.lit(stop_id if stop_id is not None else -1)
     for step in range(max_new_tokens):
-        active = state.filter(~F.col("done")).withColumn("context", context_of("tokens", order))
+        active = state.filter(~F.col("done")).withColumn("ckey", context_key("tokens", order))
+        j = active.join(lookup, "ckey")
         if mode == "greedy":
-            j = active.join(lookup, "context")
             nxt = F.col("next")
         else:
-            j = active.join(lookup, "context").withColumn(
-                "_u_key", F.concat_ws(":", "prompt_id", "sample_id", F.lit(step)))
-            j = j.withColumn("_pick", pick)
-            nxt = F.get("nexts", F.col("_pick"))
-        stepped = j.select("prompt_id", "sample_id", "prompt_len",
-                           F.concat("tokens", F.array(nxt)).alias("tokens")) \
-            .withColumn("done", F.lit(stop_id is not None) & (F.element_at("tokens", -1) == F.lit(stop_id if stop_id is not None else -1)))
-        stuck = active.drop("context").join(j.select("prompt_id", "sample_id"), ["prompt_id", "sample_id"], "left_anti") \
-            .withColumn("done", F.lit(True))
-        state = state.filter(F.col("done")).unionByName(stuck).unionByName(stepped.select(*state.columns))
-        if (step + 1) % CHECKPOINT_EVERY == 0 or step == max_new_tokens - 1:
-            state = _checkpoint(state)
-            if state.filter(~F.col("done")).isEmpty():
-                break
+            u_key = F.concat_ws(":", F.col("prompt_id").cast("string"), F.col("sample_id").cast("string"), F.lit(str(step)))
+            nxt = F.get("nexts", L.seeded_sample("logits", t, top_k, seed, u_key, 0))
+        stepped = j.select("prompt_id", "sample_id", "prompt_len", F.concat("tokens", F.array(nxt)).alias("tokens"))
+        stepped = stepped.withColumn("done", F.element_at("tokens", -1) == stop)
+        stuck = (active.join(lookup.select("ckey"), "ckey", "left_anti").drop("ckey")
+                 .withColumn("done", F.lit(True)))
+        state = _checkpoint(state.filter(F.col("done")).unionByName(stuck)
+                            .unionByName(stepped.select(*state.columns)), parts)
+        if state.filter(~F.col("done")).isEmpty():
+            break
     return state.select("prompt_id", "sample_id",
                         F.slice("tokens", F.col("prompt_len") + 1, F.size("tokens")).alias("generated"))
 
