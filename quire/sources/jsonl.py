@@ -167,7 +167,7 @@ def resolve_prompts(spark: SparkSession, df: DataFrame, prompt: str = "prompt")
     if not paths:
         return df
     read = (spark.read.text(paths, wholetext=True)
-            .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("_file"),
+            .select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:(//)?", "").alias("_file"),
                     F.col("value").alias("_content")))
     # a FILE: path may name a file or a folder (then its files in name order)
     by_file = read.select(F.col("_file").alias("_path"), "_content")
@@ -175,6 +175,7 @@ def resolve_prompts(spark: SparkSession, df: DataFrame, prompt: str = "prompt")
     by_dir = (read.groupBy(F.regexp_replace("_file", "/[^/]*$", "").alias("_path"))
               .agg(F.array_join(F.transform(parts, lambda x: x.getField("_content")), "").alias("_content")))
     files = by_file.unionByName(by_dir)
-    keyed = df.withColumn("_path", F.when(is_file, F.substring(prompt, 6, 1 << 30)))
+    keyed = df.withColumn("_path", F.when(is_file, F.regexp_replace(
+        F.regexp_replace(F.substring(prompt, 6, 1 << 30), "^file:(//)?", ""), "/+$", "")))
     out = keyed.join(files, "_path", "left")
     return out.withColumn(prompt, F.when(is_file, F.col("_content")).otherwise(F.col(prompt))).drop("_path", "_content")
