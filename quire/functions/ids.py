@@ -32,9 +32,15 @@ def codepoint_ids(text) -> Column:
     ``<|im_start|>`` and ``<|im_end|>`` spelled in the text become ids 3 and 4,
     as a trained tokenizer would do with its special tokens.
     """
-    pieces = F.regexp_extract_all(col_of(text), F.lit(_CP_PATTERN), 0)
-    return F.transform(pieces, lambda p: F.when(p == BOS, F.lit(BOS_ID))
-                       .when(p == EOS, F.lit(EOS_ID)).otherwise(F.ascii(p)))
+    t = col_of(text)
+    pieces = F.regexp_extract_all(t, F.lit(_CP_PATTERN), 0)
+    special = F.transform(pieces, lambda p: F.when(p == BOS, F.lit(BOS_ID))
+                          .when(p == EOS, F.lit(EOS_ID)).otherwise(F.ascii(p)))
+    # fast path: most texts spell no special token; split('') yields code points
+    plain = F.transform(F.split(t, ""), lambda c: F.ascii(c))
+    return (F.when(t.contains("<|im_"), special)
+            .when(F.length(t) == 0, F.array().cast(_EMPTY_INT))
+            .otherwise(plain))
 
 
 def codepoint_header(text: str = "<|im_start|>assistant\n") -> list[int]:

@@ -69,14 +69,14 @@ def next_token_table(df: DataFrame, ids: str = "ids", order: int = 1) -> DataFra
     row per context) are joined back; a hot context is combined map-side
     before any shuffle.
     """
-    def pairs(v):
-        n = F.size(v)
-        idx = F.when(n > order, F.sequence(F.lit(order), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(
-            F.aggregate(F.slice(v, i - order + 1, order), F.lit(0).cast("bigint"),
-                        lambda acc, x: F.shiftleft(acc, _ID_BITS).bitwiseOR(x.cast("bigint"))).alias("ckey"),
-            F.get(v, i).alias("next")))
-    p = df.select(F.explode(let(F.col(ids), pairs)).alias("p")).select("p.ckey", "p.next")
+    # order + 1 shifted views of the row's ids, zipped: one struct per position
+    n = F.size(ids)
+    views = [F.slice(ids, j + 1, F.greatest(n - order, F.lit(0))).alias(f"c{j}") for j in range(order + 1)]
+    z = df.select(F.explode(F.arrays_zip(*views)).alias("p"))
+    key = F.lit(0).cast("bigint")
+    for j in range(order):
+        key = F.shiftleft(key, _ID_BITS).bitwiseOR(F.col(f"p.c{j}").cast("bigint"))
+    p = z.select(key.alias("ckey"), F.col(f"p.c{order}").alias("next"))
     counts = p.groupBy("ckey", "next").agg(F.count(F.lit(1)).alias("cnt"))
     totals = counts.groupBy("ckey").agg(F.sum("cnt").alias("_tot"))
     return counts.join(totals, "ckey").select(

@@ -11,11 +11,24 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def load_table(spark: SparkSession, root: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    A Parquet split is a row group; a file written as one row group is one
+    task however large its rows' per-row work is. At scale a scan yields far
+    more splits than cores and this is a no-op (no shuffle is added).
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+def load_table(spark: SparkSession, root: str, name: str, columns: list[str] | None = None,
+               spread_rows: bool = True) -> DataFrame:
     """One table of a data set folder; ``columns`` prunes the scan at the source."""
     path = os.path.join(root, name if name.endswith(".parquet") else f"{name}.parquet")
     df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return spread(df) if spread_rows else df
 
 
 def load_split(spark: SparkSession, root: str, split: str, fmt: str | None = None) -> DataFrame:
