@@ -341,8 +341,13 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = 6144, min_fre
             raise ValueError(f"special token {t!r} must have id {i}")
     merges: list[tuple[str, str]] = []
     wc = word_table if word_table is not None else word_counts(df, text)
+    # the distinct-word table is small next to the corpus and adaptive execution
+    # would pack it into a task or two; spread it explicitly, once, so every
+    # round's array work runs on all cores, then write it down
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     words = (wc.select(word_symbols("word").alias("syms"), F.col("cnt").cast("bigint"))
              .filter(F.size("syms") >= 2)
+             .repartition(parts)
              .checkpoint(eager=True))
     rounds, sizes, prev = 0, [], None
     while len(vocab) < vocab_size:
