@@ -278,3 +278,17 @@ def preview(spark, d):
     a = R.first_turn(long, "assistant", out="am")
     firsts = u.join(a, "conv_id", "full_outer")
     return R.preview(firsts, {"user_message": "um", "assistant_message": "am"}, n=3, max_chars=80, order=["conv_id"])
+
+
+# ---------------------------------------------------------------- R-3, R-4
+@query("render_bracketed", "R-4 R-3", f"""
+SELECT item_id, '<|im_start|>' || text || '<|im_end|>' AS bracketed,
+       len({sql_cp("'<|im_start|>' || text || '<|im_end|>'")}) AS n_ids,
+       len({sql_cp("'<|im_start|>' || text")}) AS n_ids_pretrain
+FROM benchmark
+""")
+def render_bracketed(spark, d):
+    b = table(spark, d, "benchmark", "item_id", "text")
+    return b.select("item_id", C.render_bracketed("text").alias("bracketed"),
+                    F.size(I.codepoint_ids(C.render_bracketed("text"))).alias("n_ids"),
+                    F.size(I.codepoint_ids(C.render_pretrain("text"))).alias("n_ids_pretrain"))
