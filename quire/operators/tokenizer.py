@@ -134,11 +134,10 @@ def whitespace_word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def pair_counts(words: DataFrame, symbols: str = "symbols", cnt: str = "cnt") -> DataFrame:
     """A-9: adjacent-symbol pair counts weighted by word frequency."""
-    def pairs(v):
-        n = F.size(v)
-        idx = F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(F.get(v, i).alias("left"), F.get(v, i + 1).alias("right")))
-    p = words.select(F.explode(let(F.col(symbols), pairs)).alias("p"), F.col(cnt).alias("_c"))
+    n = F.size(symbols)
+    z = F.arrays_zip(F.slice(symbols, 1, F.greatest(n - 1, F.lit(0))).alias("left"),
+                     F.slice(symbols, 2, F.greatest(n - 1, F.lit(0))).alias("right"))
+    p = words.select(F.explode(z).alias("p"), F.col(cnt).alias("_c"))
     return p.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(
         F.sum("_c").alias("cnt"))
 
@@ -293,13 +292,16 @@ class _Codec:
 
 # ---------------------------------------------------------------- T-5
 def _stats(words: DataFrame) -> DataFrame:
-    """(left, right, third-or-null, weighted count) per position: pairs and triples in one shuffle."""
-    def grams(v):
-        n = F.size(v)
-        idx = F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.struct(F.get(v, i).alias("l"), F.get(v, i + 1).alias("r"),
-                                                   F.get(v, i + 2).alias("t")))
-    g = words.select(F.explode(let(F.col("syms"), grams)).alias("g"), "cnt")
+    """(left, right, third-or-null, weighted count) per position: pairs and triples in one shuffle.
+
+    Three shifted views of each word zipped together; ``arrays_zip`` pads the
+    shorter third view with null at the last pair.
+    """
+    n = F.size("syms")
+    z = F.arrays_zip(F.slice("syms", 1, F.greatest(n - 1, F.lit(0))).alias("l"),
+                     F.slice("syms", 2, F.greatest(n - 1, F.lit(0))).alias("r"),
+                     F.slice("syms", 3, F.greatest(n - 2, F.lit(0))).alias("t"))
+    g = words.select(F.explode(z).alias("g"), "cnt")
     return g.groupBy(F.col("g.l").alias("l"), F.col("g.r").alias("r"), F.col("g.t").alias("t")).agg(
         F.sum("cnt").alias("c"))
 
@@ -319,7 +321,10 @@ def _apply_merges(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
         hit = F.when(F.size(acc) > 0, F.try_element_at(m, last.cast("bigint") * _KEY_SHIFT + x))
         return F.when(hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))) \
             .otherwise(F.concat(acc, F.array(x)))
-    return F.aggregate(syms, F.array().cast("array<int>"), step)
+    folded = F.aggregate(syms, F.array().cast("array<int>"), step)
+    # most words hold none of the round's left symbols: keep them as they are
+    lefts = int_array(sorted({a for a, _, _ in merges}))
+    return F.when(F.arrays_overlap(syms, lefts), folded).otherwise(syms)
 
 
 def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = 6144, min_frequency: int = 2,
