@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import chat as C
@@ -45,10 +45,43 @@ def collect_turns(long_df: DataFrame, key: str = "conv_id", order: str = "turn",
                     .alias("conversations")))
 
 
+def first_turns(long_df: DataFrame, n: int, key: str = "conv_id", order: str = "turn",
+                bucket: int = 1024) -> DataFrame:
+    """The first ``n`` rows of every ``key`` in ``order``, without gathering a whole group.
+
+    Rows are counted per (key, order bucket) with a partial aggregation; a
+    small table (one row per key and bucket) finds, per key, the bucket that
+    holds the n-th row; rows past it are dropped before any shuffle of the
+    turns. At most ``n + bucket`` rows per key remain; the exact cut to ``n``
+    is left to the consumer (``collect_messages`` slices). ``order`` must be
+    an integer position. The bucket table of a hot key is ``bucket`` times
+    smaller than the key's rows.
+    """
+    b = F.floor(F.col(order) / bucket).cast("bigint")
+    counts = long_df.groupBy(key, b.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    keep = before.filter(F.col("_before") < n).select(key, "_b")
+    return long_df.withColumn("_b", b).join(keep, [key, "_b"], "left_semi").drop("_b")
+
+
 def collect_messages(long_df: DataFrame, key: str = "conv_id", order: str = "turn",
                      sender: str = "role", text: str = "text", system: str = C.DEFAULT_SYSTEM,
-                     sender_map: dict[str, str] | None = None) -> DataFrame:
-    """P-3: the same messages P-2 would give, from turn-per-row input."""
+                     sender_map: dict[str, str] | None = None, max_turns: int | None = None) -> DataFrame:
+    """P-3: the same messages P-2 would give, from turn-per-row input.
+
+    ``max_turns`` keeps only the first ``max_turns`` known turns of each key
+    (``first_turns``), so a very long conversation is never gathered whole;
+    ``sft_max_turns`` gives the exact bound for a training-row length.
+    """
+    if max_turns is not None:
+        s = F.col(sender)
+        kept_names = {k for k, v in (sender_map or {}).items() if v in ("human", "assistant")} | {"human", "assistant"}
+        known = long_df.filter(s.isin(*sorted(kept_names)))
+        turns = collect_turns(first_turns(known, max_turns, key, order), key, order, sender, text, sender_map)
+        turns = turns.withColumn("conversations", F.slice("conversations", 1, max_turns))
+        return turns.select(key, C.to_messages("conversations", system).alias("messages"),
+                            F.lit(None).cast("int").alias("dropped_turns"))
     turns = collect_turns(long_df, key, order, sender, text, sender_map)
     return turns.select(key, C.to_messages("conversations", system).alias("messages"),
                         C.dropped_turns("conversations").alias("dropped_turns"))
@@ -104,3 +137,13 @@ def number_rows(df: DataFrame, order: list[str], name: str = "number") -> DataFr
     """P-13: 1-based numbering in ``order`` without a single-partition window."""
     from quire.operators.split import with_global_index
     return with_global_index(df, order, "_idx").withColumn(name, F.col("_idx") + 1).drop("_idx")
+
+
+def sft_max_turns(max_length: int = 512) -> int:
+    """Known turns that can reach a training row of ``max_length`` tokens.
+
+    Every rendered message costs at least four tokens (bos, its role, eos and
+    the closing newline, which special tokens keep apart from its neighbours),
+    so no message past position ``max_length // 4`` can appear in the row.
+    """
+    return max_length // 4

@@ -103,6 +103,13 @@ def conv_messages(spark, d):
     return R.collect_messages(long, "conv_id", "turn", "role", "text", sender_map=_RAW_MAP)
 
 
+def conv_messages_for_rows(spark, d, max_length: int = 512):
+    """Messages cut to the turns that can reach a ChatML training row (exact for ``max_length``)."""
+    long = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    return R.collect_messages(long, "conv_id", "turn", "role", "text", sender_map=_RAW_MAP,
+                              max_turns=R.sft_max_turns(max_length))
+
+
 @query("to_messages", "P-2 P-3 P-4 P-5", f"""
 WITH {SQL_MSGS}
 SELECT conv_id, array_to_string(list_transform(m, lambda x: x.role), ',') AS roles,
@@ -173,7 +180,7 @@ SELECT conv_id, n_tokens, text_len, {sql_join("p[1:511]")} AS X, {sql_join("p[2:
 FROM masked
 """)
 def sft_rows(spark, d):
-    rows = B.sft_rows(conv_messages(spark, d), "messages", I.codepoint_ids, H, 512, keep=["conv_id"])
+    rows = B.sft_rows(conv_messages_for_rows(spark, d), "messages", I.codepoint_ids, H, 512, keep=["conv_id"])
     return rows.select("conv_id", "n_tokens", "text_len", _j("X").alias("X"), _j("Y").alias("Y"),
                        _j("loss_mask").alias("loss_mask"))
 

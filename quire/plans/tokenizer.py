@@ -14,7 +14,7 @@ from quire.functions import chat as C
 from quire.functions import ids as I
 from quire.operators import rows as B
 from quire.operators import tokenizer as TK
-from quire.plans.corpus import _j, conv_messages, doc_chunks
+from quire.plans.corpus import _j, conv_messages, conv_messages_for_rows, doc_chunks
 from quire.plans.registry import query, sql_cp, table
 from quire.session import scratch_dir
 
@@ -177,6 +177,6 @@ def bpe_pretrain_rows(spark, d):
 @query("bpe_sft_rows", "B-ROW-8 B-ROW-5 T-6")
 def bpe_sft_rows(spark, d):
     m = trained(spark, d)
-    msgs = conv_messages(spark, d)
+    msgs = conv_messages_for_rows(spark, d)
     rows = B.sft_rows(msgs, "messages", m.encoder(spark), m.header_ids(C.ASSISTANT_HEADER), 512, keep=["conv_id"])
     return rows.select("conv_id", "n_tokens", "text_len", _j("loss_mask").alias("loss_mask"))

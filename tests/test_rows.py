@@ -142,3 +142,16 @@ def test_exact_split_is_partition(spark):
     assert sp.filter(F.col("split") == "test").count() == 7
     v = S.split_is_partition(df, sp.filter("split = 'train'"), sp.filter("split = 'test'"), "doc_id").collect()
     assert all(r.violations == 0 for r in v)
+
+
+def test_bounded_turns_give_the_same_sft_row(spark):
+    from quire.operators import reshape as R
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(600)]
+    turns += [(2, t, ["system", "user", "assistant"][t % 3], "x" * (t % 7)) for t in range(300)]
+    long = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    full = R.collect_messages(long, sender_map={"user": "human"})
+    cut = R.collect_messages(long, sender_map={"user": "human"}, max_turns=R.sft_max_turns(512))
+    a = {r.conv_id: (r.X, r.loss_mask) for r in B.sft_rows(full, keep=["conv_id"]).collect()}
+    b = {r.conv_id: (r.X, r.loss_mask) for r in B.sft_rows(cut, keep=["conv_id"]).collect()}
+    assert a == b
+    assert max(len(r.messages) for r in cut.collect()) <= R.sft_max_turns(512) + 1
