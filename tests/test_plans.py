@@ -10,11 +10,13 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 SF = "/root/testdata/sf0.001"
 
-# cheap, SQL-checked queries spanning every operator family
-ORACLE_SAMPLE = ["chunk_text", "pretrain_length_report", "sft_rows", "sft_segment_rows", "preference_pairs",
-                 "preview", "exact_split", "assign_batches", "batch_plan", "left_pad_pack", "rewards",
-                 "accuracy_delta", "reward_groups", "loss_by_batch", "cross_entropy", "seeded_sample",
-                 "pair_counts", "token_lookup", "next_token_table", "beam_step", "load_report"]
+def _oracle_names():
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    import __spark_entry__ as E
+    return sorted(E.oracle_sql())
+
+
+ORACLE_ALL = _oracle_names()
 
 
 def plan_text(df):
@@ -29,7 +31,7 @@ def test_entry_contract(spark):
     assert set(o) <= set(q) and len(q) >= 70
 
 
-@pytest.mark.parametrize("name", ORACLE_SAMPLE)
+@pytest.mark.parametrize("name", ORACLE_ALL)
 def test_oracle_sample(spark, name):
     import duckdb
     from oracle_check import TABLES, norm
