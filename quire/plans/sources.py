@@ -11,7 +11,8 @@ import os
 from pyspark.sql import functions as F
 
 from quire.functions import chat as C
-from quire.plans.corpus import SQL_MSGS, conv_messages, doc_chunks
+from quire.operators import rows as B
+from quire.plans.corpus import _PRE_SQL, SQL_MSGS, conv_messages, doc_chunks
 from quire.plans.registry import SQL_CHUNKS, query, table
 from quire.session import scratch_dir
 from quire.sources import jsonl as J
@@ -131,3 +132,37 @@ def stream_loss_by_batch(spark, d):
     steps = ev.select("event_id", F.col("value").alias("loss"), (F.col("event_type") != "error").cast("int").alias("mask"))
     rep = ST.running_masked_loss(spark, steps, "loss", "mask", "event_id", 100)
     return rep.select("log_step", F.round("masked_mean", 9).alias("masked_mean"), "mask_sum")
+
+
+@query("stream_pretrain_length_report", "ST-1 B-ROW-7 B-ROW-13", _PRE_SQL + """
+SELECT lang, count(*) AS n_rows, CAST(sum(text_len) AS BIGINT) AS sum_text_len,
+       CAST(sum(512 - text_len) AS BIGINT) AS sum_padding_len,
+       round(avg(text_len), 6) AS avg_text_len, max(text_len) AS max_text_len,
+       quantile_cont(text_len, 0.5) AS median_text_len,
+       round(avg(CASE WHEN n_tokens > 512 THEN 1.0 ELSE 0.0 END), 6) AS share_truncated
+FROM padded GROUP BY lang
+""")
+def stream_pretrain_length_report(spark, d):
+    schema = table(spark, d, "documents").schema
+    rows = ST.stream_pretrain_rows(spark, d, schema, "documents.parquet")
+    return B.length_report(rows, ["lang"], 512)
+
+
+@query("stream_load_report", "ST-1 S-1 A-10", f"""
+WITH {SQL_CHUNKS}
+SELECT 'good' AS reason, count(*) AS n_lines FROM chunks
+UNION ALL SELECT 'missing_text', count(*) FROM documents
+UNION ALL SELECT 'not_object', count(*) FROM documents
+UNION ALL SELECT 'bad_json', count(*) FROM documents
+""")
+def stream_load_report(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text", "n_chars")
+    lines = (doc_chunks(spark, d).select(F.to_json(F.struct("text")).alias("value"))
+             .unionByName(docs.select(F.to_json(F.struct("doc_id")).alias("value")))
+             .unionByName(docs.select(F.col("n_chars").cast("string").alias("value")))
+             .unionByName(docs.select(F.concat(F.lit("raw: "), F.substring_index("text", "\n", 1)).alias("value"))))
+    src = scratch_dir(spark, "mixed-jsonl-stream")
+    lines.write.text(src)
+    good, rejects = ST.stream_lenient_jsonl(spark, src)
+    return good.agg(F.count(F.lit(1)).alias("n_lines")).withColumn("reason", F.lit("good")) \
+        .unionByName(J.load_report(rejects)).select("reason", "n_lines")

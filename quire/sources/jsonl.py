@@ -99,9 +99,23 @@ def read_jsonl_text(spark: SparkSession, path, text_field: str = "text") -> tupl
     stops with an error). Duplicate keys keep the last value.
     """
     lines = numbered_lines(spark, path, None)
-    v = F.try_parse_json("value")
+    reason, text = lenient_parse("value", text_field)
+    staged = lines.select("file", "line_no", reason.alias("reason"), text.alias(text_field))
+    good = staged.filter(F.col("reason").isNull()).select("file", "line_no", text_field)
+    rejects = staged.filter(F.col("reason").isNotNull()).select("file", "line_no", "reason")
+    return good, rejects
+
+
+def lenient_parse(value="value", text_field: str = "text"):
+    """S-1's classification as two column expressions ``(reason, text)``.
+
+    ``reason`` is null for a kept line. Stateless, so it also runs on a
+    streaming ``readStream.text`` source (ST-1).
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    v = F.try_parse_json(value)
     kind = F.schema_of_variant(v)
-    fallback = F.from_json("value", f"struct<{text_field}:string>").getField(text_field)
+    fallback = F.from_json(value, f"struct<{text_field}:string>").getField(text_field)
     present = F.variant_get(v, f"$.{text_field}", "variant").isNotNull()
     reason = (F.when(v.isNull() & fallback.isNull(), F.lit("bad_json"))
               .when(v.isNull(), F.lit(None))
@@ -109,10 +123,7 @@ def read_jsonl_text(spark: SparkSession, path, text_field: str = "text") -> tupl
               .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit("missing_text"))
               .otherwise(F.lit("not_object")))
     text = F.when(v.isNull(), fallback).otherwise(F.try_variant_get(v, f"$.{text_field}", "string"))
-    staged = lines.select("file", "line_no", reason.alias("reason"), text.alias(text_field))
-    good = staged.filter(F.col("reason").isNull()).select("file", "line_no", text_field)
-    rejects = staged.filter(F.col("reason").isNotNull()).select("file", "line_no", "reason")
-    return good, rejects
+    return reason, text
 
 
 def load_report(rejects: DataFrame) -> DataFrame:

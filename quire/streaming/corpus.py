@@ -12,8 +12,11 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import ids as I
 from quire.operators.reshape import chunk_text
+from quire.operators.rows import pretrain_rows
 from quire.session import scratch_dir
+from quire.sources.jsonl import lenient_parse
 
 
 def read_stream(spark: SparkSession, source_dir: str, schema, file_glob: str | None = None,
@@ -73,3 +76,31 @@ def latest_report(updates: DataFrame) -> DataFrame:
     return (updates.groupBy("log_step").agg(last.alias("v"))
             .select("log_step", F.try_divide(F.col("v.num"), F.col("v.mask_sum")).alias("masked_mean"),
                     F.col("v.mask_sum").alias("mask_sum")))
+
+
+def stream_pretrain_rows(spark: SparkSession, source_dir: str, schema, file_glob: str | None = None,
+                         text: str = "text", keep=("doc_id", "lang"), encoder=I.codepoint_ids,
+                         max_length: int = 512) -> DataFrame:
+    """ST-1: P-1 -> R-3 -> encode -> B-ROW-1..4 on a stream into an append sink."""
+    src = read_stream(spark, source_dir, schema, file_glob)
+    rows = pretrain_rows(chunk_text(src, text), text, encoder, max_length, keep=[*keep, "chunk_id"])
+    out = scratch_dir(spark, "stream-rows")
+    run_append(rows, os.path.join(out, "data"), os.path.join(out, "_checkpoint"))
+    return spark.read.parquet(os.path.join(out, "data"))
+
+
+def stream_lenient_jsonl(spark: SparkSession, source_dir: str, text_field: str = "text") -> tuple[DataFrame, DataFrame]:
+    """ST-1: S-1's lenient reader on a stream of JSON-lines files: kept texts and rejects, both appended.
+
+    Line numbers need the whole file's order, so the stream form reports the
+    file and the reason instead.
+    """
+    src = (spark.readStream.format("text").load(source_dir)
+           .select("value", F.col("_metadata.file_path").alias("file")))
+    reason, text = lenient_parse("value", text_field)
+    staged = src.select("file", reason.alias("reason"), text.alias(text_field))
+    out = scratch_dir(spark, "stream-jsonl")
+    run_append(staged, os.path.join(out, "data"), os.path.join(out, "_checkpoint"))
+    res = spark.read.parquet(os.path.join(out, "data"))
+    return (res.filter(F.col("reason").isNull()).select("file", text_field),
+            res.filter(F.col("reason").isNotNull()).select("file", "reason"))
