@@ -17,6 +17,9 @@ _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row in
 
 # Largest row set we hand to a broadcast join by construction.
 BROADCAST_ROWS_MAX = 1_000_000
+# Largest eval set taken by one top-n (gathered in one task) before the
+# distributed global index takes over.
+TOP_N_MAX = 100_000
 
 
 def _num_partitions(df: DataFrame) -> int:
@@ -75,13 +78,13 @@ def exact_split(df: DataFrame, id_col: str, seed: int = 42, cap: int = 32,
     """W-2: an exact eval split of ``min(cap, max(1, rows//10))`` rows ranked by a seeded hash.
 
     The eval ids come from a top-n (bounded by ``cap``) and are broadcast when
-    ``cap`` is within the broadcast bound; otherwise positions come from the
+    the eval size is at most ``TOP_N_MAX``; beyond that positions come from the
     distributed global index. Every row is kept and labelled.
     """
     rows = df.count()
     n_eval = eval_size(rows, cap=cap)
     keyed = df.withColumn("_rk", hash_key(seed, id_col))
-    if n_eval <= BROADCAST_ROWS_MAX:
+    if n_eval <= TOP_N_MAX:
         ev = keyed.select(id_col, "_rk").orderBy("_rk", id_col).limit(n_eval).select(
             id_col, F.lit(True).alias("_ev"))
         out = keyed.join(F.broadcast(ev), id_col, "left")

@@ -155,3 +155,12 @@ def test_bounded_turns_give_the_same_sft_row(spark):
     b = {r.conv_id: (r.X, r.loss_mask) for r in B.sft_rows(cut, keep=["conv_id"]).collect()}
     assert a == b
     assert max(len(r.messages) for r in cut.collect()) <= R.sft_max_turns(512) + 1
+
+
+def test_exact_split_large_eval_uses_global_index(spark, monkeypatch):
+    monkeypatch.setattr(S, "TOP_N_MAX", 3)
+    df = spark.range(200).withColumnRenamed("id", "doc_id")
+    a = {r.doc_id for r in S.exact_split(df, "doc_id", 42, 32).filter("split = 'test'").collect()}
+    monkeypatch.setattr(S, "TOP_N_MAX", 100_000)
+    b = {r.doc_id for r in S.exact_split(df, "doc_id", 42, 32).filter("split = 'test'").collect()}
+    assert a == b and len(a) == 20

@@ -86,3 +86,11 @@ def test_word_symbols_and_pretokenize(spark):
     assert words == regex.findall(TK.PRETOKEN_PATTERN, "Hello  world's é!")
     syms = spark.createDataFrame([("é",)], "w string").select(TK.word_symbols("w").alias("s")).first().s
     assert syms == [TK.BYTE_IDS[b] for b in "é".encode("utf-8")]
+
+
+def test_approximate_rounds_fill_the_vocabulary(spark, corpus):
+    m = TK.train_bpe(corpus, "text", vocab_size=300, exact=False)
+    assert len(m.vocab) == 300 and len(m.merges) >= 39
+    assert m.rounds < 39  # several merges per round
+    tok2id = m.token_to_id
+    assert all(a + b in tok2id for a, b in m.merges)
