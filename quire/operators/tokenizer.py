@@ -191,6 +191,8 @@ class BpeModel:
 
     # T-8
     def save(self, directory: str) -> None:
+        from quire.session import local_path
+        directory = local_path(directory)
         os.makedirs(directory, exist_ok=True)
         tok = {"model": {"type": "BPE", "vocab": self.token_to_id,
                          "merges": [[a, b] for a, b in self.merges]},
@@ -205,6 +207,8 @@ class BpeModel:
 
     @classmethod
     def load(cls, directory: str) -> "BpeModel":
+        from quire.session import local_path
+        directory = local_path(directory)
         with open(os.path.join(directory, "tokenizer.json"), encoding="utf-8") as f:
             tok = json.load(f)
         v = tok["model"]["vocab"]

@@ -67,3 +67,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def local_path(path: str) -> str:
+    """A ``file:`` URI as a plain local path (for Python file I/O); other paths unchanged."""
+    if path.startswith("file://"):
+        return path[len("file://"):] if path.startswith("file:///") else "/" + path[len("file://"):].lstrip("/")
+    if path.startswith("file:"):
+        return path[len("file:"):]
+    return path
