@@ -14,7 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm import stages
 
 STAGES = [
+    ("language_id", stages.language_id),
+    ("quality_rules", stages.quality_rules),
     ("near_dedup", stages.near_dedup),
+    ("secret_scan", stages.secret_scan),
+    ("packing", stages.pack),
 ]
 
 # SimHash needs XXH64 of word shingles and packing needs BPE, neither of which SQL has.

@@ -27,3 +27,73 @@ def op7(spark, d):
     from quire.llm import simhash
     return (simhash.near_duplicates(table(spark, d, "documents"), "doc_id", "text", ngram=3, radius=3)
             .select("doc_id", "fingerprint", "component_id"))
+
+
+@query("op4_quality_rules", r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t,
+                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(5) t(k) GROUP BY 1),
+m AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS spoken,
+             CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper,
+             CAST(length(regexp_replace(t, '[^!]', '', 'g')) AS BIGINT) AS n_bangs,
+             CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines,
+             CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN rep USING (doc_id)),
+d AS (SELECT *, CAST(len(spoken) - len(list_distinct(spoken)) AS BIGINT) AS n_dup_lines FROM m),
+b AS (SELECT *, CAST(CAST(n_words < 10 AS INT) + 2 * CAST(100 * n_repeat_words > 20 * n_words AS INT)
+             + 4 * CAST(10 * n_symbols > n_words AS INT)
+             + 8 * CAST(word_chars < 2 * n_words OR word_chars > 20 * n_words AS INT)
+             + 16 * CAST(2 * n_dup_lines > n_lines AS INT) + 32 * CAST(2 * n_upper > word_chars AS INT)
+             + 64 * CAST(4 * n_bangs > n_words AS INT) AS BIGINT) AS bits FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits
+FROM b
+""")
+def op4(spark, d):
+    from quire.llm import quality as Q
+    rows = Q.ledger(table(spark, d, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (~Q.apply_policy("bits", "base-1")).alias("base_failed"),
+                       Q.apply_policy("bits", "default-1").alias("kept"), "bits")
+
+
+@query("op8_secret_scan")
+def op8(spark, d):
+    from quire.llm import secrets as X
+    found = X.find_secrets(table(spark, d, "documents"))
+    return found.select("doc_id", *[X.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(X.listed(F.col("base")), 256).alias("base_sha256"), X.listed(F.col("spans")).alias("spans"))
+
+
+@query("op2_token_counts")
+def op2(spark, d):
+    from quire.llm import bpe, token_counts as C
+    return C.context_report(C.length_histogram(bpe.count_tokens(table(spark, d, "documents"))))
+
+
+@query("op6_packing")
+def op6(spark, d):
+    from quire.llm import bpe, packing
+    from quire.llm.common import cut
+    # the counts are read twice (histogram, places), so they are written once
+    return packing.pack(cut(bpe.count_tokens(table(spark, d, "documents"))))
+
+
+@query("op10_bpe_round_trip")
+def op10(spark, d):
+    from quire.llm import bpe
+    ids = bpe.encode(table(spark, d, "documents"), carry=["doc_id"])
+    done = bpe.decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                                 F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids"),
+                      carry=["doc_id", "n_tokens", "ids_sha256"])
+    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op5_language_id")
+def op5(spark, d):
+    from quire.llm import language
+    return language.identify(table(spark, d, "documents")).select(
+        "doc_id", "language", "posterior", "declared", "host", "n_trigrams", "kept")

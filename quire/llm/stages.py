@@ -9,8 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm import simhash
-from quire.llm.common import row_key
+from quire.llm import bpe, language, packing, quality, secrets, simhash
+from quire.llm.common import cut, row_key
+
+
+def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the corpus's languages go."""
+    return language.keep_documents(docs)
+
+
+def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the default policy rejects go."""
+    return quality.keep_documents(docs, "default-1")
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,3 +34,13 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = (keyed.doc_id.eqNullSafe(best["__id"])) & (keyed["__key"] == best["__best"])
     return (keyed.join(best, stay, "left_semi")
             .dropDuplicates(["doc_id", "__key"]).select(*[docs[c] for c in docs.columns]))
+
+
+def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark; no document goes."""
+    return secrets.scrub(docs)
+
+
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, then a place in a bucket and batch for every sequence."""
+    return packing.pack(cut(bpe.count_tokens(docs)))
