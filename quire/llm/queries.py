@@ -97,3 +97,9 @@ def op5(spark, d):
     from quire.llm import language
     return language.identify(table(spark, d, "documents")).select(
         "doc_id", "language", "posterior", "declared", "host", "n_trigrams", "kept")
+
+
+@query("op9_license_scan")
+def op9(spark, d):
+    from quire.llm import licenses
+    return licenses.scan(table(spark, d, "documents"))
