@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.fingerprints import HALVINGS
+
 QUERIES = {}
 ORACLES = {}
 
@@ -103,3 +105,45 @@ def op5(spark, d):
 def op9(spark, d):
     from quire.llm import licenses
     return licenses.scan(table(spark, d, "documents"))
+
+
+_IN_SUBSET = ", ".join(f"CAST('0x' || substr(md5('{k}:' || term), 1, 4) AS INT) % {1 << h} = 0" for k, h in enumerate(HALVINGS))
+_LIKE = """CASE WHEN len(list_filter({z}, lambda p: p[1] <> '--------' OR p[2] <> '--------')) = 0 THEN 1.0
+  ELSE len(list_filter({z}, lambda p: p[1] = p[2] AND p[1] <> '--------'))::DOUBLE
+  / len(list_filter({z}, lambda p: p[1] <> '--------' OR p[2] <> '--------')) END"""
+
+
+def _like(a: str, b: str) -> str:
+    return _LIKE.format(z=f"list_transform(range(1, {len(HALVINGS) + 1}), lambda i: [string_split({a}, '.')[i], string_split({b}, '.')[i]])")
+
+
+@query("op1_imatch_fingerprints", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt,
+             coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
+e AS (SELECT *, substr(t, 1, n - n // 4) || substr(nt, 1, n // 4) AS ed FROM n),
+tw AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(t, '[ 	-
+]+'))) AS term FROM e),
+ew AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(ed, '[ 	-
+]+'))) AS term FROM e),
+c AS (SELECT count(*) AS docs FROM d),
+df AS (SELECT term, count(*) AS df FROM tw WHERE term <> '' GROUP BY 1),
+df2 AS (SELECT term, df FROM df, c WHERE df >= greatest(2, docs * 0.0005 - 1e-9)),
+s AS (SELECT sum(df) AS terms FROM df2),
+lex AS (SELECT term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS code, [{_IN_SUBSET}] AS inside
+        FROM df2, c, s WHERE df >= greatest(docs * 0.0005, terms / 200000) - 1e-9 AND df <= docs * 0.5 + 1e-9),
+hit AS (SELECT doc_id, 0 AS side, code, inside FROM tw JOIN lex USING (term)
+        UNION ALL SELECT doc_id, 1, code, inside FROM ew JOIN lex USING (term)),
+sig AS (SELECT doc_id, side, k, substr(sha256(string_agg(CAST(code AS VARCHAR), ' ' ORDER BY code)), 1, 8) AS s
+        FROM hit, range(1, {len(HALVINGS) + 1}) r(k) WHERE inside[k] GROUP BY 1, 2, 3),
+fp AS (SELECT doc_id, side, string_agg(coalesce(s, '--------'), '.' ORDER BY k) AS f
+       FROM (SELECT doc_id, side, k FROM d, range(2) x(side), range(1, {len(HALVINGS) + 1}) r(k)) LEFT JOIN sig USING (doc_id, side, k)
+       GROUP BY 1, 2),
+a AS (SELECT e.doc_id, e.n, e.ed, o.f AS f, m.f AS g, x.f AS h FROM e JOIN fp o ON o.doc_id = e.doc_id AND o.side = 0
+      JOIN fp m ON m.doc_id = e.doc_id AND m.side = 1 JOIN fp x ON x.doc_id = e.next_id AND x.side = 0)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, f AS fingerprint, g AS edited_fingerprint,
+       {_like('f', 'g')} AS near_edited, {_like('f', 'h')} AS near_next FROM a
+""")
+def op1(spark, d):
+    from quire.llm import fingerprints
+    return fingerprints.edited_pairs(table(spark, d, "documents"))
