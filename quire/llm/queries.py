@@ -147,3 +147,10 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, f AS f
 def op1(spark, d):
     from quire.llm import fingerprints
     return fingerprints.edited_pairs(table(spark, d, "documents"))
+
+
+@query("op3_html_main_text")
+def op3(spark, d):
+    from quire.llm import html_extract
+    pages = html_extract.extract_text(table(spark, d, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
