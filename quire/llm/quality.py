@@ -17,15 +17,15 @@ WINDOW = 5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_bangs", "n_lines")
 
 # Rule -> failed when true, over the measurements. The bit of a rule is its place here; append only.
-RULES: dict[str, Column] = {}
-_n = F.col
-RULES["few_words"] = _n("n_words") < 10
-RULES["repeated_windows"] = 100 * _n("n_repeat_words") > 20 * _n("n_words")
-RULES["symbols"] = 10 * _n("n_symbols") > _n("n_words")
-RULES["word_length"] = (_n("word_chars") < 2 * _n("n_words")) | (_n("word_chars") > 20 * _n("n_words"))
-RULES["repeated_lines"] = 2 * _n("n_dup_lines") > _n("n_lines")
-RULES["shouting"] = 2 * _n("n_upper") > _n("word_chars")
-RULES["exclamations"] = 4 * _n("n_bangs") > _n("n_words")
+RULES = {
+    "few_words": "n_words < 10",
+    "repeated_windows": "100 * n_repeat_words > 20 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+    "repeated_lines": "2 * n_dup_lines > n_lines",
+    "shouting": "2 * n_upper > word_chars",
+    "exclamations": "4 * n_bangs > n_words",
+}
 
 BASE = ("few_words", "repeated_windows")
 POLICIES: dict[str, tuple[str, ...]] = {
@@ -104,7 +104,7 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``measure`` with ``bits``: bit r is set if the r-th rule of ``RULES`` failed."""
     bits = F.lit(0).cast("long")
     for r, failed in enumerate(RULES.values()):
-        bits = bits.bitwiseOR(F.when(failed, F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long")))
+        bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << r).cast("long")).otherwise(F.lit(0).cast("long")))
     return measure(df, id_col, text_col).withColumn("bits", bits)
 
 
