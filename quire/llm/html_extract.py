@@ -222,7 +222,7 @@ class Model:
             x = math.exp(max(-50.0, min(50.0, total[i])))
             up[i] = math.log((1 - c1 + c1 * x) / (1 - c0 + c0 * x))
             total[tree.parent[i]] += up[i]
-        total[0] = -20.0  # what holds the page is not content
+        total[0] = -50.0  # what holds the page is not content
         for i in range(1, n):
             c0, c1 = chance[i]
             q = math.exp(max(-50.0, min(50.0, total[tree.parent[i]] - up[i])))

@@ -10,8 +10,8 @@ For each language l the evidence of a document adds up in logarithms:
 
 All three tables are grouped sums, over all documents, of the posteriors that the texts
 alone give; a document's own share is taken out of its host's counts. "und" is one more
-hypothesis, under which every trigram is as likely as any other: text in no language of
-the corpus goes there. The trigram model is fitted on a bounded sample of the
+hypothesis, under which every trigram is about as likely as any other: text in no language
+of the corpus goes there. The trigram model is fitted on a bounded sample of the
 documents that declare a language.
 """
 
@@ -29,14 +29,15 @@ SAMPLE_DOCS = 2000  # labelled documents per language, about; the bound of the t
 MAX_LANGUAGES = 64
 SATURATION = 50.0
 UND = "und"
+UND_TRIGRAM = -math.log(BUCKETS) - 1.0  # a trigram's log-probability under "und"
 
 
 def trigrams(text: str | None):
     """Yield arrays of bucket numbers of the byte trigrams of a whole text: ASCII letters in lower
-    case, any other ASCII as a space, runs of three spaces left out."""
+    case, any other ASCII as a space, a space at both ends, runs of three spaces left out."""
     import numpy as np
 
-    raw = (text or "").encode("utf-8", "replace")
+    raw = b" " + (text or "").encode("utf-8", "replace") + b" "
     for at in range(0, max(0, len(raw) - 2), 1 << 20):
         b = np.frombuffer(raw[at:at + (1 << 20) + 2].translate(_fold()), dtype=np.uint8).astype(np.uint32)
         code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
@@ -94,7 +95,7 @@ def train(df: DataFrame, text_col: str, declared: Column, sample_docs: int = SAM
                     total += np.bincount(codes, minlength=BUCKETS)
         for label, total in sums.items():
             at = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])],
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
                                              names=["label", "bucket", "n"])
 
     found = (rows.where(pick).mapInArrow(counts, "label string, bucket int, n long")
@@ -151,7 +152,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
                       host.alias("host"), score(whole_text(df[text_col])).alias("s"))
     n = F.element_at("s", -1)
     weight = n / (1 + n / SATURATION)
-    likelihood = F.transform(F.concat(F.slice("s", 1, len(languages)), F.array(F.lit(-math.log(BUCKETS)))), lambda x: x * weight)
+    likelihood = F.transform(F.concat(F.slice("s", 1, len(languages)), F.array(F.lit(UND_TRIGRAM))), lambda x: x * weight)
     base = F.array(*[F.lit(-math.log(size))] * size)
     scored = cut(given.select("id", *[f"k{i}" for i in range(len(carry))], "declared", "host", n.alias("n"), likelihood.alias("ll"))
                  .withColumn("p", _soft(F.zip_with("ll", base, lambda a, b: a + b)))
