@@ -1,11 +1,9 @@
-"""Next-token tables, beam search and batch generation (G-1..G-3, J-5, W-7, W-8).
-
-The network is not rebuilt. Its place is taken by a count-based next-token
-table derived from the corpus (G-1): ``(context array<int>, next int, cnt,
-logprob)``. Decoding is then joins against that table, one step per Spark
-job; every few steps the state is written with ``checkpoint()`` (reliable, in
-the cluster's checkpoint folder) so lineage stays short and a lost executor
-does not replay the loop.
+"""Next-token tables and single beam steps (G-1, G-3, J-5, W-7).
+
+A count-based next-token table derived from the corpus: ``(context array<int>,
+next int, cnt, logprob)``. Extending and pruning beams are one join and one
+bounded window. Token-by-token decoding loops (W-8, G-2) belong to a model's
+runtime and are not replayed here.
 """
 
 from __future__ import annotations
@@ -14,34 +12,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import let
-from quire.functions import logits as L
 from quire.functions import text as T
-from quire.session import checkpoint_dir
-
-def _checkpoint(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Reliable checkpoint; ``partitions`` caps the partition count first.
-
-    Loop state is rebuilt as a union of its finished part and the step's new
-    rows each step; without the cap the partition count would multiply.
-    """
-    checkpoint_dir(df.sparkSession)
-    if partitions is not None:
-        df = df.coalesce(partitions)
-    return df.checkpoint(eager=True)
-
 
-def _state_partitions(df: DataFrame) -> int:
-    return max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+_ID_BITS = 21
+ID_MAX = (1 << _ID_BITS) - 2  # ids are stored plus one, so that an empty slot differs from id 0
 
 
-_ID_BITS = 21  # ids below 2**21 (code points and any vocabulary up to two million)
+def _slot(x):
+    """An id as a non-zero slot of a context key; an id out of range stops the job."""
+    x = x.cast("bigint")
+    bad = F.raise_error(F.concat(F.lit(f"token id outside 0..{ID_MAX}: "), x.cast("string"))).cast("bigint")
+    return F.when((x < 0) | (x > ID_MAX), bad).otherwise(x + 1)
 
 
 def context_key(tokens, order: int):
     """The last ``order`` tokens packed into one bigint (the table's join key).
 
     ``order`` up to 3 fits in 63 bits; grouping and joining on a long is far
-    cheaper than on an ``array<int>``. Shorter sequences pack what they have.
+    cheaper than on an ``array<int>``. A shorter sequence leaves its upper slots
+    empty, so its key is no full context's key.
     """
     if order > 3:
         raise ValueError("context keys pack at most 3 ids")
@@ -50,7 +39,7 @@ def context_key(tokens, order: int):
     def body(v):
         ctx = F.slice(v, F.greatest(F.size(v) - (order - 1), F.lit(1)), F.lit(order))
         return F.aggregate(ctx, F.lit(0).cast("bigint"),
-                           lambda acc, x: F.shiftleft(acc, _ID_BITS).bitwiseOR(x.cast("bigint")))
+                           lambda acc, x: F.shiftleft(acc, _ID_BITS).bitwiseOR(_slot(x)))
     return let(t, body)
 
 
@@ -58,7 +47,7 @@ def unpack_context(key, order: int):
     """Inverse of ``context_key`` for full contexts: ``array<int>`` of ``order`` ids."""
     k = F.col(key) if isinstance(key, str) else key
     mask = (1 << _ID_BITS) - 1
-    return F.array(*[F.shiftright(k, (order - 1 - j) * _ID_BITS).bitwiseAND(mask).cast("int") for j in range(order)])
+    return F.array(*[(F.shiftright(k, (order - 1 - j) * _ID_BITS).bitwiseAND(mask) - 1).cast("int") for j in range(order)])
 
 
 def next_token_table(df: DataFrame, ids: str = "ids", order: int = 1) -> DataFrame:
@@ -75,7 +64,7 @@ def next_token_table(df: DataFrame, ids: str = "ids", order: int = 1) -> DataFra
     z = df.select(F.explode(F.arrays_zip(*views)).alias("p"))
     key = F.lit(0).cast("bigint")
     for j in range(order):
-        key = F.shiftleft(key, _ID_BITS).bitwiseOR(F.col(f"p.c{j}").cast("bigint"))
+        key = F.shiftleft(key, _ID_BITS).bitwiseOR(_slot(F.col(f"p.c{j}")))
     p = z.select(key.alias("ckey"), F.col(f"p.c{order}").alias("next"))
     counts = p.groupBy("ckey", "next").agg(F.count(F.lit(1)).alias("cnt"))
     totals = counts.groupBy("ckey").agg(F.sum("cnt").alias("_tot"))
@@ -119,87 +108,6 @@ def beam_prune(cands: DataFrame, num_beams: int) -> DataFrame:
             .filter(F.col("beam_id") < num_beams).drop("parent", "k"))
 
 
-def beam_search(prompts: DataFrame, table: DataFrame, num_beams: int = 3, max_new_tokens: int = 8,
-                stop_id: int | None = None, order: int = 1, ids: str = "ids") -> DataFrame:
-    """W-8: J-5 + W-7 iterated per prompt from one live beam with score 0.
-
-    A prompt stops when its best beam ends in ``stop_id`` (finished beams are
-    not frozen before that) or when no beam has a continuation. No length
-    normalisation. Returns per prompt the best beam's new tokens and score.
-
-    The candidate table is written once; the beam state (prompts x beams) is
-    written every step, so each step's plan is a scan plus one join.
-    """
-    cands = _checkpoint(top_next(table, num_beams).select("ckey", "next", "logprob", "k"))
-    state = _checkpoint(prompts.select(
-        F.col("prompt_id"), F.lit(0).alias("beam_id"), F.col(ids).alias("tokens"), F.lit(0.0).alias("score"),
-        F.size(ids).alias("prompt_len"), F.lit(False).alias("finished")))
-    parts = _state_partitions(state)
-    per_prompt = Window.partitionBy("prompt_id")  # at most num_beams rows
-    stop = F.lit(stop_id if stop_id is not None else -1)
-    for _ in range(max_new_tokens):
-        active = state.filter(~F.col("finished")).drop("finished")
-        new = beam_prune(beam_extend(active, cands, order), num_beams)
-        new = new.withColumn("finished", F.coalesce(F.max(F.when(
-            F.col("beam_id") == 0, F.element_at("tokens", -1) == stop)).over(per_prompt), F.lit(False)))
-        dead = (active.join(new.select("prompt_id").distinct(), "prompt_id", "left_anti")
-                .withColumn("finished", F.lit(True)))
-        state = _checkpoint(state.filter(F.col("finished")).unionByName(dead)
-                            .unionByName(new.select(*state.columns)), parts)
-        if state.filter(~F.col("finished")).isEmpty():
-            break
-    best = state.filter(F.col("beam_id") == 0)
-    return best.select("prompt_id", F.slice("tokens", F.col("prompt_len") + 1, F.size("tokens")).alias("generated"),
-                       "score")
-
-
-def sampling_table(table: DataFrame) -> DataFrame:
-    """Per context its next tokens and log-probabilities as arrays sorted by id (bounded by the vocabulary)."""
-    srt = F.array_sort(F.collect_list(F.struct("next", "logprob")))
-    return (table.groupBy("ckey").agg(srt.alias("_c"))
-            .select("ckey", F.transform("_c", lambda x: x.getField("next")).alias("nexts"),
-                    F.transform("_c", lambda x: x.getField("logprob")).alias("logits")))
-
-
-def batch_generate(prompts: DataFrame, table: DataFrame, max_new_tokens: int = 16, stop_id: int | None = None,
-                   temperature: float = 0.0, top_k: int | None = None, seed: int = 42, num_samples: int = 1,
-                   order: int = 1, ids: str = "ids", entry: str = "generate") -> DataFrame:
-    """G-2: per prompt (and sample) append the picked token until ``stop_id`` or the limit.
-
-    ``temperature`` follows M-3's rule for ``entry`` (``generate``: 0 is
-    greedy; ``generate_super``: below 0.1 is greedy). Sampling is W-10 with a
-    uniform from (seed, prompt, sample, step), reproducible on any cluster
-    layout. Returns the new tokens only, the stop token included. The lookup
-    table (one row per context) is written once, the state every step.
-    """
-    mode, t = L.decode_mode(temperature, entry)
-    lookup = _checkpoint(greedy_table(table) if mode == "greedy" else sampling_table(table))
-    state = _checkpoint(
-        prompts.select("prompt_id", F.col(ids).alias("tokens"), F.size(ids).alias("prompt_len"))
-        .withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
-        .withColumn("done", F.lit(False)))
-    parts = _state_partitions(state)
-    stop = F.lit(stop_id if stop_id is not None else -1)
-    for step in range(max_new_tokens):
-        active = state.filter(~F.col("done")).withColumn("ckey", context_key("tokens", order))
-        j = active.join(lookup, "ckey")
-        if mode == "greedy":
-            nxt = F.col("next")
-        else:
-            u_key = F.concat_ws(":", F.col("prompt_id").cast("string"), F.col("sample_id").cast("string"), F.lit(str(step)))
-            nxt = F.get("nexts", L.seeded_sample("logits", t, top_k, seed, u_key, 0))
-        stepped = j.select("prompt_id", "sample_id", "prompt_len", F.concat("tokens", F.array(nxt)).alias("tokens"))
-        stepped = stepped.withColumn("done", F.element_at("tokens", -1) == stop)
-        stuck = (active.join(lookup.select("ckey"), "ckey", "left_anti").drop("ckey")
-                 .withColumn("done", F.lit(True)))
-        state = _checkpoint(state.filter(F.col("done")).unionByName(stuck)
-                            .unionByName(stepped.select(*state.columns)), parts)
-        if state.filter(~F.col("done")).isEmpty():
-            break
-    return state.select("prompt_id", "sample_id",
-                        F.slice("tokens", F.col("prompt_len") + 1, F.size("tokens")).alias("generated"))
-
-
 def qa_report(questions: DataFrame, answers: DataFrame, key: str, question: str = "question",
               answer: str = "answer", max_chars: int | None = None) -> DataFrame:
     """G-3: numbered input/output pairs (P-13 numbering in key order, then a join)."""

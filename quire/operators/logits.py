@@ -17,19 +17,21 @@ def token_cross_entropy(df: DataFrame, logits: str = "logits", target: str = "ta
     """M-2 per row: ignore index is the pad id (0 when there is none), or -100 for a
     whole batch when any of its targets is -100.
 
-    The switch is a per-batch ``bool_or``; batches are bounded, so the window
-    is too. Without a batch column the whole table is one batch and the flag
-    is one aggregate.
+    A row's loss under either index is known before the switch, so it is computed
+    first; the per-batch ``max`` then moves targets and losses, never the
+    logits. Batches are bounded, so the window is too. Without a batch column
+    the whole table is one batch and the flag is one aggregate. The logits
+    column is dropped unless there is no batch column to shuffle by.
     """
     default = pad_id if pad_id is not None else 0
     t = F.col(target)
-    if batch_col:
-        has = F.max((t == IGNORE_SWITCH).cast("int")).over(Window.partitionBy(batch_col)) == 1
-        ignore = F.when(has, F.lit(IGNORE_SWITCH)).otherwise(F.lit(default))
-    else:
+    if not batch_col:
         any_switch = df.agg(F.max((t == IGNORE_SWITCH).cast("int"))).first()[0] == 1
-        ignore = F.lit(IGNORE_SWITCH if any_switch else default)
-    return df.withColumn(out, L.cross_entropy(logits, t, ignore))
+        return df.withColumn(out, L.cross_entropy(logits, t, F.lit(IGNORE_SWITCH if any_switch else default)))
+    raw = df.withColumn("_raw", L.cross_entropy(logits, t, F.lit(None).cast("int"))).drop(logits)
+    switched = F.max((t == IGNORE_SWITCH).cast("int")).over(Window.partitionBy(batch_col)) == 1
+    ignore = F.when(switched, F.lit(IGNORE_SWITCH)).otherwise(F.lit(default))
+    return raw.withColumn(out, F.when(t == ignore, F.lit(0.0)).otherwise(F.col("_raw"))).drop("_raw")
 
 
 def mean_cross_entropy(df: DataFrame, xent: str = "xent", target: str = "target", ignore_index: int = -1,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import chat as C
@@ -21,6 +21,14 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = 512,
     return df.select(*others, F.posexplode(pieces).alias(index_col, text))
 
 
+def mapped_sender(sender: str, sender_map: dict[str, str] | None) -> Column:
+    """The sender's name after ``sender_map`` (names it does not hold stay)."""
+    s = F.col(sender)
+    for k, v in reversed((sender_map or {}).items()):
+        s = F.when(F.col(sender) == k, F.lit(v)).otherwise(s)
+    return s
+
+
 def collect_turns(long_df: DataFrame, key: str = "conv_id", order: str = "turn",
                   sender: str = "role", text: str = "text",
                   sender_map: dict[str, str] | None = None) -> DataFrame:
@@ -30,12 +38,7 @@ def collect_turns(long_df: DataFrame, key: str = "conv_id", order: str = "turn",
     The array is the output row itself; it is built by one hash aggregation
     with map-side partial lists.
     """
-    s = F.col(sender)
-    if sender_map:
-        expr = None
-        for k, v in sender_map.items():
-            expr = (F.when(s == k, F.lit(v)) if expr is None else expr.when(s == k, F.lit(v)))
-        s = expr.otherwise(s)
+    s = mapped_sender(sender, sender_map)
     turns = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), s.alias("from"),
                                                  F.col(text).alias("value"))))
     return (long_df.groupBy(key)
@@ -53,7 +56,7 @@ def first_turns(long_df: DataFrame, n: int, key: str = "conv_id", order: str = "
     small table (one row per key and bucket) finds, per key, the bucket that
     holds the n-th row; rows past it are dropped before any shuffle of the
     turns. At most ``n + bucket`` rows per key remain; the exact cut to ``n``
-    is left to the consumer (``collect_messages`` slices). ``order`` must be
+    is left to the consumer (``first_messages`` slices). ``order`` must be
     an integer position. The bucket table of a hot key is ``bucket`` times
     smaller than the key's rows.
     """
@@ -62,31 +65,35 @@ def first_turns(long_df: DataFrame, n: int, key: str = "conv_id", order: str = "
     w = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     keep = before.filter(F.col("_before") < n).select(key, "_b")
-    return long_df.withColumn("_b", b).join(keep, [key, "_b"], "left_semi").drop("_b")
+    turns = long_df.withColumn("_b", b)
+    same = turns[key].eqNullSafe(keep[key]) & (turns["_b"] == keep["_b"])
+    return turns.join(keep, same, "left_semi").drop("_b")
 
 
 def collect_messages(long_df: DataFrame, key: str = "conv_id", order: str = "turn",
                      sender: str = "role", text: str = "text", system: str = C.DEFAULT_SYSTEM,
-                     sender_map: dict[str, str] | None = None, max_turns: int | None = None) -> DataFrame:
+                     sender_map: dict[str, str] | None = None) -> DataFrame:
     """P-3: the same messages P-2 would give, from turn-per-row input.
 
-    ``max_turns`` keeps only the first ``max_turns`` known turns of each key
-    (``first_turns``), so a very long conversation is never gathered whole;
-    ``sft_max_turns`` gives the exact bound for a training-row length.
+    The message list is the output row, so a conversation is gathered whole;
+    where a row only needs its first turns, use ``first_messages``.
     """
-    if max_turns is not None:
-        s = F.col(sender)
-        kept_names = {k for k, v in (sender_map or {}).items() if v in ("human", "assistant")} | {"human", "assistant"}
-        known = long_df.filter(s.isin(*sorted(kept_names)))
-        turns = collect_turns(first_turns(known, max_turns, key, order), key, order, sender, text, sender_map)
-        turns = turns.withColumn("conversations", F.slice("conversations", 1, max_turns))
-        return turns.select(key, C.to_messages("conversations", system).alias("messages"),
-                            F.lit(None).cast("int").alias("dropped_turns"))
     turns = collect_turns(long_df, key, order, sender, text, sender_map)
     return turns.select(key, C.to_messages("conversations", system).alias("messages"),
                         C.dropped_turns("conversations").alias("dropped_turns"))
 
 
+def first_messages(long_df: DataFrame, max_turns: int, key: str = "conv_id", order: str = "turn",
+                   sender: str = "role", text: str = "text", system: str = C.DEFAULT_SYSTEM,
+                   sender_map: dict[str, str] | None = None) -> DataFrame:
+    """The system message and the first ``max_turns`` known turns per key, never gathering a long
+    conversation; a key without known turns gives no row."""
+    known = long_df.filter(C.rename_role(mapped_sender(sender, sender_map)).isNotNull())
+    turns = collect_turns(first_turns(known, max_turns, key, order), key, order, sender, text, sender_map)
+    cut = F.slice("conversations", 1, max_turns)
+    return turns.select(key, C.to_messages(cut, system).alias("messages"))
+
+
 def drop_columns(df: DataFrame, *cols: str) -> DataFrame:
     """P-7: remove columns after mapping (Catalyst prunes them from the scan)."""
     return df.drop(*cols)

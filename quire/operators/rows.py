@@ -56,17 +56,53 @@ def sft_rows(df: DataFrame, messages: str = "messages", encoder: Encoder = I.cod
     return padded.select(*keep, "n_tokens", "text_len", x.alias("X"), y.alias("Y"), m.alias("loss_mask"))
 
 
+def sft_rows_from_turns(long_df: DataFrame, key: str = "conv_id", order: str = "turn", sender: str = "role",
+                        text: str = "text", system: str = C.DEFAULT_SYSTEM, sender_map: dict[str, str] | None = None,
+                        encoder: Encoder = I.codepoint_ids, header_ids: list[int] | None = None,
+                        max_length: int = 512, pad_id: int = I.PAD_ID, eos_id: int = I.EOS_ID) -> DataFrame:
+    """B-ROW-8 from turn-per-row input, without gathering long conversations.
+
+    The row itself needs only the first turns (each costs at least four
+    tokens). ``n_tokens`` of the whole conversation is a partial sum of its
+    turns' own token counts: special tokens part them, so counts add up.
+    Equal to ``sft_rows(collect_messages(...))`` in every column.
+    """
+    from quire.operators import reshape as R
+    role = C.rename_role(R.mapped_sender(sender, sender_map))
+
+    def size_of(r, content):
+        one = F.array(F.struct(r.alias("role"), content.alias("content")))
+        return F.size(encoder(C.render_chatml(one)))
+
+    turns = long_df.select(key, role.alias("_role"), F.col(text).alias("_text"))
+    sizes = turns.select(key, "_role", size_of(F.coalesce("_role", F.lit("tool")), F.col("_text")).alias("_n"))
+    totals = sizes.groupBy(key).agg(F.sum(F.when(F.col("_role").isNotNull(), F.col("_n")).otherwise(0)).alias("_turns"),
+                                    F.count_if(F.col("_role").isNull()).cast("int").alias("dropped_turns"))
+    totals = totals.withColumn("_n", F.col("_turns") + size_of(F.lit("system"), F.lit(system)))
+    known = R.first_messages(long_df, R.sft_max_turns(max_length), key, order, sender, text, system, sender_map)
+    alone = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
+    joined = (totals.join(known.select(F.col(key).alias("_key"), "messages"), F.col(key).eqNullSafe(F.col("_key")), "left")
+              .withColumn("messages", F.coalesce("messages", alone)))
+    rows = sft_rows(joined, "messages", encoder, header_ids, max_length, pad_id, eos_id, keep=[key, "dropped_turns", "_n"])
+    return rows.withColumn("n_tokens", F.col("_n").cast("int")).drop("_n")
+
+
 def segment_rows(df: DataFrame, messages: str = "messages", encoder: Encoder = I.codepoint_ids,
-                 eos: str = C.EOS, max_length: int = 512, pad_id: int = I.PAD_ID, keep=None) -> DataFrame:
+                 eos: str = C.EOS, max_length: int = 512, pad_id: int = I.PAD_ID, keep=None,
+                 array_encoder: Encoder | None = None) -> DataFrame:
     """B-ROW-6 rows: R-5 segments encoded one by one, mask from the trainable flags.
 
     The robust variant of B-ROW-5: no header search, so no merge across a
-    segment boundary can hide an answer.
+    segment boundary can hide an answer. ``array_encoder`` takes all of a row's
+    segments at once (``array<string>`` to ``array<array<int>>``), as a trained
+    tokenizer's ``array_encoder()`` does; by default ``encoder`` maps over them.
     """
     keep = _keep(df, keep)
+    array_encoder = array_encoder or (lambda texts: F.transform(texts, encoder))
     segs = df.select(*keep, C.render_segments(F.col(messages), eos).alias("_segs"))
-    enc = segs.select(*keep, F.transform("_segs", lambda s: F.struct(
-        encoder(s.getField("text")).alias("ids"), s.getField("trainable").alias("trainable"))).alias("_enc"))
+    enc = segs.select(*keep, "_segs", array_encoder(F.transform("_segs", lambda s: s.getField("text"))).alias("_ids"))
+    enc = enc.select(*keep, F.zip_with("_segs", "_ids", lambda s, i: F.struct(
+        i.alias("ids"), s.getField("trainable").alias("trainable"))).alias("_enc"))
     flat = enc.select(*keep, F.flatten(F.transform("_enc", lambda s: s.getField("ids"))).alias("_full"),
                       I.segment_mask("_enc").alias("_flag"))
     cut = flat.select(*keep, F.size("_full").alias("n_tokens"),
@@ -90,10 +126,12 @@ def left_pad_pack(df: DataFrame, ids: str = "ids", mask: str = "mask", batch_col
                   pad_id: int = I.PAD_ID) -> DataFrame:
     """B-ROW-11: per batch, drop masked tokens and right-align to the longest valid length (min 1).
 
-    A batch whose masks are all true is returned unchanged. Batches are
-    bounded (the batch size), so the per-batch window is bounded too.
+    A batch whose masks are all true is returned unchanged; an absent (null)
+    mask counts as all true. Batches are bounded (the batch size), so the
+    per-batch window is bounded too.
     """
     w = Window.partitionBy(batch_col)
+    df = df.withColumn(mask, F.coalesce(mask, F.transform(ids, lambda x: F.lit(True))))
     valid = I.valid_ids(ids, mask)
     n_valid = F.size(F.filter(F.col(mask), lambda x: x))
     all_true = F.forall(F.col(mask), lambda x: x)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +17,22 @@ def reward(pred, truth) -> Column:
     return F.when(F.coalesce(p == t, F.lit(False)), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def score_completions(df: DataFrame, completion: str, truth: str, as_messages: bool = False) -> DataFrame:
+def score_completions(df: DataFrame, completion: str, truth: str, as_messages: bool = False,
+                      reward: Callable[[Column, Column], Column] = reward) -> DataFrame:
     """A-1 + A-2 on a table: extracted answer and reward per row.
 
     ``as_messages``: the completion is a message list and its first item's
-    content is used.
+    content is used. ``reward``: any function of the answer and the truth
+    columns (a column expression, or an Arrow UDF applied to them).
     """
     text = T.first_content(completion) if as_messages else F.col(completion)
-    return df.withColumn("pred", T.boxed_answer(text)).withColumn("reward", reward("pred", truth))
+    return df.withColumn("pred", T.boxed_answer(text)).withColumn("reward", reward(F.col("pred"), F.col(truth)))
+
+
+def truth_report(df: DataFrame, truth: str, group: list[str] | None = None) -> DataFrame:
+    """P-8 companion: rows, and rows whose truth is null (they can only score 0.0)."""
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth).isNull()).alias("n_null_truth")]
+    return df.groupBy(*group).agg(*aggs) if group else df.agg(*aggs)
 
 
 def accuracy(df: DataFrame, reward_col: str = "reward", group: list[str] | None = None) -> DataFrame:
@@ -46,13 +56,19 @@ def unmatched(pred: DataFrame, truth: DataFrame, key: str = "question_id") -> Da
 
 def compare_runs(before: DataFrame, after: DataFrame, key: str = "question_id",
                  reward_col: str = "reward") -> DataFrame:
-    """J-2 per question: reward before and after and the flip (full outer join)."""
-    b = before.select(key, F.col(reward_col).alias("reward_before"))
-    a = after.select(key, F.col(reward_col).alias("reward_after"))
+    """J-2 per question: reward before and after and the flip (full outer join).
+
+    ``flip`` compares the questions both runs answered (a null reward of a
+    matched question counts as 0.0); a question of one run alone is ``unmatched``.
+    """
+    b = before.select(key, F.col(reward_col).alias("reward_before"), F.lit(True).alias("_b"))
+    a = after.select(key, F.col(reward_col).alias("reward_after"), F.lit(True).alias("_a"))
     j = b.join(a, key, "full_outer")
     rb, ra = F.coalesce("reward_before", F.lit(0.0)), F.coalesce("reward_after", F.lit(0.0))
-    flip = F.when(ra > rb, F.lit("gained")).when(ra < rb, F.lit("lost")).otherwise(F.lit("same"))
-    return j.withColumn("flip", flip)
+    both = F.col("_b").isNotNull() & F.col("_a").isNotNull()
+    flip = (F.when(~both, F.lit("unmatched")).when(ra > rb, F.lit("gained"))
+            .when(ra < rb, F.lit("lost")).otherwise(F.lit("same")))
+    return j.withColumn("flip", flip).drop("_a", "_b")
 
 
 def format_delta(delta: Column) -> Column:
@@ -61,13 +77,20 @@ def format_delta(delta: Column) -> Column:
 
 
 def accuracy_delta(per_question: DataFrame) -> DataFrame:
-    """A-4 summary over J-2's rows: accuracy before, after, delta and its text."""
-    acc_b = F.coalesce(F.avg("reward_before"), F.lit(0.0))
-    acc_a = F.coalesce(F.avg("reward_after"), F.lit(0.0))
-    s = per_question.agg(acc_b.alias("acc_before"), acc_a.alias("acc_after"),
-                         F.sum((F.col("flip") == "gained").cast("int")).alias("n_gained"),
-                         F.sum((F.col("flip") == "lost").cast("int")).alias("n_lost"),
-                         F.count(F.lit(1)).alias("n"))
+    """A-4 summary over J-2's rows: accuracy before, after, delta and its text.
+
+    Accuracies and flips are those of the matched questions, so both runs are
+    measured on one set; ``n_unmatched`` counts the others.
+    """
+    matched = F.col("flip") != "unmatched"
+
+    def mean(c):
+        return F.coalesce(F.avg(F.when(matched, F.coalesce(F.col(c), F.lit(0.0)))), F.lit(0.0))
+
+    s = per_question.agg(mean("reward_before").alias("acc_before"), mean("reward_after").alias("acc_after"),
+                         F.count_if(F.col("flip") == "gained").alias("n_gained"),
+                         F.count_if(F.col("flip") == "lost").alias("n_lost"),
+                         F.count_if(~matched).alias("n_unmatched"), F.count_if(matched).alias("n"))
     d = F.col("acc_after") - F.col("acc_before")
     return s.withColumn("delta", d).withColumn("delta_text", format_delta(d))
 
@@ -77,14 +100,16 @@ def reward_groups(df: DataFrame, prompt_col: str = "prompt_id", reward_col: str
 
     A group whose rewards are all equal carries no signal. The statistics come
     from a partial aggregation (a hot prompt is combined map-side) and are
-    joined back on the prompt key; adaptive skew-join splitting covers a hot key
-    on the completions side.
+    joined back on the prompt key (null-safe: completions without a prompt are
+    one group); adaptive skew-join splitting covers a hot key on the
+    completions side.
     """
     g = df.groupBy(prompt_col).agg(
         F.avg(reward_col).alias("group_mean"), F.stddev_samp(reward_col).alias("group_std"),
         F.count(F.lit(1)).alias("group_size"),
         (F.max(reward_col) == F.min(reward_col)).alias("no_signal"))
-    return df.join(g, prompt_col, "inner")
+    key = g[prompt_col]
+    return df.join(g, df[prompt_col].eqNullSafe(key), "inner").drop(key)
 
 
 def masked_mean(df: DataFrame, loss: str, mask: str, group: list[str] | None = None) -> DataFrame:

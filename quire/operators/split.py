@@ -15,34 +15,34 @@ from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row in partition
 
-# Largest row set we hand to a broadcast join by construction.
-BROADCAST_ROWS_MAX = 1_000_000
-# Largest eval set taken by one top-n (gathered in one task) before the
-# distributed global index takes over.
-TOP_N_MAX = 100_000
+INDEX_PARTITION_BYTES = 128 << 20
 
 
-def _num_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+def _num_partitions(keys: DataFrame) -> int:
+    """Enough partitions for the planner's estimate of the keys' size, at least the session's number."""
+    least = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # an unknown size counts as the largest number there is; it says nothing then
+    return least if size >= 1 << 62 else max(least, -(-size // INDEX_PARTITION_BYTES))
 
 
 def with_global_index(df: DataFrame, order: list[str], name: str = "idx",
                       num_partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order`` (the order columns must be unique).
 
-    One range exchange sorts the rows into key ranges; the sorted partitions
-    are written once with a reliable ``checkpoint()`` (the cluster's shared
-    checkpoint folder), so the per-partition counts and the local positions
-    are read from the same fixed copy, and a lost executor cannot make a
-    recomputation draw different range bounds. The offsets table has one row
-    per partition, so broadcasting it is bounded by the partition count.
+    Only the order columns are sorted and written: one range exchange sorts
+    them into key ranges, and a reliable ``checkpoint()`` (the cluster's shared
+    checkpoint folder) fixes them, so the per-partition counts and the local
+    positions are read from the same copy, and a lost executor cannot make a
+    recomputation draw different range bounds. The positions are joined back
+    on the order columns (nulls equal). The offsets table has one row per
+    partition, so broadcasting it is bounded by the partition count.
     """
     from quire.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    n = num_partitions or _num_partitions(df)
-    cols = [F.col(c) for c in order]
-    ranked = (df.repartitionByRange(n, *cols)
+    keys = df.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+    cols = [F.col(c) for c in keys.columns]
+    ranked = (keys.repartitionByRange(num_partitions or _num_partitions(keys), *cols)
               .sortWithinPartitions(*cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
@@ -53,9 +53,14 @@ def with_global_index(df: DataFrame, order: list[str], name: str = "idx",
     # one row per partition: an unpartitioned window here is over n rows, not the data
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (ranked.join(F.broadcast(offsets), "_part")
-            .withColumn(name, F.col("_off") + F.col("_local"))
-            .drop("_part", "_local", "_off"))
+    placed = (ranked.join(F.broadcast(offsets), "_part")
+              .select(*keys.columns, (F.col("_off") + F.col("_local")).alias(name)))
+    if set(df.columns) == set(order):  # nothing else to carry
+        return placed.select(*[F.col(f"_o{order.index(c)}").alias(c) for c in df.columns], name)
+    same = F.lit(True)
+    for k, c in enumerate(order):
+        same = same & df[c].eqNullSafe(placed[f"_o{k}"])
+    return df.join(placed, same).drop(*keys.columns)
 
 
 def take_first(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -75,41 +80,28 @@ def eval_size(rows: int, fraction_div: int = 10, cap: int = 32) -> int:
 
 def exact_split(df: DataFrame, id_col: str, seed: int = 42, cap: int = 32,
                 split_col: str = "split") -> DataFrame:
-    """W-2: an exact eval split of ``min(cap, max(1, rows//10))`` rows ranked by a seeded hash.
+    """W-2: an exact eval split of ``min(cap, max(1, ids//10))`` ids ranked by a seeded hash.
 
-    The eval ids come from a top-n (bounded by ``cap``) and are broadcast when
-    the eval size is at most ``TOP_N_MAX``; beyond that positions come from the
-    distributed global index. Every row is kept and labelled.
+    Ids are ranked once each: rows sharing an id stay on one side and every
+    row is returned once. The eval ids are a top-n of at most ``cap`` rows.
+    Every row is kept and labelled; a null id is train.
     """
-    rows = df.count()
-    n_eval = eval_size(rows, cap=cap)
-    keyed = df.withColumn("_rk", hash_key(seed, id_col))
-    if n_eval <= TOP_N_MAX:
-        ev = keyed.select(id_col, "_rk").orderBy("_rk", id_col).limit(n_eval).select(
-            id_col, F.lit(True).alias("_ev"))
-        out = keyed.join(F.broadcast(ev), id_col, "left")
-    else:
-        out = with_global_index(keyed, ["_rk", id_col], "_pos").withColumn("_ev", F.col("_pos") < n_eval)
-    return out.withColumn(split_col, F.when(F.col("_ev"), F.lit("test")).otherwise(F.lit("train"))) \
-        .drop("_rk", "_ev", "_pos")
+    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    n_eval = eval_size(ids.count(), cap=cap)
+    ev = (ids.withColumn("_rk", hash_key(seed, id_col)).orderBy("_rk", id_col).limit(n_eval)
+          .select(id_col, F.lit(True).alias("_ev")))
+    out = df.join(ev, id_col, "left")
+    return out.withColumn(split_col, F.when(F.col("_ev"), F.lit("test")).otherwise(F.lit("train"))).drop("_ev")
 
 
 def shuffle_key(df: DataFrame, id_col: str, seed: int = 42, epoch: int = 0,
                 key_col: str = "shuffle_key") -> DataFrame:
-    """W-3 key: md5 of ``seed:epoch:id``; ordering by it is the epoch's random order."""
-    return df.withColumn(key_col, hash_key(f"{seed}:{epoch}", id_col))
-
+    """W-3: md5 of ``seed:epoch:id``; ordering by it is the epoch's random order.
 
-def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, epoch: int = 0,
-                   key_col: str = "shuffle_key") -> DataFrame:
-    """W-3: a new random order per epoch, reproducible from (seed, epoch, id).
-
-    Range partitioning on the hash spreads rows evenly however the ids are
-    skewed; the order is then partition by partition. To number rows in this
-    order use ``shuffle_key`` + ``with_global_index`` (one exchange, not two).
+    The hash spreads rows evenly over key ranges however the ids are skewed;
+    ``with_global_index`` on it numbers the rows in that order.
     """
-    return (shuffle_key(df, id_col, seed, epoch, key_col)
-            .repartitionByRange(F.col(key_col)).sortWithinPartitions(key_col))
+    return df.withColumn(key_col, hash_key(f"{seed}:{epoch}", id_col))
 
 
 def assign_batches(df: DataFrame, order: list[str], batch_size: int = 64,

@@ -103,11 +103,8 @@ def conv_messages(spark, d):
     return R.collect_messages(long, "conv_id", "turn", "role", "text", sender_map=_RAW_MAP)
 
 
-def conv_messages_for_rows(spark, d, max_length: int = 512):
-    """Messages cut to the turns that can reach a ChatML training row (exact for ``max_length``)."""
-    long = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-    return R.collect_messages(long, "conv_id", "turn", "role", "text", sender_map=_RAW_MAP,
-                              max_turns=R.sft_max_turns(max_length))
+def conv_turns(spark, d):
+    return table(spark, d, "conversations", "conv_id", "turn", "role", "text")
 
 
 @query("to_messages", "P-2 P-3 P-4 P-5", f"""
@@ -180,7 +177,7 @@ SELECT conv_id, n_tokens, text_len, {sql_join("p[1:511]")} AS X, {sql_join("p[2:
 FROM masked
 """)
 def sft_rows(spark, d):
-    rows = B.sft_rows(conv_messages_for_rows(spark, d), "messages", I.codepoint_ids, H, 512, keep=["conv_id"])
+    rows = B.sft_rows_from_turns(conv_turns(spark, d), sender_map=_RAW_MAP, header_ids=H)
     return rows.select("conv_id", "n_tokens", "text_len", _j("X").alias("X"), _j("Y").alias("Y"),
                        _j("loss_mask").alias("loss_mask"))
 
@@ -193,7 +190,7 @@ SELECT count(*) AS n_rows, CAST(sum(list_sum(mk[2:512])) AS BIGINT) AS loss_toke
 FROM masked
 """)
 def sft_loss_tokens(spark, d):
-    rows = B.sft_rows(conv_messages(spark, d), "messages", I.codepoint_ids, H, 512, keep=["conv_id"])
+    rows = B.sft_rows_from_turns(conv_turns(spark, d), sender_map=_RAW_MAP, header_ids=H)
     tok = F.aggregate("loss_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(tok).alias("loss_tokens"),
                     F.sum("text_len").cast("bigint").alias("sum_text_len"),
@@ -280,10 +277,15 @@ SELECT conv_id, {_sql_shorten("um")} AS user_message, {_sql_shorten("am")} AS as
 FROM u ORDER BY conv_id LIMIT 3
 """)
 def preview(spark, d):
-    long = table(spark, d, "conversations", "conv_id", "turn", "role", "text")
-    u = R.first_turn(long, "user", out="um")
-    a = R.first_turn(long, "assistant", out="am")
-    firsts = u.join(a, "conv_id", "full_outer")
+    long = conv_turns(spark, d)
+    shown = long.select("conv_id").distinct().orderBy("conv_id").limit(3)
+
+    def first(role):
+        own = F.col("role") == role
+        return F.min_by(F.when(own, F.col("text")), F.when(own, F.col("turn")))
+
+    firsts = (long.join(shown, "conv_id", "left_semi").groupBy("conv_id")
+              .agg(first("user").alias("um"), first("assistant").alias("am")))
     return R.preview(firsts, {"user_message": "um", "assistant_message": "am"}, n=3, max_chars=80, order=["conv_id"])
 
 

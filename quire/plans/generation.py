@@ -1,9 +1,7 @@
-"""Next-token table, beam steps, beam search and batch generation.
+"""Next-token table and beam steps.
 
 The count-based next-token table is derived from the documents (code-point
-ids); prompts are the benchmark items. Iterative decoders (W-8, G-2) have no
-SQL oracle; ``tests/test_generate.py`` checks them against a plain-Python
-restatement on the same table.
+ids); prompts are the benchmark items.
 """
 
 from __future__ import annotations
@@ -63,23 +61,3 @@ def beam_step(spark, d):
     b2 = G.beam_prune(G.beam_extend(b1, cands, 1), 3)
     return b2.select(F.col("prompt_id").alias("item_id"), "beam_id",
                      _j(F.slice("tokens", -2, 2)).alias("generated"), F.round("score", 9).alias("score"))
-
-
-@query("beam_search", "W-8 J-5 W-7")
-def beam_search(spark, d):
-    out = G.beam_search(bench_prompts(spark, d), doc_table(spark, d), num_beams=3, max_new_tokens=8, stop_id=46)
-    return out.select("prompt_id", _j("generated").alias("generated"), F.round("score", 9).alias("score"))
-
-
-@query("batch_generate", "G-2 W-9 B-ROW-14")
-def batch_generate(spark, d):
-    out = G.batch_generate(bench_prompts(spark, d), doc_table(spark, d), max_new_tokens=8, stop_id=46,
-                           temperature=0.0)
-    return out.select("prompt_id", "sample_id", _j("generated").alias("generated"))
-
-
-@query("batch_generate_sampled", "G-2 W-10 W-6 M-3")
-def batch_generate_sampled(spark, d):
-    out = G.batch_generate(bench_prompts(spark, d), doc_table(spark, d), max_new_tokens=8, stop_id=46,
-                           temperature=0.8, top_k=5, seed=42, num_samples=2)
-    return out.select("prompt_id", "sample_id", _j("generated").alias("generated"))

@@ -59,6 +59,22 @@ def rewards(spark, d):
     return scored(spark, d).select("doc_id", "ground_truth", "pred", "reward")
 
 
+@query("reward_callable", "A-2 P-8", _QA_SQL + """
+SELECT lang, count(*) AS n, count(*) - count(ground_truth) AS n_null_truth,
+       round(sum(CASE WHEN pred = ground_truth THEN 1.0
+                      WHEN abs(TRY_CAST(pred AS DOUBLE) - TRY_CAST(ground_truth AS DOUBLE)) <= 1 THEN 0.5 ELSE 0.0 END), 6) AS partial_credit
+FROM scored GROUP BY lang
+""")
+def reward_callable(spark, d):
+    def near(pred, truth):  # half a point for an answer one off
+        gap = F.abs(pred.try_cast("double") - truth.try_cast("double"))
+        return F.when(pred == truth, F.lit(1.0)).when(gap <= 1, F.lit(0.5)).otherwise(F.lit(0.0))
+    qa = qa_table(spark, d).withColumn("ground_truth", T.extract_ground_truth("answer"))
+    s = A.score_completions(qa, "completion", "ground_truth", reward=near)
+    credit = s.groupBy("lang").agg(F.round(F.sum("reward"), 6).alias("partial_credit"))
+    return A.truth_report(s, "ground_truth", ["lang"]).join(credit, "lang")
+
+
 @query("accuracy", "A-3", _QA_SQL + """
 SELECT lang, coalesce(avg(reward), 0.0) AS accuracy, count(*) AS n FROM rewarded GROUP BY lang
 UNION ALL SELECT 'all' AS lang, coalesce(avg(reward), 0.0) AS accuracy, count(*) AS n FROM rewarded
@@ -113,9 +129,11 @@ def unmatched_predictions(spark, d):
 
 # ---------------------------------------------------------------- J-2, A-4
 _RUNS_SQL = _QA_SQL + """,
-j AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, b.reward AS reward_before, a.reward AS reward_after
+j AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, b.reward AS reward_before, a.reward AS reward_after,
+             b.doc_id IS NOT NULL AND a.doc_id IS NOT NULL AS matched
       FROM rewarded b FULL OUTER JOIN (SELECT doc_id, CAST(quality AS DOUBLE) AS reward FROM labels) a ON b.doc_id = a.doc_id),
-f AS (SELECT *, CASE WHEN coalesce(reward_after, 0.0) > coalesce(reward_before, 0.0) THEN 'gained'
+f AS (SELECT *, CASE WHEN NOT matched THEN 'unmatched'
+                     WHEN coalesce(reward_after, 0.0) > coalesce(reward_before, 0.0) THEN 'gained'
                      WHEN coalesce(reward_after, 0.0) < coalesce(reward_before, 0.0) THEN 'lost' ELSE 'same' END AS flip FROM j)
 """
 
@@ -132,16 +150,16 @@ def compare_runs(spark, d):
 
 
 @query("accuracy_delta", "A-4 J-2", _RUNS_SQL + """,
-s AS (SELECT coalesce(avg(reward_before), 0.0) AS acc_before, coalesce(avg(reward_after), 0.0) AS acc_after,
-             CAST(sum(CASE WHEN flip = 'gained' THEN 1 ELSE 0 END) AS BIGINT) AS n_gained,
-             CAST(sum(CASE WHEN flip = 'lost' THEN 1 ELSE 0 END) AS BIGINT) AS n_lost, count(*) AS n FROM f)
-SELECT acc_before, acc_after, n_gained, n_lost, n, acc_after - acc_before AS delta,
+s AS (SELECT coalesce(avg(reward_before) FILTER (WHERE matched), 0.0) AS acc_before,
+             coalesce(avg(reward_after) FILTER (WHERE matched), 0.0) AS acc_after,
+             count(*) FILTER (WHERE flip = 'gained') AS n_gained, count(*) FILTER (WHERE flip = 'lost') AS n_lost,
+             count(*) FILTER (WHERE NOT matched) AS n_unmatched, count(*) FILTER (WHERE matched) AS n FROM f)
+SELECT acc_before, acc_after, n_gained, n_lost, n_unmatched, n, acc_after - acc_before AS delta,
        printf('%+.2f%%', (acc_after - acc_before) * 100.0) AS delta_text FROM s
 """)
 def accuracy_delta(spark, d):
     s = A.accuracy_delta(_runs(spark, d))
-    return s.select("acc_before", "acc_after", F.col("n_gained").cast("bigint").alias("n_gained"),
-                    F.col("n_lost").cast("bigint").alias("n_lost"), "n", "delta", "delta_text")
+    return s.select("acc_before", "acc_after", "n_gained", "n_lost", "n_unmatched", "n", "delta", "delta_text")
 
 
 # ---------------------------------------------------------------- A-5

@@ -14,7 +14,7 @@ from quire.functions import chat as C
 from quire.functions import ids as I
 from quire.operators import rows as B
 from quire.operators import tokenizer as TK
-from quire.plans.corpus import _j, conv_messages, conv_messages_for_rows, doc_chunks
+from quire.plans.corpus import _RAW_MAP, _j, conv_messages, conv_turns, doc_chunks
 from quire.plans.registry import query, sql_cp, table
 from quire.session import scratch_dir
 
@@ -87,14 +87,11 @@ SELECT item_id, string_agg(coalesce(v.token, '?'), '' ORDER BY pos) AS decoded,
 FROM e LEFT JOIN v ON e.id = v.id GROUP BY item_id
 """)
 def token_lookup(spark, d):
-    from quire.operators.split import BROADCAST_ROWS_MAX
     chars = table(spark, d, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), 0)).alias("token"))
     vocab = chars.distinct().select(F.ascii("token").alias("id"), "token")
-    # the id -> token table is bounded by the number of code points; broadcast it only when its size is checked
-    small = vocab.count() <= BROADCAST_ROWS_MAX
     ids = table(spark, d, "benchmark", "item_id", "text").select(
         "item_id", F.posexplode(I.codepoint_ids("text")).alias("pos", "id"))
-    j = ids.join(F.broadcast(vocab) if small else vocab, "id", "left")
+    j = ids.join(vocab, "id", "left")
     toks = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("?")).alias("token"))))
     return j.groupBy("item_id").agg(
         F.array_join(F.transform(toks, lambda x: x.getField("token")), "").alias("decoded"),
@@ -177,6 +174,6 @@ def bpe_pretrain_rows(spark, d):
 @query("bpe_sft_rows", "B-ROW-8 B-ROW-5 T-6")
 def bpe_sft_rows(spark, d):
     m = trained(spark, d)
-    msgs = conv_messages_for_rows(spark, d)
-    rows = B.sft_rows(msgs, "messages", m.encoder(spark), m.header_ids(C.ASSISTANT_HEADER), 512, keep=["conv_id"])
+    rows = B.sft_rows_from_turns(conv_turns(spark, d), sender_map=_RAW_MAP, encoder=m.encoder(spark),
+                                 header_ids=m.header_ids(C.ASSISTANT_HEADER))
     return rows.select("conv_id", "n_tokens", "text_len", _j("loss_mask").alias("loss_mask"))

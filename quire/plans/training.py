@@ -16,10 +16,10 @@ from quire.plans.registry import SQL_CHUNKS, query, sql_cp, sql_join, sql_pad, t
 
 # ---------------------------------------------------------------- W-1
 @query("take_first", "W-1", """
-SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 50
+SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 25
 """)
 def take_first(spark, d):
-    return S.take_first(table(spark, d, "benchmark", "item_id", "text"), 50, ["item_id"])
+    return S.take_first(table(spark, d, "benchmark", "item_id", "text"), 25, ["item_id"])
 
 
 # ---------------------------------------------------------------- W-2, J-3, U-2
@@ -190,10 +190,14 @@ def attention_mask_bool(spark, d):
 
 
 # ---------------------------------------------------------------- B-ROW-11
+# whole texts; odd batches carry up to two padding ids per row, even ones none
+_PADS = "(item_id // 8) % 2 * (item_id % 3)"
+
+
 @query("left_pad_pack", "B-ROW-11", f"""
-WITH e AS (SELECT item_id, item_id // 8 AS batch_id, {sql_cp('text')}[1:40] AS ids FROM benchmark),
-m AS (SELECT item_id, batch_id, {sql_pad("ids", 48, 4)} AS ids,
-             list_concat(list_transform(range(len(ids)), lambda _i: true), list_transform(range(48 - len(ids)), lambda _i: false)) AS mask
+WITH e AS (SELECT item_id, item_id // 8 AS batch_id, {sql_cp('text')} AS ids, {_PADS} AS pads FROM benchmark),
+m AS (SELECT item_id, batch_id, {sql_pad("ids", "len(ids) + pads", 4)} AS ids,
+             list_concat(list_transform(range(len(ids)), lambda _i: true), list_transform(range(pads), lambda _i: false)) AS mask
       FROM e),
 v AS (SELECT item_id, batch_id, ids, mask, list_filter(ids, lambda x, i: mask[i]) AS valid,
              len(list_filter(mask, lambda x: x)) AS nv FROM m),
@@ -206,10 +210,11 @@ FROM w
 """)
 def left_pad_pack(spark, d):
     b = table(spark, d, "benchmark", "item_id", "text")
-    e = b.select("item_id", F.floor(F.col("item_id") / 8).cast("bigint").alias("batch_id"),
-                 I.truncate_ids(I.codepoint_ids("text"), 40).alias("_ids"))
-    m = e.select("item_id", "batch_id", I.pad_ids("_ids", 48, 4).alias("ids"),
-                 F.transform(I.length_mask("_ids", 48), lambda x: x > 0).alias("mask"))
+    batch = F.floor(F.col("item_id") / 8).cast("bigint")
+    e = b.select("item_id", batch.alias("batch_id"), I.codepoint_ids("text").alias("_ids"),
+                 (batch % 2 * (F.col("item_id") % 3)).cast("int").alias("_pads"))
+    m = e.select("item_id", "batch_id", F.concat("_ids", F.array_repeat(F.lit(4), F.col("_pads"))).alias("ids"),
+                 F.concat(F.array_repeat(F.lit(True), F.size("_ids")), F.array_repeat(F.lit(False), F.col("_pads"))).alias("mask"))
     out = B.left_pad_pack(m, "ids", "mask", "batch_id", 4)
     return out.select("item_id", "batch_id", _j("ids").alias("ids"),
                       _j(F.transform("mask", lambda x: x.cast("int"))).alias("mask"))
@@ -228,7 +233,7 @@ def context_tail(spark, d):
 
 # ---------------------------------------------------------------- M-5, M-6
 _STOP_SQL = f"""
-WITH e AS (SELECT item_id, item_id // 8 AS batch_id, {sql_cp('text')}[1:40] AS ids FROM benchmark),
+WITH e AS (SELECT item_id, item_id // 8 AS batch_id, {sql_cp('text')} AS ids FROM benchmark),
 f AS (SELECT item_id, batch_id, ids, list_position(ids, 46) AS p FROM e),
 g AS (SELECT item_id, batch_id, p IS NOT NULL AS stopped,
              CASE WHEN p IS NULL THEN ids ELSE list_transform(ids, lambda x, i: CASE WHEN i > p THEN 4 ELSE x END) END AS filled
@@ -239,7 +244,7 @@ g AS (SELECT item_id, batch_id, p IS NOT NULL AS stopped,
 def _stopped(spark, d):
     b = table(spark, d, "benchmark", "item_id", "text")
     e = b.select("item_id", F.floor(F.col("item_id") / 8).cast("bigint").alias("batch_id"),
-                 I.truncate_ids(I.codepoint_ids("text"), 40).alias("ids"))
+                 I.codepoint_ids("text").alias("ids"))
     return e.select("item_id", "batch_id", I.stop_fill("ids", 46, 4).alias("filled"),
                     F.array_contains("ids", 46).alias("stopped"))
 

@@ -14,17 +14,10 @@ from quire.operators import split as S
 
 
 def py_assistant_mask(ids, header, eos):
-    mask, n, L_, i = [0] * len(ids), len(ids), len(header), 0
-    while i <= n - L_:
-        if ids[i:i + L_] == header:
-            j = next((k for k in range(i + L_, n) if ids[k] == eos), None)
-            if j is not None:
-                for p in range(i + L_, j + 1):
-                    mask[p] = 1
-            i += L_
-        else:
-            i += 1
-    return mask
+    """The rule, position by position: p is marked if a header ends at or before p, no eos lies
+    between that header's end and p, and an eos stands at p or later."""
+    ends = [e for e in range(len(header), len(ids) + 1) if ids[e - len(header):e] == header]
+    return [int(any(e <= p and eos not in ids[e:p] for e in ends) and eos in ids[p:]) for p in range(len(ids))]
 
 
 def test_pad_mask_shift(spark):
@@ -144,23 +137,35 @@ def test_exact_split_is_partition(spark):
     assert all(r.violations == 0 for r in v)
 
 
-def test_bounded_turns_give_the_same_sft_row(spark):
+def test_rows_from_turns_equal_rows_from_whole_conversations(spark):
     from quire.operators import reshape as R
     turns = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(600)]
     turns += [(2, t, ["system", "user", "assistant"][t % 3], "x" * (t % 7)) for t in range(300)]
+    turns += [(3, 0, "tool", "only unknown roles"), (4, 0, "user", None), (4, 1, "assistant", "")]
     long = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
     full = R.collect_messages(long, sender_map={"user": "human"})
-    cut = R.collect_messages(long, sender_map={"user": "human"}, max_turns=R.sft_max_turns(512))
-    a = {r.conv_id: (r.X, r.loss_mask) for r in B.sft_rows(full, keep=["conv_id"]).collect()}
-    b = {r.conv_id: (r.X, r.loss_mask) for r in B.sft_rows(cut, keep=["conv_id"]).collect()}
-    assert a == b
-    assert max(len(r.messages) for r in cut.collect()) <= R.sft_max_turns(512) + 1
-
-
-def test_exact_split_large_eval_uses_global_index(spark, monkeypatch):
-    monkeypatch.setattr(S, "TOP_N_MAX", 3)
-    df = spark.range(200).withColumnRenamed("id", "doc_id")
-    a = {r.doc_id for r in S.exact_split(df, "doc_id", 42, 32).filter("split = 'test'").collect()}
-    monkeypatch.setattr(S, "TOP_N_MAX", 100_000)
-    b = {r.doc_id for r in S.exact_split(df, "doc_id", 42, 32).filter("split = 'test'").collect()}
-    assert a == b and len(a) == 20
+    cols = ["conv_id", "n_tokens", "text_len", "dropped_turns", "X", "Y", "loss_mask"]
+    a = sorted(B.sft_rows(full, keep=["conv_id", "dropped_turns"]).select(cols).collect())
+    b = sorted(B.sft_rows_from_turns(long, sender_map={"user": "human"}).select(cols).collect())
+    assert a == b and a[0].n_tokens == 8608 and [r.dropped_turns for r in a] == [0, 100, 1, 0]
+
+
+def test_left_pad_pack_with_absent_masks(spark):
+    df = spark.createDataFrame([(0, [5, 6], None), (0, [7], None), (1, [1, 2, 3], [True, False, True]), (1, [4], None)],
+                               "batch_id int, ids array<int>, mask array<boolean>")
+    got = sorted((r.batch_id, r.ids, r.mask) for r in B.left_pad_pack(df, pad_id=4).collect())
+    assert got == [(0, [5, 6], [True, True]), (0, [7], [True]), (1, [1, 3], [True, True]), (1, [4, 4], [False, True])]
+
+
+def test_exact_split_with_repeated_and_null_ids(spark):
+    ids = [i for i in range(20) for _ in range(1 + i % 3)] + [None, None]
+    sp = S.exact_split(spark.createDataFrame([(i,) for i in ids], "doc_id int"), "doc_id", 42, 32).collect()
+    assert sorted(str(r.doc_id) for r in sp) == sorted(map(str, ids))
+    test = {r.doc_id for r in sp if r.split == "test"}
+    assert len(test) == 2 and not test & {r.doc_id for r in sp if r.split == "train"}
+
+
+def test_global_index_carries_other_columns_and_nulls(spark):
+    df = spark.createDataFrame([(k, k % 7, "x" * k) for k in range(50)] + [(None, 1, "n")], "k long, j long, t string")
+    got = {r.k: (r.idx, r.t) for r in S.with_global_index(df, ["k"], "idx", num_partitions=5).collect()}
+    assert got == {None: (0, "n"), **{k: (k + 1, "x" * k) for k in range(50)}}
