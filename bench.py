@@ -23,7 +23,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     vocab = int(os.environ.get("BENCH_VOCAB", "300"))
     from quire.session import get_spark
-    spark = get_spark(f"local[{cpus}]", app="quire-bench", shuffle_partitions=max(cpus * 2, 8))
+    spark = get_spark(f"local[{cpus}]", app="quire-bench", shuffle_partitions=max(cpus * 2, 8),
+                      extra={"spark.quire.spreadScans": "true"})
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-bench-"))
 

@@ -29,7 +29,8 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
-    return load_table(spark, d, name, list(cols) or None)
+    small_files = spark.conf.get("spark.quire.spreadScans", "false") == "true"  # set by bench.py alone
+    return load_table(spark, d, name, list(cols) or None, spread_rows=small_files)
 
 
 # ------------------------------------------------------------------ SQL fragments

@@ -6,8 +6,6 @@ under the checkpoint folder, then reads them back with the operator under test.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from quire.functions import chat as C
@@ -21,7 +19,7 @@ from quire.streaming import corpus as ST
 
 
 def _chunk_jsonl(spark, d, compression=None):
-    out = os.path.join(scratch_dir(spark, "chunks-jsonl"), "part")
+    out = f"{scratch_dir(spark, 'chunks-jsonl')}/part"
     J.write_jsonl(doc_chunks(spark, d).select("doc_id", "chunk_id", "text"), out, "overwrite", compression)
     return out
 
@@ -46,6 +44,11 @@ def strict_jsonl(spark, d):
     return J.read_jsonl_strict(spark, _chunk_jsonl(spark, d), "doc_id bigint, chunk_id int, text string")
 
 
+def _raw_text():
+    """A whole text as one line that is no JSON."""
+    return F.concat(F.lit("raw: "), F.replace(F.replace("text", F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")))
+
+
 @query("load_report", "S-1 A-10", f"""
 WITH {SQL_CHUNKS}
 SELECT 'good' AS reason, count(*) AS n_lines FROM chunks
@@ -58,7 +61,7 @@ def load_report(spark, d):
     lines = (doc_chunks(spark, d).select(F.to_json(F.struct("text")).alias("value"))
              .unionByName(docs.select(F.to_json(F.struct("doc_id")).alias("value")))
              .unionByName(docs.select(F.col("n_chars").cast("string").alias("value")))
-             .unionByName(docs.select(F.concat(F.lit("raw: "), F.substring_index("text", "\n", 1)).alias("value"))))
+             .unionByName(docs.select(_raw_text().alias("value"))))
     out = scratch_dir(spark, "mixed-jsonl")
     lines.write.text(out)
     good, rejects = J.read_jsonl_text(spark, out)
@@ -66,17 +69,33 @@ def load_report(spark, d):
         .unionByName(J.load_report(rejects)).select("reason", "n_lines")
 
 
-@query("line_index", "S-5")
+# lines without line breaks, written in (doc_id, chunk_id) order: files in name order hold them so
+_LINES_SQL = f"""
+WITH {SQL_CHUNKS},
+lines AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS idx,
+                 doc_id || ':' || chunk_id || ' ' || regexp_replace(text, '[\\r\\n]', ' ', 'g') AS value FROM chunks),
+placed AS (SELECT idx, value, CAST(strlen(value) + 1 AS BIGINT) AS byte_len,
+                  CAST(coalesce(sum(strlen(value) + 1) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position
+           FROM lines)
+"""
+
+
+def _chunk_lines(spark, d):
+    out = f"{scratch_dir(spark, 'chunk-lines')}/lines"
+    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("chunk_id").cast("string"), F.lit(" "),
+                    F.regexp_replace("text", "[\\r\\n]", " "))
+    doc_chunks(spark, d).orderBy("doc_id", "chunk_id").select(line.alias("value")).write.text(out)
+    return out
+
+
+@query("line_index", "S-5", _LINES_SQL + "SELECT idx, position, byte_len FROM placed")
 def line_index(spark, d):
-    idx = J.line_index(spark, _chunk_jsonl(spark, d))
-    return idx.select("line_no", "byte_offset", "byte_len", F.regexp_replace("file", ".*/", "").alias("file"))
+    return J.line_index(spark, _chunk_lines(spark, d)).select("idx", "position", "byte_len")
 
 
-@query("fetch_lines", "S-6 S-5")
+@query("fetch_lines", "S-6 S-5", _LINES_SQL + "SELECT idx, value FROM placed WHERE idx IN (SELECT doc_id FROM labels)")
 def fetch_lines(spark, d):
-    lines = J.numbered_lines(spark, _chunk_jsonl(spark, d), "\n")
-    wanted = table(spark, d, "labels", "doc_id").select((F.col("doc_id") + 1).alias("line_no"))
-    return J.fetch_lines(lines, wanted).select("line_no", "byte_offset", "value")
+    return J.fetch_lines(spark, _chunk_lines(spark, d), table(spark, d, "labels", "doc_id"), "doc_id").select("idx", "value")
 
 
 @query("messages_jsonl", "S-3 S-4", f"""
@@ -86,7 +105,7 @@ SELECT array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, len(m
 FROM msgs
 """)
 def messages_jsonl(spark, d):
-    out = os.path.join(scratch_dir(spark, "messages-jsonl"), "part")
+    out = f"{scratch_dir(spark, 'messages-jsonl')}/part"
     J.write_jsonl(conv_messages(spark, d).select("messages"), out)
     m = J.read_messages_jsonl(spark, out)
     return m.select(F.array_join(F.transform("messages", lambda x: x.getField("role")), ",").alias("roles"),
@@ -97,18 +116,33 @@ def messages_jsonl(spark, d):
 
 @query("resolve_prompts", "S-8", """
 SELECT item_id, text || chr(10) AS prompt FROM benchmark
+UNION ALL SELECT item_id, 'plain ' || text FROM benchmark
+UNION ALL SELECT item_id, NULL FROM benchmark
 """)
 def resolve_prompts(spark, d):
     b = table(spark, d, "benchmark", "item_id", "text")
     out = scratch_dir(spark, "prompt-files")
     b.repartition("item_id").write.partitionBy("item_id").text(out)
-    prompts = b.select("item_id", F.concat(F.lit("FILE:" + out + "/item_id="), F.col("item_id").cast("string")).alias("prompt"))
-    return J.resolve_prompts(spark, prompts, "prompt")
+    # the files that Spark wrote, by item
+    files = spark.read.format("binaryFile").load(out).select("item_id", "path")
+    prompts = (files.select(F.col("item_id").cast("bigint").alias("item_id"), F.concat(F.lit("FILE:"), "path").alias("prompt"))
+               .unionByName(b.select("item_id", F.concat(F.lit("plain "), "text").alias("prompt")))
+               .unionByName(b.select("item_id", F.lit(None).cast("string").alias("prompt"))))
+    return J.resolve_prompts(spark, prompts, files=out)
 
 
-@query("load_split", "S-7 A-8", "SELECT count(*) AS n_rows FROM documents")
+@query("load_split", "S-7", "SELECT doc_id, lang, source, n_chars, text FROM documents")
 def load_split_q(spark, d):
-    return load_split(spark, d, "documents").agg(F.count(F.lit(1)).alias("n_rows"))
+    return load_split(spark, d, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+
+
+@query("load_split_json", "S-7 S-4", "SELECT doc_id, lang, text FROM documents UNION ALL SELECT item_id, 'bench', text FROM benchmark")
+def load_split_json(spark, d):
+    root = scratch_dir(spark, "splits")
+    J.write_jsonl(table(spark, d, "documents", "doc_id", "lang", "text"), f"{root}/train")
+    table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("bench").alias("lang"), "text").write.parquet(f"{root}/test")
+    train, test = load_split(spark, root, "train", "json"), load_split(spark, root, "test")
+    return train.select("doc_id", "lang", "text").unionByName(test)
 
 
 # ---------------------------------------------------------------- streaming
@@ -160,7 +194,7 @@ def stream_load_report(spark, d):
     lines = (doc_chunks(spark, d).select(F.to_json(F.struct("text")).alias("value"))
              .unionByName(docs.select(F.to_json(F.struct("doc_id")).alias("value")))
              .unionByName(docs.select(F.col("n_chars").cast("string").alias("value")))
-             .unionByName(docs.select(F.concat(F.lit("raw: "), F.substring_index("text", "\n", 1)).alias("value"))))
+             .unionByName(docs.select(_raw_text().alias("value"))))
     src = scratch_dir(spark, "mixed-jsonl-stream")
     lines.write.text(src)
     good, rejects = ST.stream_lenient_jsonl(spark, src)

@@ -7,7 +7,6 @@ same code runs in tests on ``local[N]``.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -50,7 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    dir). Only when neither is set (tests, a laptop) do we make one of our own.
+    dir). Only on a ``local`` master (tests, a laptop) do we make one of our own
+    when neither is set; a cluster without one is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -58,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -66,13 +68,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
-def local_path(path: str) -> str:
-    """A ``file:`` URI as a plain local path (for Python file I/O); other paths unchanged."""
-    if path.startswith("file://"):
-        return path[len("file://"):] if path.startswith("file:///") else "/" + path[len("file://"):].lstrip("/")
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

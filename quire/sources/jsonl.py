@@ -1,108 +1,100 @@
 """JSON-lines readers and writers, line index and random access (S-1..S-6, S-8, S-9, A-10).
 
-Line numbers and byte offsets are computed without moving the text: each
-task numbers the lines of its own file splits (a ``mapInPandas`` pass over the
-scan, in file order), a table with one row per split gives each split its
-first line number and byte offset, and that table is joined back.
+Reading a corpus is a narrow parse in the scan's own stage. Line numbers, byte
+offsets and dataset-wide positions are made only where asked for, from
+``(file, split, row id, byte length)``: a table with one row per file split
+gives each split its first line and byte, and only that table is summed in
+one place. Texts never move to be numbered.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MESSAGE_TYPE = "array<struct<role:string,content:string>>"
 
-# Largest per-split table broadcast by construction (one row per file split).
-SPLIT_TABLE_BROADCAST_MAX = 1_000_000
-
 
 def _raw_lines(spark: SparkSession, path, line_sep: str | None) -> DataFrame:
+    """Lines with their file, split and a row id that grows in file order inside a split."""
     reader = spark.read.format("text")
     if line_sep is not None:
         reader = reader.option("lineSep", line_sep)
     return reader.load(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_row"),
         (F.octet_length("value") + F.lit(len((line_sep or "\n").encode("utf-8")))).cast("bigint").alias("nbytes"))
 
 
-def _local_positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: running line count and byte offset inside each (file, split).
+def _split_bases(raw: DataFrame) -> DataFrame:
+    """One row per file split: its first row id and the lines and bytes before it, in its file and in
+    the data set (files in name order)."""
+    splits = raw.groupBy("file", "block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("nbytes").alias("_b"))
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_all = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    return splits.select("file", "block", "_first", before("_n", in_file).alias("_line"), before("_b", in_file).alias("_byte"),
+                         before("_n", in_all).alias("_all_lines"), before("_b", in_all).alias("_all_bytes"))
 
-    Rows of one split are contiguous and in file order within a task; a
-    split may span several Arrow batches, so the running totals carry over.
-    """
-    seen: dict[tuple, tuple[int, int]] = {}
-    for pdf in batches:
-        if pdf.empty:
-            yield pdf.assign(local_idx=pd.Series(dtype="int64"), local_byte=pd.Series(dtype="int64"))
-            continue
-        key = list(zip(pdf["file"], pdf["block"]))
-        idx, off = [], []
-        for k, nb in zip(key, pdf["nbytes"]):
-            n, b = seen.get(k, (0, 0))
-            idx.append(n)
-            off.append(b)
-            seen[k] = (n + 1, b + int(nb))
-        yield pdf.assign(local_idx=idx, local_byte=off)
-
-
-def numbered_lines(spark: SparkSession, path, line_sep: str | None = None, keep_text: bool = True) -> DataFrame:
-    """Lines with ``file``, 1-based ``line_no``, ``byte_offset`` and ``byte_len``.
+
+def numbered_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
+    """``(file, line_no, idx, value)``: the 1-based number in the file and the 0-based index in the data
+    set (files in name order, then lines).
 
     ``line_sep=None`` splits on ``\\n``, ``\\r\\n`` and ``\\r`` (Python's text
     mode); ``'\\n'`` splits on LF only (binary mode, where ``\\r`` stays in the
-    line). Byte offsets assume the separator after every line.
+    line). One join with the table of splits; no line is sorted.
     """
     raw = _raw_lines(spark, path, line_sep)
-    schema = "value string, file string, block bigint, nbytes bigint, local_idx bigint, local_byte bigint"
-    local = raw.mapInPandas(_local_positions, schema)
-    splits = local.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.sum("nbytes").alias("_b"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = splits.select("file", "block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("line_base"),
-                          F.coalesce(F.sum("_b").over(w), F.lit(0)).alias("byte_base"))
-    small = bases.count() <= SPLIT_TABLE_BROADCAST_MAX
-    j = local.join(F.broadcast(bases) if small else bases, ["file", "block"])
-    cols = [F.col("file"), (F.col("line_base") + F.col("local_idx") + 1).alias("line_no"),
-            (F.col("byte_base") + F.col("local_byte")).alias("byte_offset"), F.col("nbytes").alias("byte_len")]
-    if keep_text:
-        cols.append(F.col("value"))
-    return j.select(*cols)
+    nth = F.col("_row") - F.col("_first")
+    return raw.join(_split_bases(raw), ["file", "block"]).select(
+        "file", (F.col("_line") + nth + 1).alias("line_no"), (F.col("_all_lines") + nth).alias("idx"), "value")
 
 
 def line_index(spark: SparkSession, path) -> DataFrame:
-    """S-5: ``(file, line_no, byte_offset, byte_len)`` of every line, split on ``\\n`` only.
+    """S-5: ``(idx, file, line_no, byte_offset, position, byte_len)`` of every line, split on ``\\n`` only.
 
-    A blank line counts. The text itself is dropped before the join.
+    ``byte_offset`` counts in the file, ``position`` in the files one after the
+    other. A blank line counts. Lengths, not texts, are summed: a window per file
+    split, which has a bounded size. Assumes the separator after every line.
     """
-    return numbered_lines(spark, path, "\n", keep_text=False)
+    raw = _raw_lines(spark, path, "\n")
+    slim = raw.drop("value")
+    inside = Window.partitionBy("file", "block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    local = slim.withColumn("_at", F.coalesce(F.sum("nbytes").over(inside), F.lit(0)))
+    nth = F.col("_row") - F.col("_first")
+    return local.join(_split_bases(raw), ["file", "block"]).select(
+        (F.col("_all_lines") + nth).alias("idx"), "file", (F.col("_line") + nth + 1).alias("line_no"),
+        (F.col("_byte") + F.col("_at")).alias("byte_offset"), (F.col("_all_bytes") + F.col("_at")).alias("position"),
+        F.col("nbytes").alias("byte_len"))
+
 
+def fetch_lines(spark: SparkSession, path, wanted: DataFrame, key: str = "idx") -> DataFrame:
+    """S-6: random access: the lines whose data-set index is in ``wanted[key]``, once each.
 
-def fetch_lines(lines: DataFrame, wanted: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """S-6: random access by line number: a left-semi join of the numbered lines on ``wanted``."""
-    key = key or ["line_no"]
-    return lines.join(wanted.select(*key).distinct(), key, "left_semi")
+    The semi-join runs on the numbered lines; an index beyond the data gives no row.
+    """
+    keys = wanted.select(F.col(key).cast("bigint").alias("idx")).where("idx is not null").distinct()
+    return numbered_lines(spark, path, "\n").join(keys, "idx", "left_semi").select("idx", "file", "line_no", "value")
 
 
 def read_jsonl_text(spark: SparkSession, path, text_field: str = "text") -> tuple[DataFrame, DataFrame]:
     """S-1: lenient reader. Returns ``(good, rejects)``.
 
-    ``good``: ``file, line_no, text`` for every object with a ``text`` key
+    ``good``: ``file, text`` for every object with a ``text`` key
     (``text: null`` is kept as null; a non-string value is kept as its JSON
-    text). ``rejects``: ``file, line_no, reason`` with reason ``bad_json`` (a
-    blank line too), ``missing_text`` (an object or array without the key) or
+    text); a narrow parse of one scan. ``rejects``: ``file, line_no, reason`` with
+    reason ``bad_json`` (a blank line too, and anything before or after the one
+    value), ``missing_text`` (an object or array without the key) or
     ``not_object`` (a bare number, string, boolean or null, where the reference
-    stops with an error). Duplicate keys keep the last value.
+    stops with an error). Duplicate keys keep the last value. Only rejects are numbered.
     """
-    lines = numbered_lines(spark, path, None)
+    raw = _raw_lines(spark, path, None)
     reason, text = lenient_parse("value", text_field)
-    staged = lines.select("file", "line_no", reason.alias("reason"), text.alias(text_field))
-    good = staged.filter(F.col("reason").isNull()).select("file", "line_no", text_field)
-    rejects = staged.filter(F.col("reason").isNotNull()).select("file", "line_no", "reason")
+    good = raw.select("file", reason.alias("reason"), text.alias(text_field)).where("reason is null").select("file", text_field)
+    bad = raw.select("file", "block", "_row", reason.alias("reason")).where("reason is not null")
+    rejects = bad.join(_split_bases(raw), ["file", "block"]).select(
+        "file", (F.col("_line") + F.col("_row") - F.col("_first") + 1).alias("line_no"), "reason")
     return good, rejects
 
 
@@ -110,19 +102,29 @@ def lenient_parse(value="value", text_field: str = "text"):
     """S-1's classification as two column expressions ``(reason, text)``.
 
     ``reason`` is null for a kept line. Stateless, so it also runs on a
-    streaming ``readStream.text`` source (ST-1).
+    streaming ``readStream.text`` source (ST-1). The parsers stop after the
+    first value they see, so a line is parsed as the only element of an array
+    and as the only field of an object: whatever is not exactly one value spoils
+    one of the two. Objects with a repeated key, which variants refuse, go
+    through ``from_json`` in the same two wrappers.
     """
     value = F.col(value) if isinstance(value, str) else value
-    v = F.try_parse_json(value)
-    kind = F.schema_of_variant(v)
-    fallback = F.from_json(value, f"struct<{text_field}:string>").getField(text_field)
-    present = F.variant_get(v, f"$.{text_field}", "variant").isNotNull()
-    reason = (F.when(v.isNull() & fallback.isNull(), F.lit("bad_json"))
-              .when(v.isNull(), F.lit(None))
+    listed, boxed = F.concat(F.lit("["), value, F.lit("]")), F.concat(F.lit('{"k":'), value, F.lit("}"))
+    strict = {"allowSingleQuotes": "false"}
+    v = F.try_parse_json(boxed)
+    one = v.isNotNull() & F.try_parse_json(listed).isNotNull()
+    kind = F.coalesce(F.schema_of_variant(F.variant_get(v, "$.k", "variant")), F.lit("VOID"))
+    row = f"struct<{text_field}:string>"
+    again = F.from_json(boxed, f"struct<k:{row}>", strict).getField("k")
+    alone = F.coalesce(F.size(F.from_json(listed, f"array<{row}>", strict)) == 1, F.lit(False))
+    fallback = F.when(alone & again.isNotNull(), again.getField(text_field))
+    present = F.variant_get(v, f"$.k.{text_field}", "variant").isNotNull()
+    reason = (F.when(~one & fallback.isNull(), F.lit("bad_json"))
+              .when(~one, F.lit(None))
               .when(kind.startswith("OBJECT") & present, F.lit(None))
               .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit("missing_text"))
               .otherwise(F.lit("not_object")))
-    text = F.when(v.isNull(), fallback).otherwise(F.try_variant_get(v, f"$.{text_field}", "string"))
+    text = F.when(one, F.try_variant_get(v, f"$.k.{text_field}", "string")).otherwise(fallback)
     return reason, text
 
 
@@ -167,26 +169,36 @@ def read_bz2_jsonl(spark: SparkSession, path, text_field: str = "text") -> tuple
     return read_jsonl_text(spark, path, text_field)
 
 
-def resolve_prompts(spark: SparkSession, df: DataFrame, prompt: str = "prompt") -> DataFrame:
+def resolve_prompts(spark: SparkSession, df: DataFrame, files: DataFrame | str | None = None, prompt: str = "prompt") -> DataFrame:
     """S-8: a prompt ``FILE:<path>`` becomes that file's whole content; others pass through.
 
-    The distinct paths (names, not contents) are listed on the driver; the
-    files are read as whole texts by Spark and joined back on the path.
+    ``files``: a folder (or glob) that holds the prompt files, read as whole texts
+    by Spark, or a table ``(path, content)``; by default the distinct paths
+    themselves are read. Paths are matched without their ``file:`` scheme, other
+    schemes as given. Each row is returned once; null prompts stay null. A
+    path that is not there stops the job; so does an empty file in a folder, which
+    Spark does not list (a path read by its own name then gives an empty text).
     """
-    is_file = F.col(prompt).startswith("FILE:")
-    paths = [r[0] for r in df.filter(is_file).select(F.substring(prompt, 6, 1 << 30)).distinct().collect()]
-    if not paths:
-        return df
-    read = (spark.read.text(paths, wholetext=True)
-            .select(F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^file:(//)?", "").alias("_file"),
-                    F.col("value").alias("_content")))
-    # a FILE: path may name a file or a folder (then its files in name order)
-    by_file = read.select(F.col("_file").alias("_path"), "_content")
-    parts = F.array_sort(F.collect_list(F.struct("_file", "_content")))
-    by_dir = (read.groupBy(F.regexp_replace("_file", "/[^/]*$", "").alias("_path"))
-              .agg(F.array_join(F.transform(parts, lambda x: x.getField("_content")), "").alias("_content")))
-    files = by_file.unionByName(by_dir)
-    keyed = df.withColumn("_path", F.when(is_file, F.regexp_replace(
-        F.regexp_replace(F.substring(prompt, 6, 1 << 30), "^file:(//)?", ""), "/+$", "")))
-    out = keyed.join(files, "_path", "left")
-    return out.withColumn(prompt, F.when(is_file, F.col("_content")).otherwise(F.col(prompt))).drop("_path", "_content")
+    def plain(path):
+        return F.regexp_replace(path, "^file:(?=/)/*", "/")
+
+    is_file = F.coalesce(F.col(prompt).startswith("FILE:"), F.lit(False))
+    wanted = df.where(is_file)
+    by_name = files is None
+    if by_name:
+        # reading needs the paths by name: as many as there are prompt files
+        names = [r[0] for r in wanted.select(F.substring(prompt, 6, 1 << 30)).distinct().collect()]
+        if not names:
+            return df
+        files = names
+    if not isinstance(files, DataFrame):
+        # whole files by their plain paths; Spark itself stops at a name that is not there
+        read = spark.read.format("binaryFile").load(files).select("path", F.decode("content", "UTF-8").alias("content"))
+    else:
+        read = files
+    by_path = read.groupBy(plain(F.col("path")).alias("_path")).agg(F.first("content").alias("_content"), F.lit(True).alias("_there"))
+    keyed = wanted.withColumn("_path", plain(F.substring(prompt, 6, 1 << 30)))
+    got = keyed.join(by_path, "_path", "left")
+    missing = F.lit("") if by_name else F.raise_error(F.concat(F.lit("prompt file not found: "), F.col("_path"))).cast("string")
+    filled = got.withColumn(prompt, F.when(F.col("_there"), F.col("_content")).otherwise(missing)).select(*df.columns)
+    return df.where(~is_file).unionByName(filled)

@@ -3,7 +3,7 @@
 import bz2
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
 from quire.sources import jsonl as J
 
@@ -14,13 +14,31 @@ def test_lenient_reader_fixture(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text("\n".join(FIXTURE_LINES) + "\n")
     good, rej = J.read_jsonl_text(spark, str(p))
-    assert [(r.line_no, r.text) for r in good.orderBy("line_no").collect()] == [(1, "a"), (4, None), (6, "e")]
+    assert sorted((r.text or "") for r in good.collect()) == ["", "a", "e"]
     assert [(r.line_no, r.reason) for r in rej.orderBy("line_no").collect()] == [
         (2, "bad_json"), (3, "missing_text"), (5, "bad_json"), (7, "missing_text"), (8, "not_object")]
     rep = {r.reason: r.n_lines for r in J.load_report(rej).collect()}
     assert rep == {"bad_json": 2, "missing_text": 2, "not_object": 1}
 
 
+def test_lenient_reader_rejects_what_is_not_one_object(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    bad = ['{"text":"a"} trailing', '{"text":"a"}{"text":"b"}', "{'text':'a'}", '{"text":"a"},{"text":"b"}', '{"text":"a"', '[{"text":"a"}', '{"text":"a"}],[{"b":1}',
+           '{"text":"a"}},{"b":{}', '{"text":"a"},"b":{"c":1}']
+    p.write_text("\n".join(['{"text":"ok"}', *bad, ' {"text":"sp"} ', '{"text":{"x":1}}']) + "\n")
+    good, rej = J.read_jsonl_text(spark, str(p))
+    assert sorted(r.text for r in good.collect()) == sorted(["ok", "sp", '{"x":1}'])
+    assert [(r.line_no, r.reason) for r in rej.orderBy("line_no").collect()] == [(k, "bad_json") for k in range(2, 11)]
+
+
+def test_good_path_is_one_narrow_scan(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_text('{"text":"ok"}\n')
+    good, _ = J.read_jsonl_text(spark, str(p))
+    plan = good.select("text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "MapInPandas" not in plan and "Exchange" not in plan and "Python" not in plan
+
+
 def test_bz2(spark, tmp_path):
     p = tmp_path / "c.jsonl.bz2"
     with bz2.open(p, "wt") as f:
@@ -50,12 +68,27 @@ def test_line_index_matches_sequential_rule(spark, tmp_path):
     assert [r.line_no for r in idx] == list(range(1, len(offs) + 1))
 
 
-def test_fetch_lines_and_messages(spark, tmp_path):
+def test_index_and_access_over_several_files(spark, tmp_path):
+    texts = [f"line {k} \xe9" + "x" * (k % 17) for k in range(4000)]
+    for k in range(4):
+        (tmp_path / f"part-{k}.txt").write_text("".join(t + "\n" for t in texts[k * 1000:(k + 1) * 1000]), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        idx = {r.idx: r for r in J.line_index(spark, str(tmp_path)).collect()}
+        got = J.fetch_lines(spark, str(tmp_path), spark.createDataFrame([(0,), (999,), (1000,), (3999,), (5000,), (999,), (None,)], "idx long")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    at = 0
+    for k, t in enumerate(texts):
+        assert (idx[k].position, idx[k].byte_len, idx[k].line_no) == (at, len(t.encode()) + 1, k % 1000 + 1)
+        at += len(t.encode()) + 1
+    assert sorted((r.idx, r.value) for r in got) == [(k, texts[k]) for k in (0, 999, 1000, 3999)]
+
+
+def test_messages(spark, tmp_path):
     p = tmp_path / "m.jsonl"
     p.write_text('[{"role":"user","content":"hi"}]\n[{"role":"assistant","content":"yo"}]\n')
-    lines = J.numbered_lines(spark, str(p), "\n")
-    got = J.fetch_lines(lines, spark.createDataFrame([(2,)], "line_no long")).collect()
-    assert [r.value for r in got] == ['[{"role":"assistant","content":"yo"}]']
     m = J.read_messages_jsonl(spark, str(p)).collect()
     assert [x.messages[0].role for x in m] == ["user", "assistant"]
 
@@ -70,10 +103,33 @@ def test_write_append_keeps_duplicates(spark, tmp_path):
 
 
 def test_resolve_prompts(spark, tmp_path):
-    p = tmp_path / "p.txt"
-    p.write_text("hello\nworld")
-    df = spark.createDataFrame([(f"FILE:{p}",), ("plain",)], "prompt string")
-    assert sorted(r.prompt for r in J.resolve_prompts(spark, df).collect()) == ["hello\nworld", "plain"]
+    a, b = tmp_path / "p+1 %.txt", tmp_path / "q.txt"
+    a.write_text("hello\nworld")
+    b.write_text("")
+    rows = [f"FILE:{a}", f"FILE:{a}", f"FILE:file://{a}", "plain", None, f"FILE:{b}"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, prompt string")
+    want = {0: "hello\nworld", 1: "hello\nworld", 2: "hello\nworld", 3: "plain", 4: None, 5: ""}
+    assert {r.k: r.prompt for r in J.resolve_prompts(spark, df).collect()} == want
+    got = {r.k: r.prompt for r in J.resolve_prompts(spark, df.where("k < 5"), str(tmp_path)).collect()}
+    assert got == {k: want[k] for k in range(5)}
+    gone = spark.createDataFrame([("FILE:/nowhere/x.txt",)], "prompt string")
+    with pytest.raises(Exception, match="not found"):
+        J.resolve_prompts(spark, gone, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        J.resolve_prompts(spark, gone).collect()
+
+
+def test_splits_on_any_file_system(spark, tmp_path):
+    from quire.sources.tables import load_split
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
+    df.write.parquet(f"file://{tmp_path}/train")
+    df.write.json(f"file://{tmp_path}/test")
+    df.write.json(f"file://{tmp_path}/dev.jsonl")
+    for name, fmt in (("train", None), ("test", "json"), ("dev", None)):
+        for root in (f"file://{tmp_path}", str(tmp_path)):
+            assert load_split(spark, root, name, fmt).count() == 2
+    with pytest.raises(FileNotFoundError):
+        load_split(spark, f"file://{tmp_path}", "none")
 
 
 def test_stream_equals_batch(spark):
