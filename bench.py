@@ -64,11 +64,11 @@ def main() -> None:
                           .select(F.sum(F.size(TK.pretokenize("text")))).first()[0])
 
     t0 = time.time()
-    model = PT.trained(spark, sf_dir, vocab)
+    model = PT.exact_model(spark, sf_dir, vocab)
     times["train_bpe"] = round(time.time() - t0, 3)
 
     def bpe_rows():
-        ch = PC.doc_chunks(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism * 2)
+        ch = PC.doc_chunks(spark, sf_dir)
         return B.pretrain_rows(ch, "text", model.encoder(spark), 512, keep=["doc_id", "chunk_id"])
     run("bpe_pretrain_rows", bpe_rows)
     run("cross_entropy", lambda: qs["cross_entropy"](spark, sf_dir))

@@ -15,14 +15,14 @@ touches an accepted pair (a pair formed by a merge, ``(x, ab)`` or
 first pair that fails. This gives the merges, in order, of the one-at-a-time
 trainer.
 
-Encoding and decoding (T-6, T-7) are Arrow-batched pandas UDFs over a
-broadcast of the model, with a per-task word cache.
+Encoding (T-6) splits texts into words on the JVM (T-1, T-2) and hands word
+arrays to an Arrow-batched UDF over a broadcast of the model, which looks words
+up in a least-recently-used cache; decoding (T-7) is an Arrow-batched UDF.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import re
 import unicodedata
 from dataclasses import dataclass, field
@@ -49,8 +49,16 @@ TOKENIZER_CONFIG = {
     "eos_token": "<|im_end|>",
     "pad_token": "<|im_end|>",
     "unk_token": "<unk>",
+    "model_max_length": int(1e30),
     "clean_up_tokenization_spaces": False,
     "tokenizer_class": "PreTrainedTokenizerFast",
+    "chat_template": (
+        "{% for message in messages %}"
+        "{% if message['role'] in ['system', 'user', 'assistant'] %}"
+        "<|im_start|>{{ message['role'] }}\n{{ message['content'] }}<|im_end|>\n"
+        "{% endif %}{% endfor %}"
+        "{% if add_generation_prompt %}{{ '<|im_start|>assistant\n' }}{% endif %}"
+    ),
 }
 SPECIAL_TOKENS_MAP = {
     "bos_token": "<|im_start|>",
@@ -94,13 +102,13 @@ def _nfkc_udf(s: pd.Series) -> pd.Series:
 
 
 def nfkc(df: DataFrame, text: str = "text") -> DataFrame:
-    """T-1: Unicode NFKC of ``text``.
+    """T-1: Unicode NFKC of ``text``, in one scan.
 
-    Rows whose characters are all NFKC-stable stay on the JVM; only the rest
-    cross to Python (a Python UDF inside ``when`` would see every row).
+    Rows whose characters are all NFKC-stable stay on the JVM: they cross to
+    Python as nulls and keep their own text.
     """
-    stable = F.coalesce(F.col(text).rlike(_NFKC_STABLE), F.lit(True))
-    return df.filter(stable).unionByName(df.filter(~stable).withColumn(text, _nfkc_udf(F.col(text))))
+    c = F.col(text)
+    return df.withColumn(text, F.coalesce(_nfkc_udf(F.when(~c.rlike(_NFKC_STABLE), c)), c))
 
 
 def pretokenize(text) -> Column:
@@ -108,6 +116,32 @@ def pretokenize(text) -> Column:
     return F.regexp_extract_all(col_of(text), F.lit("(?U)" + PRETOKEN_PATTERN), 0)
 
 
+def split_special(text, specials=SPECIAL_TOKENS) -> Column:
+    """A text cut before and after every special token; empty pieces left out."""
+    either = "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True))
+    return F.array_remove(F.split(col_of(text), f"(?={either})|(?<={either})"), "")
+
+
+def words_of(parts, specials=SPECIAL_TOKENS) -> Column:
+    """The words (T-2) of a text cut by ``split_special``; a special token is a word of its own."""
+    return F.flatten(F.transform(parts, lambda p: F.when(p.isin(*specials), F.array(p)).otherwise(pretokenize(p))))
+
+
+def _nfkc_parts_udf(specials: tuple[str, ...], nested: bool = False):
+    """NFKC between special tokens: text to pieces (``nested``: array of texts to arrays of pieces)."""
+    cut = "(" + "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True)) + ")"
+
+    def parts(x):
+        return [p if p in specials else unicodedata.normalize("NFKC", p) for p in re.split(cut, x) if p]
+
+    kind = ArrayType(StringType())
+
+    @F.pandas_udf(ArrayType(kind) if nested else kind)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else [parts(y) for y in x] if nested else parts(x))
+    return run
+
+
 def word_symbols(word) -> Column:
     """T-3: a word's UTF-8 bytes as alphabet ids (one id per byte)."""
     lut = int_array(BYTE_IDS)
@@ -166,15 +200,40 @@ class BpeModel:
                                      "rank int, left string, right string")
 
     # T-6 / T-7 as column functions
-    def encoder(self, spark: SparkSession):
+    def _lookup(self, spark: SparkSession, nested: bool):
         bc = spark.sparkContext.broadcast((self.vocab, self.merges, tuple(self.special_tokens)))
 
-        @F.pandas_udf(ArrayType(IntegerType()))
-        def _encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            enc = _Codec(*bc.value)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            codec = _Codec(*bc.value)
+            one = codec.words_to_ids
+            work = (lambda rows: [one(x) for x in rows]) if nested else one
             for s in batches:
-                yield s.map(lambda x: None if x is None else enc.encode(x))
-        return lambda c: _encode(col_of(c))
+                yield s.map(lambda x: None if x is None else work(x))
+        ids = ArrayType(IntegerType())
+        return F.pandas_udf(run, ArrayType(ids) if nested else ids)
+
+    def encoder(self, spark: SparkSession):
+        """Function of a text column giving its ids: words on the JVM, ids from a word lookup."""
+        lookup = self._lookup(spark, False)
+
+        def encode(c) -> Column:
+            c = col_of(c)
+            parts = F.coalesce(_nfkc_parts_udf(tuple(self.special_tokens))(F.when(~c.rlike(_NFKC_STABLE), c)),
+                               split_special(c, self.special_tokens))
+            return lookup(words_of(parts, self.special_tokens))
+        return encode
+
+    def array_encoder(self, spark: SparkSession):
+        """As ``encoder``, from an array of texts to an array of id arrays (B-ROW-6)."""
+        lookup = self._lookup(spark, True)
+
+        def encode(c) -> Column:
+            c = col_of(c)
+            stable = F.forall(c, lambda x: x.rlike(_NFKC_STABLE))
+            parts = F.coalesce(_nfkc_parts_udf(tuple(self.special_tokens), True)(F.when(~stable, c)),
+                               F.transform(c, lambda x: split_special(x, self.special_tokens)))
+            return lookup(F.transform(parts, lambda p: words_of(p, self.special_tokens)))
+        return encode
 
     def decoder(self, spark: SparkSession, skip_special_tokens: bool = False):
         bc = spark.sparkContext.broadcast((self.vocab, self.merges, tuple(self.special_tokens)))
@@ -187,43 +246,66 @@ class BpeModel:
         return lambda c: _decode(col_of(c))
 
     def header_ids(self, text: str = "<|im_start|>assistant\n") -> list[int]:
-        return _Codec(self.vocab, self.merges, tuple(self.special_tokens)).encode(text)
+        """Ids of a text of special tokens and ASCII words parted by them (the template's headers)."""
+        parts = [p for p in re.split("(" + "|".join(map(re.escape, self.special_tokens)) + ")", text) if p]
+        words = [w for p in parts for w in ([p] if p in self.special_tokens else re.findall(r" ?[A-Za-z]+|\s", p))]
+        if "".join(words) != text:
+            raise ValueError(f"not a plain header: {text!r}")
+        return _Codec(self.vocab, self.merges, tuple(self.special_tokens)).words_to_ids(words)
 
     # T-8
-    def save(self, directory: str) -> None:
-        from quire.session import local_path
-        directory = local_path(directory)
-        os.makedirs(directory, exist_ok=True)
-        tok = {"model": {"type": "BPE", "vocab": self.token_to_id,
-                         "merges": [[a, b] for a, b in self.merges]},
-               "added_tokens": [{"id": i, "content": t, "special": True}
-                                for i, t in enumerate(self.special_tokens)]}
-        with open(os.path.join(directory, "tokenizer.json"), "w", encoding="utf-8") as f:
-            json.dump(tok, f, ensure_ascii=False)
-        with open(os.path.join(directory, "tokenizer_config.json"), "w", encoding="utf-8") as f:
-            json.dump(TOKENIZER_CONFIG, f, ensure_ascii=False, indent=4)
-        with open(os.path.join(directory, "special_tokens_map.json"), "w", encoding="utf-8") as f:
-            json.dump(SPECIAL_TOKENS_MAP, f, ensure_ascii=False, indent=4)
+    def files(self) -> dict[str, dict]:
+        """The three JSON files by name."""
+        tok = {"model": {"type": "BPE", "vocab": self.token_to_id, "merges": [[a, b] for a, b in self.merges]},
+               "added_tokens": [{"id": i, "content": t, "special": True} for i, t in enumerate(self.special_tokens)]}
+        return {"tokenizer.json": tok, "tokenizer_config.json": TOKENIZER_CONFIG, "special_tokens_map.json": SPECIAL_TOKENS_MAP}
+
+    def save(self, spark: SparkSession, directory: str) -> None:
+        """Vocabulary and merges as Parquet, and the JSON files, in a folder on any file system."""
+        base = directory.rstrip("/")
+        self.vocab_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{base}/vocab")
+        self.merges_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{base}/merges")
+        for name, content in self.files().items():
+            write_file(spark, f"{base}/{name}", json.dumps(content, ensure_ascii=False, indent=None if name == "tokenizer.json" else 4))
+
+    @classmethod
+    def load(cls, spark: SparkSession, directory: str) -> "BpeModel":
+        """A saved model, from its Parquet tables."""
+        base = directory.rstrip("/")
+        vocab = spark.read.parquet(f"{base}/vocab").orderBy("id").collect()  # the model's own size
+        merges = spark.read.parquet(f"{base}/merges").orderBy("rank").collect()
+        return cls([r["token"] for r in vocab], [(r["left"], r["right"]) for r in merges],
+                   tuple(r["token"] for r in vocab if r["is_special"]))
+
 
     @classmethod
-    def load(cls, directory: str) -> "BpeModel":
-        from quire.session import local_path
-        directory = local_path(directory)
-        with open(os.path.join(directory, "tokenizer.json"), encoding="utf-8") as f:
-            tok = json.load(f)
-        v = tok["model"]["vocab"]
-        vocab = [None] * len(v)
-        for t, i in v.items():
-            vocab[i] = t
-        specials = tuple(a["content"] for a in sorted(tok.get("added_tokens", []), key=lambda a: a["id"]))
-        return cls(vocab, [tuple(m) for m in tok["model"]["merges"]], specials or SPECIAL_TOKENS)
+    def from_tokenizer_file(cls, path: str, special_tokens: tuple[str, ...] = SPECIAL_TOKENS) -> "BpeModel":
+        """The merges of a published byte-level ``tokenizer.json`` (a path on the driver) under our own
+        special tokens: ids 0.. are the special tokens, the file's tokens follow in their order."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        tokens = sorted(model["vocab"], key=model["vocab"].get)
+        merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        return cls([*special_tokens, *(t for t in tokens if t not in special_tokens)], merges, tuple(special_tokens))
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small UTF-8 file through the file system that the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 class _Codec:
-    """Per-task encoder/decoder state (small helper behind the UDFs)."""
+    """Per-task word lookup and decoder (small helper behind the UDFs)."""
+
+    WORDS = 200_000  # words remembered; the least recently used go first
 
     def __init__(self, vocab, merges, specials):
-        import regex  # Unicode classes and lookahead, as the JVM pattern
+        from functools import lru_cache
         self.tok2id = {t: i for i, t in enumerate(vocab)}
         self.vocab = vocab
         self.special_ids = {t: self.tok2id[t] for t in specials}
@@ -234,23 +316,15 @@ class _Codec:
                 self.ranks[pair] = (r, self.tok2id[a + b])
         self.byte_ids = [self.tok2id[c] for c in BYTE_CHARS]
         self.char_byte = {c: b for b, c in enumerate(BYTE_CHARS)}
-        self.split_special = re.compile("(" + "|".join(re.escape(s) for s in
-                                                       sorted(specials, key=len, reverse=True)) + ")")
-        self.pre = regex.compile(PRETOKEN_PATTERN)
-        self.cache: dict[str, list[int]] = {}
-
-    def word(self, w: str) -> list[int]:
-        hit = self.cache.get(w)
-        if hit is not None:
-            return hit
+        self.word = lru_cache(self.WORDS)(self._word)
+
+    def _word(self, w: str) -> tuple[int, ...]:
+        if w in self.special_ids:
+            return (self.special_ids[w],)
         ids = [self.byte_ids[b] for b in w.encode("utf-8")]
         ranks = self.ranks
         while len(ids) > 1:
-            best = None
-            for i in range(len(ids) - 1):
-                r = ranks.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r[0] < best[0]):
-                    best = r + (ids[i], ids[i + 1])
+            best = min((ranks[p] + p for p in zip(ids, ids[1:]) if p in ranks), default=None)
             if best is None:
                 break
             _, new, a, b = best
@@ -263,22 +337,10 @@ class _Codec:
                     out.append(ids[i])
                     i += 1
             ids = out
-        if len(self.cache) < 200_000:
-            self.cache[w] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.split_special.split(text):
-            if not part:
-                continue
-            sid = self.special_ids.get(part)
-            if sid is not None:
-                out.append(sid)
-                continue
-            for w in self.pre.findall(unicodedata.normalize("NFKC", part)):
-                out.extend(self.word(w))
-        return out
+        return tuple(ids)
+
+    def words_to_ids(self, words) -> list[int]:
+        return [i for w in words for i in self.word(w)]
 
     def decode(self, ids, skip_special_tokens: bool = False) -> str:
         special = set(self.special_ids.values())
@@ -394,7 +456,7 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = 6144, min_fre
                 index[new_tok] = nid
             merges.append((vocab[a], vocab[b]))
             accepted.append((a, b, nid))
-            used |= {a, b}
+            used |= {a, b, nid}
             bound = max(bound, tmax.get((a, b), 0))
         rounds += 1
         sizes.append(len(accepted))
@@ -419,11 +481,16 @@ def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = 6144, min_fre
 
 # ---------------------------------------------------------------- Q-1, Q-2, Q-3
 def roundtrip_report(df: DataFrame, model: BpeModel, text: str = "text", group: list[str] | None = None,
-                     max_length: int = 256) -> DataFrame:
-    """Q-1: share of rows with ``decode(encode(x)[:max_length]) == x`` (cut texts compare unequal)."""
+                     max_length: int | None = None) -> DataFrame:
+    """Q-1: share of rows with ``decode(encode(x)) == x``, over whole texts.
+
+    ``max_length`` cuts the ids first, as a model's input is cut; cut texts then
+    compare unequal.
+    """
     spark = df.sparkSession
     enc, dec = model.encoder(spark), model.decoder(spark)
-    staged = df.withColumn("_ids", F.slice(enc(F.col(text)), 1, max_length))
+    ids = enc(F.col(text))
+    staged = df.withColumn("_ids", ids if max_length is None else F.slice(ids, 1, max_length))
     ok = (dec(F.col("_ids")) == F.col(text)).cast("double")
     out = staged.withColumn("_ok", ok)
     aggs = [F.avg("_ok").alias("roundtrip_rate"), F.count(F.lit(1)).alias("n")]
@@ -445,9 +512,10 @@ def special_tokens_preserved(df: DataFrame, model: BpeModel, text: str = "text")
 def vocab_usage(encoded: DataFrame, vocab: DataFrame, ids: str = "ids") -> DataFrame:
     """Q-3: per vocabulary id its special flag and how often the encoded corpus uses it (0 if never).
 
-    The usage counts are a partial aggregation; the vocabulary side is bounded
-    by the vocabulary size.
+    An id that the corpus uses but the vocabulary lacks has a row of its own,
+    with a null token. The usage counts are a partial aggregation; the
+    vocabulary side is bounded by the vocabulary size.
     """
     uses = encoded.select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("uses"))
-    return (vocab.join(uses, "id", "left")
+    return (vocab.join(uses, "id", "full_outer")
             .select("id", "token", "is_special", F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses")))

@@ -71,12 +71,40 @@ def test_special_tokens_and_reports(spark, trained):
     assert usage.filter("id = 3").first().uses == 1
 
 
-def test_save_load(tmp_path, trained):
-    trained.save(str(tmp_path))
-    back = TK.BpeModel.load(str(tmp_path))
-    assert back.vocab == trained.vocab and back.merges == trained.merges
-    cfg = json.loads((tmp_path / "tokenizer_config.json").read_text())
+def test_save_load(spark, tmp_path, trained):
+    for where in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        trained.save(spark, where)
+        back = TK.BpeModel.load(spark, where)
+        assert back.vocab == trained.vocab and back.merges == trained.merges and back.special_tokens == trained.special_tokens
+    cfg = json.loads((tmp_path / "b" / "tokenizer_config.json").read_text())
     assert cfg["bos_token"] == "<|im_start|>" and cfg["pad_token"] == "<|im_end|>"
+    assert cfg["model_max_length"] == 1000000000000000019884624838656 and "add_generation_prompt" in cfg["chat_template"]
+    tok = json.loads((tmp_path / "a" / "tokenizer.json").read_text())
+    assert len(tok["model"]["vocab"]) == len(trained.vocab) and len(tok["model"]["merges"]) == len(trained.merges)
+
+
+def test_array_encoder_and_skipped_specials(spark, trained):
+    texts = ["Hello <|im_start|>user\n", "Ａ１ ﬁne<|im_end|>", "", "x  y\n\nz"]
+    df = spark.createDataFrame([(texts,)], "t array<string>")
+    many = df.select(trained.array_encoder(spark)(F.col("t")).alias("ids")).first().ids
+    one = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", trained.encoder(spark)(F.col("t")).alias("ids"))
+    assert many == [r.ids for r in one.orderBy("k").collect()]
+    back = spark.createDataFrame([(k, ids) for k, ids in enumerate(many)], "k int, ids array<int>").select(
+        "k", trained.decoder(spark)("ids").alias("all"), trained.decoder(spark, True)("ids").alias("plain")).orderBy("k").collect()
+    assert [r["all"] for r in back] == ["Hello <|im_start|>user\n", "A1 fine<|im_end|>", "", "x  y\n\nz"]
+    assert [r.plain for r in back] == ["Hello user\n", "A1 fine", "", "x  y\n\nz"]
+
+
+def test_engine_does_not_import_regex():
+    import pathlib
+    root = pathlib.Path(TK.__file__).parents[1]
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "import regex" in p.read_text()]
+
+
+def test_one_scan_for_nfkc(spark):
+    docs = load_table(spark, "/root/testdata/sf0.001", "documents", ["text"])
+    plan = TK.nfkc(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_word_symbols_and_pretokenize(spark):
