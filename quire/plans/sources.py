@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from quire.functions import chat as C
 from quire.operators import rows as B
-from quire.plans.corpus import _PRE_SQL, SQL_MSGS, conv_messages, doc_chunks
-from quire.plans.registry import SQL_CHUNKS, query, table
+from quire.functions import ids as I
+from quire.operators import reshape as R
+from quire.operators import split as S
+from quire.plans.corpus import _PRE_SQL, _RAW_MAP, _SFT_SQL, H, SQL_MSGS, _j, conv_messages, conv_turns, doc_chunks
+from quire.plans.scoring import _QA_SQL, scored
+from quire.plans.registry import SQL_CHUNKS, query, sql_join, table
 from quire.session import scratch_dir
 from quire.sources import jsonl as J
 from quire.sources.tables import load_split
@@ -200,3 +204,61 @@ def stream_load_report(spark, d):
     good, rejects = ST.stream_lenient_jsonl(spark, src)
     return good.agg(F.count(F.lit(1)).alias("n_lines")).withColumn("reason", F.lit("good")) \
         .unionByName(J.load_report(rejects)).select("reason", "n_lines")
+
+
+# ---------------------------------------------------------------- the two main paths, end to end
+_SFT_ROWS_SQL = _SFT_SQL + f"""
+SELECT n_tokens, text_len, {sql_join("p[1:511]")} AS X, {sql_join("mk[2:512]")} AS loss_mask FROM masked
+"""
+
+
+def _raw_conversations(spark, d, files: int = 1):
+    """Conversations as raw JSON lines: ``{"conversations": [{"from", "value"}]}``."""
+    out = f"{scratch_dir(spark, 'raw-conversations')}/part"
+    raw = R.collect_turns(conv_turns(spark, d), sender_map=_RAW_MAP)
+    raw.select(F.to_json(F.struct("conversations")).alias("value")).repartition(files).write.text(out)
+    return out
+
+
+def _sft_out(rows):
+    return rows.select("n_tokens", "text_len", _j("X").alias("X"), _j("loss_mask").alias("loss_mask"))
+
+
+@query("path_conversations_to_rows", "S-2 P-2 S-4 S-3 R-1 B-ROW-8", _SFT_ROWS_SQL)
+def path_conversations_to_rows(spark, d):
+    raw = J.read_jsonl_strict(spark, _raw_conversations(spark, d), f"conversations {C.TURN_TYPE}")
+    out = f"{scratch_dir(spark, 'messages')}/part"
+    J.write_jsonl(raw.select(C.to_messages("conversations").alias("messages")), out)
+    return _sft_out(B.sft_rows(J.read_messages_jsonl(spark, out), "messages", I.codepoint_ids, H, 512))
+
+
+@query("path_corpus_to_batches", "S-4 S-6 S-1 P-1 B-ROW-7 W-4", _PRE_SQL + """,
+placed AS (SELECT text_len, row_number() OVER (ORDER BY doc_id, chunk_id) - 1 AS i FROM padded)
+SELECT i // 64 AS batch_id, count(*) AS n_rows, CAST(sum(text_len) AS BIGINT) AS tokens, max(i % 64) AS last_pos FROM placed GROUP BY 1
+""")
+def path_corpus_to_batches(spark, d):
+    lines = f"{scratch_dir(spark, 'corpus')}/part"
+    J.write_jsonl(table(spark, d, "documents", "doc_id", "text").orderBy("doc_id"), lines)
+    reason, text = J.lenient_parse("value")
+    docs = J.numbered_lines(spark, lines).select("idx", reason.alias("reason"), text.alias("text")).where("reason is null")
+    rows = B.pretrain_rows(R.chunk_text(docs.select("idx", "text")), "text", I.codepoint_ids, 512, keep=["idx", "chunk_id"])
+    out = scratch_dir(spark, "batches")
+    S.assign_batches(rows, ["idx", "chunk_id"], 64).write.parquet(out)
+    return spark.read.parquet(out).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("text_len").cast("bigint").alias("tokens"), F.max("pos_in_batch").alias("last_pos"))
+
+
+@query("stream_sft_rows", "ST-1 P-2 R-1 B-ROW-8", _SFT_ROWS_SQL)
+def stream_sft_rows(spark, d):
+    return _sft_out(ST.stream_sft_rows(spark, _raw_conversations(spark, d, 3), header_ids=H, max_files_per_trigger=1))
+
+
+@query("stream_rewards", "ST-2 A-2 A-3", _QA_SQL + """
+SELECT lang, round(avg(reward), 9) AS mean, count(*) AS n, true AS several_updates FROM rewarded GROUP BY lang
+""")
+def stream_rewards(spark, d):
+    log = scratch_dir(spark, "reward-log")
+    scored(spark, d).select("lang", "reward").repartition(4).write.parquet(log)
+    stream = ST.read_stream(spark, log, "lang string, reward double", max_files_per_trigger=1)
+    return ST.running_mean(spark, stream, "reward", "lang").select(
+        "lang", F.round("mean", 9).alias("mean"), "n", (F.col("n_updates") > 1).alias("several_updates"))

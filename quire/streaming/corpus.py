@@ -7,14 +7,13 @@ under the cluster's checkpoint folder.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import chat as C
 from quire.functions import ids as I
 from quire.operators.reshape import chunk_text
-from quire.operators.rows import pretrain_rows
+from quire.operators.rows import pretrain_rows, sft_rows
 from quire.session import scratch_dir
 from quire.sources.jsonl import lenient_parse
 
@@ -43,8 +42,8 @@ def stream_chunks(spark: SparkSession, source_dir: str, schema, file_glob: str |
     """ST-1: P-1 on a stream into an append-mode Parquet sink; returns the sink as a table."""
     src = read_stream(spark, source_dir, schema, file_glob)
     out = scratch_dir(spark, "stream-chunks")
-    run_append(chunk_text(src, text, size), os.path.join(out, "data"), os.path.join(out, "_checkpoint"))
-    return spark.read.parquet(os.path.join(out, "data"))
+    run_append(chunk_text(src, text, size), f"{out}/data", f"{out}/_checkpoint")
+    return spark.read.parquet(f"{out}/data")
 
 
 def running_masked_loss(spark: SparkSession, stream: DataFrame, loss: str, mask: str, step: str,
@@ -58,13 +57,13 @@ def running_masked_loss(spark: SparkSession, stream: DataFrame, loss: str, mask:
     agg = (stream.groupBy(F.floor(F.col(step) / interval).cast("bigint").alias("log_step"))
            .agg(F.sum(F.col(loss) * F.col(mask)).alias("num"), F.sum(F.col(mask).cast("double")).alias("mask_sum")))
     out = scratch_dir(spark, "stream-loss")
-    data = os.path.join(out, "data")
+    data = f"{out}/data"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(data)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", os.path.join(out, "_checkpoint"))
+         .option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return latest_report(spark.read.parquet(data))
@@ -85,8 +84,8 @@ def stream_pretrain_rows(spark: SparkSession, source_dir: str, schema, file_glob
     src = read_stream(spark, source_dir, schema, file_glob)
     rows = pretrain_rows(chunk_text(src, text), text, encoder, max_length, keep=[*keep, "chunk_id"])
     out = scratch_dir(spark, "stream-rows")
-    run_append(rows, os.path.join(out, "data"), os.path.join(out, "_checkpoint"))
-    return spark.read.parquet(os.path.join(out, "data"))
+    run_append(rows, f"{out}/data", f"{out}/_checkpoint")
+    return spark.read.parquet(f"{out}/data")
 
 
 def stream_lenient_jsonl(spark: SparkSession, source_dir: str, text_field: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -100,7 +99,40 @@ def stream_lenient_jsonl(spark: SparkSession, source_dir: str, text_field: str =
     reason, text = lenient_parse("value", text_field)
     staged = src.select("file", reason.alias("reason"), text.alias(text_field))
     out = scratch_dir(spark, "stream-jsonl")
-    run_append(staged, os.path.join(out, "data"), os.path.join(out, "_checkpoint"))
-    res = spark.read.parquet(os.path.join(out, "data"))
+    run_append(staged, f"{out}/data", f"{out}/_checkpoint")
+    res = spark.read.parquet(f"{out}/data")
     return (res.filter(F.col("reason").isNull()).select("file", text_field),
             res.filter(F.col("reason").isNotNull()).select("file", "reason"))
+
+
+def stream_sft_rows(spark: SparkSession, source_dir: str, system: str = C.DEFAULT_SYSTEM, encoder=I.codepoint_ids,
+                    header_ids: list[int] | None = None, max_length: int = 512,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """ST-1: raw ``{"conversations": [{from, value}]}`` lines -> P-2 -> R-1 -> encode -> B-ROW-8 on a
+    stream into an append sink; returns the sink as a table."""
+    src = read_stream(spark, source_dir, f"conversations {C.TURN_TYPE}", fmt="json", max_files_per_trigger=max_files_per_trigger)
+    rows = sft_rows(src.select(C.to_messages("conversations", system).alias("messages")), "messages", encoder, header_ids, max_length)
+    out = scratch_dir(spark, "stream-sft")
+    run_append(rows, f"{out}/data", f"{out}/_checkpoint")
+    return spark.read.parquet(f"{out}/data")
+
+
+def running_mean(spark: SparkSession, stream: DataFrame, value: str, group: str) -> DataFrame:
+    """ST-2: running mean of ``value`` (a reward) and row count per group, updated as rows arrive.
+
+    As ``running_masked_loss``: each micro-batch appends the groups it changed;
+    the latest row per group is the current value.
+    """
+    agg = stream.groupBy(group).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    out = scratch_dir(spark, "stream-mean")
+    data = f"{out}/data"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(data)
+
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    last = spark.read.parquet(data).groupBy(group).agg(F.max_by(F.struct("total", "n"), "batch_id").alias("v"),
+                                                       F.count(F.lit(1)).alias("n_updates"))
+    return last.select(group, F.try_divide("v.total", "v.n").alias("mean"), "v.n", "n_updates")
