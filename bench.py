@@ -78,6 +78,8 @@ def main() -> None:
     run("assign_batches", lambda: S.assign_batches(
         S.shuffle_key(PC.doc_chunks(spark, sf_dir).withColumn("row_key", F.concat_ws(":", "doc_id", "chunk_id")),
                       "row_key", 42, 0), ["shuffle_key"], 64))
+    for name in ("jsonl_roundtrip", "line_index", "fetch_lines", "preview", "bpe_decode"):
+        run(name, lambda name=name: qs[name](spark, sf_dir))
     run("rewards", lambda: qs["rewards"](spark, sf_dir))
     run("exact_split", lambda: qs["exact_split"](spark, sf_dir))
     run("codepoint_context_tail", lambda: qs["context_tail"](spark, sf_dir))
