@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 NEVER = 1 << 40
 CACHE_WORDS = 600_000  # pre-tokens remembered by a Python worker; then it starts afresh
 PART_CHARS = 1 << 21
+PARTING = "\u0100"  # beyond the 256 letters that bytes are spelled with
 
 PLAIN_TOP = 0x250  # texts of Latin letters below this code point take Python's own regular expressions
 
@@ -61,6 +62,7 @@ class Bpe:
     def __init__(self, raw: bytes):
         import re
 
+        import ahocorasick
         import numpy as np
         import regex
 
@@ -110,12 +112,12 @@ class Bpe:
         sound[list(self.byte_id.values())] = True
         for r in range(len(made)):  # parts are made before wholes
             sound[made[r]] = whole[r] and times[made[r]] == 1 and sound[left[r]] and sound[right[r]]
-        self.token = {self.piece[i]: i for i in np.nonzero(sound)[0].tolist()}
-        self.reach: dict[bytes, int] = {}  # the longest token that starts with these (up to) three bytes
-        for t in self.token:
-            for k in (1, 2, 3):
-                if len(t) == k or k == 3 and len(t) > 3:
-                    self.reach[t[:k]] = max(self.reach.get(t[:k], 0), len(t))
+        self.made = made
+        self.length = np.array([len(x) for x in self.piece], dtype=np.int64)
+        self.greedy = ahocorasick.Automaton()
+        for i in np.nonzero(sound)[0].tolist():
+            self.greedy.add_word(self.piece[i].decode("latin-1"), i)
+        self.greedy.make_automaton()
         self.wide = re.compile(f"[^\0-{chr(PLAIN_TOP - 1)}]").search
         self.plain = re.compile(pretoken_pattern(category_ranges("L", PLAIN_TOP), category_ranges("N", PLAIN_TOP), r"\t-\r \x85\xa0"))
         self.full = regex.compile(pretoken_pattern(r"\p{L}", r"\p{N}", r"\t-\r\p{Z}\x85"))
@@ -155,41 +157,72 @@ class Bpe:
         return ok
 
     # ------------------------------------------------------------ propose
-    def _propose(self, word: bytes) -> list[int] | None:
-        got = self.token.get(word)
-        if got is not None:
-            return [got]
-        out, i, n, token, reach = [], 0, len(word), self.token, self.reach
-        while i < n:
-            j = min(n, i + reach.get(word[i:i + 3], 2))
-            while (got := token.get(word[i:j])) is None:
-                j -= 1
-                if j == i:
-                    return None
-            out.append(got)
-            i = j
-        return out
+    def _propose(self, raw: list[bytes]):
+        """Greedy longest match of many words at once: (ids, number of the word of each id, words that the
+        vocabulary does not cover)."""
+        import numpy as np
+
+        starts = np.cumsum([0, *(len(w) + 1 for w in raw)], dtype=np.int64)
+        joined = PARTING.join(w.decode("latin-1") for w in raw) + PARTING
+        found = list(self.greedy.iter_long(joined))
+        ends = np.fromiter((e for e, _ in found), dtype=np.int64, count=len(found))
+        ids = np.fromiter((t for _, t in found), dtype=np.int64, count=len(found))
+        owner = np.searchsorted(starts, ends, side="right") - 1
+        covered = np.bincount(owner, weights=self.length[ids], minlength=len(raw))
+        return ids, owner, np.nonzero(covered != np.diff(starts) - 1)[0]
 
     # ------------------------------------------------------------ exact
-    def _merge(self, word: bytes) -> list[int]:
-        """Merge by merge, lowest rank first, then leftmost; a heap keeps long words cheap."""
-        ids = [self.byte_id[b] for b in word if b in self.byte_id]
-        if len(ids) <= 48:
-            get, width, made = self.rank_of.get, self.width, self.made_by
-            ranks = [get(a * width + b, NEVER) for a, b in zip(ids, ids[1:])]
-            while ranks:
-                r = min(ranks)
-                if r == NEVER:
-                    break
-                i = ranks.index(r)
-                ids[i] = made[r]
-                del ids[i + 1], ranks[i]
-                if i < len(ranks):
-                    ranks[i] = get(ids[i] * width + ids[i + 1], NEVER)
-                if i:
-                    ranks[i - 1] = get(ids[i - 1] * width + ids[i], NEVER)
-            return ids
-        return self._merge_long(ids)
+    def _merge(self, raw: list[bytes]) -> list[list[int]]:
+        """Exact merging, lowest rank first, then leftmost. Words of usual length take their merges side
+        by side, one merge per word and round; a long word takes a heap."""
+        import numpy as np
+
+        out: list = [None] * len(raw)
+        usual = [k for k, w in enumerate(raw) if len(w) <= 64]
+        for k in set(range(len(raw))) - set(usual):
+            out[k] = self._merge_long([self.byte_id[b] for b in raw[k] if b in self.byte_id])
+        byte = np.full(256, -1, dtype=np.int64)
+        byte[list(self.byte_id)] = list(self.byte_id.values())
+        ids = byte[np.frombuffer(b"".join(raw[k] for k in usual), dtype=np.uint8)]
+        owner = np.repeat(np.array(usual, dtype=np.int64), [len(raw[k]) for k in usual])
+        ids, owner = ids[ids >= 0], owner[ids >= 0]
+
+        def ranks(at):
+            """The rank of the pair that begins at each place."""
+            nxt = np.minimum(at + 1, len(ids) - 1)
+            key = ids[at] * self.width + ids[nxt]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.keys[k] == key) & (at + 1 < len(ids)) & (owner[at] == owner[nxt])
+            return np.where(hit, self.key_rank[k], NEVER)
+
+        done = [(owner[:0], ids[:0])]
+        rank = ranks(np.arange(len(ids))) if len(ids) and len(self.keys) else np.full(len(ids), NEVER)
+        while len(ids):
+            first = np.r_[0, np.nonzero(np.diff(owner))[0] + 1]
+            word = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(ids)]))
+            least = np.minimum.reduceat(rank, first)
+            over = (least == NEVER)[word]
+            if over.any():
+                done.append((owner[over], ids[over]))
+                ids, owner, rank = ids[~over], owner[~over], rank[~over]
+                continue
+            at = np.nonzero(rank == least[word])[0]
+            at = at[np.r_[True, np.diff(word[at]) > 0]]  # the leftmost of each word
+            ids[at] = self.made[rank[at]]
+            stay = np.ones(len(ids), dtype=bool)
+            stay[at + 1] = False
+            moved = at - np.arange(len(at))  # their places once the right halves are gone
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            around = np.unique(np.r_[moved, np.maximum(moved - 1, 0)])
+            rank[around] = ranks(around)
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        cuts = np.searchsorted(owner[order], usual)
+        ends = np.searchsorted(owner[order], usual, side="right")
+        ids = ids[order].tolist()
+        for k, a, b in zip(usual, cuts.tolist(), ends.tolist()):
+            out[k] = ids[a:b]
+        return out
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         import heapq
@@ -229,19 +262,24 @@ class Bpe:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         fresh = [w for w in words if w not in self.known]
+        if not fresh:
+            return
         raw = [w.encode("utf-8") for w in fresh]
-        tried = [self._propose(w) for w in raw]
-        ids = np.array([t for p in tried if p for t in p], dtype=np.int64)
-        owner = np.repeat(np.arange(len(tried)), [len(p) if p else 0 for p in tried])
+        ids, owner, uncovered = self._propose(raw)
         inner = np.nonzero(owner[1:] == owner[:-1])[0]
-        wrong = {k for k, p in enumerate(tried) if p is None}
         pairs, back = np.unique(ids[inner] * self.width + ids[inner + 1], return_inverse=True)
         fits = self._compatible(pairs // self.width, pairs % self.width)
-        wrong.update(owner[inner[~fits[back]]].tolist())
+        wrong = sorted({*uncovered.tolist(), *owner[inner[~fits[back]]].tolist()})
         self.stats["proposed"] += len(fresh)
         self.stats["failed"] += len(wrong)
-        for k, w in enumerate(fresh):
-            self.known[w] = array("i", self._merge(raw[k]) if k in wrong else tried[k]).tobytes()
+        ends = np.cumsum(np.bincount(owner, minlength=len(fresh)))
+        flat = ids.astype("<i4").tobytes()
+        start = 0
+        for w, end in zip(fresh, (ends * 4).tolist()):
+            self.known[w] = flat[start:end]
+            start = end
+        for k, merged in zip(wrong, self._merge([raw[k] for k in wrong])):
+            self.known[fresh[k]] = array("i", merged).tobytes()
 
     def _pattern(self, text: str):
         return self.full if self.wide(text) else self.plain
