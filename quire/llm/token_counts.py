@@ -38,39 +38,44 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
                     (F.col("later_tokens") + F.sum(F.col("n_docs") * F.col("length")).over(inner)).alias("tokens_from")))
 
 
+def totals(hist: DataFrame) -> tuple[int, int]:
+    """(documents, tokens) of a histogram; one row to the driver."""
+    r = hist.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum(F.col("n_docs") * F.col("length")), F.lit(0))).first()
+    return int(r[0]), int(r[1])
+
+
 def context_report(hist: DataFrame) -> DataFrame:
     """One row per distinct length L taken as context limit: documents of length L, documents and
     tokens of at least L, the tokens left when texts are truncated to L, all documents and tokens,
     and the share of documents that fit (the quantile at which L stands)."""
-    total = hist.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("n_docs") * F.col("length")).alias("all_tokens"))
-    return (suffix_sums(hist).join(F.broadcast(total))  # one row
-            .select(F.col("length").alias("context_limit"), "n_docs", "docs_from", "tokens_from",
-                    (F.col("all_tokens") - F.col("tokens_from") + F.col("length") * F.col("docs_from")).alias("truncated_tokens"),
-                    "all_docs", "all_tokens",
-                    (1 - (F.col("docs_from") - F.col("n_docs")) / F.col("all_docs")).alias("share_fitting")))
+    docs, tokens = (F.lit(x).cast("long") for x in totals(hist))
+    return suffix_sums(hist).select(
+        F.col("length").alias("context_limit"), "n_docs", "docs_from", "tokens_from",
+        (tokens - F.col("tokens_from") + F.col("length") * F.col("docs_from")).alias("truncated_tokens"),
+        docs.alias("all_docs"), tokens.alias("all_tokens"),
+        (1 - (F.col("docs_from") - F.col("n_docs")) / docs).alias("share_fitting"))
 
 
 def answer_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, truncated_tokens, docs_over) for any limits, from the suffix sums.
 
     A limit between two lengths takes the sums of the next longer length; beyond the longest
-    nothing is cut.
+    nothing is cut. One aggregation over the histogram, with a column per limit.
     """
-    spark = hist.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    total = hist.agg(F.coalesce(F.sum(F.col("n_docs") * F.col("length")), F.lit(0)).alias("all_tokens"))
-    longer = (asked.join(suffix_sums(hist), F.col("length") > F.col("context_limit"), "left")
-              .groupBy("context_limit").agg(F.min(F.struct("length", "docs_from", "tokens_from")).alias("s")))
+    all_tokens = totals(hist)[1]
+    sums = F.struct("length", "docs_from", "tokens_from")
+    next_longer = [F.min(F.when(F.col("length") > x, sums)) for x in limits]
+    rows = suffix_sums(hist).agg(F.array(*[F.struct(F.lit(int(x)).cast("long").alias("context_limit"), s.alias("s"))
+                                           for x, s in zip(limits, next_longer)]).alias("all"))
+    rows = rows.select(F.explode("all").alias("r")).select("r.*")
     over = F.coalesce(F.col("s.docs_from"), F.lit(0))
-    return (longer.join(F.broadcast(total))
-            .select("context_limit",
-                    (F.col("all_tokens") - F.coalesce(F.col("s.tokens_from"), F.lit(0)) + F.col("context_limit") * over)
-                    .alias("truncated_tokens"), over.alias("docs_over")))
+    return rows.select("context_limit", (F.lit(all_tokens).cast("long") - F.coalesce(F.col("s.tokens_from"), F.lit(0))
+                                         + F.col("context_limit") * over).alias("truncated_tokens"), over.alias("docs_over"))
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
     """(share, length): the smallest length that at least that share of the documents do not exceed."""
-    spark = hist.sparkSession
-    asked = spark.createDataFrame([(float(x),) for x in shares], "share double")
-    return (asked.join(context_report(hist), F.col("share_fitting") >= F.col("share"))
-            .groupBy("share").agg(F.min("context_limit").alias("length")))
+    least = [F.min(F.when(F.col("share_fitting") >= x - 1e-12, F.col("context_limit"))) for x in shares]
+    rows = context_report(hist).agg(F.array(*[F.struct(F.lit(float(x)).alias("share"), c.alias("length"))
+                                              for x, c in zip(shares, least)]).alias("all"))
+    return rows.select(F.explode("all").alias("r")).select("r.*")
