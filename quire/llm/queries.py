@@ -65,7 +65,7 @@ def op4(spark, d):
 @query("op8_secret_scan")
 def op8(spark, d):
     from quire.llm import secrets as X
-    found = X.find_secrets(table(spark, d, "documents"))
+    found = X.find_all(table(spark, d, "documents"))
     return found.select("doc_id", *[X.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(X.listed(F.col("base")), 256).alias("base_sha256"), X.listed(F.col("spans")).alias("spans"))
 

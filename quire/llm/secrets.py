@@ -4,8 +4,7 @@ Positions come from cutting a text at a pattern: the lengths of the pieces betwe
 matches and of the matches give every start. Candidate strings (long runs of a character
 class) go through a window of ``WINDOW`` characters whose character counts, and the sum of
 c * log2(c), change by the one character that enters and the one that leaves. Windows
-over the class's threshold merge into spans; candidates on the allow-list, and spans that
-touch a pattern's span, are left out.
+over the class's threshold merge into spans; spans inside another's are left out.
 """
 
 from __future__ import annotations
@@ -141,19 +140,34 @@ def entropy_spans(text: Column, allow=ALLOW) -> Column:
 
 
 def find_secrets(df: DataFrame, carried: str = "doc_id", text_col: str = "text", allow=ALLOW) -> DataFrame:
-    """(carried, text, base, spans): all spans sorted by start, then kind; ``base`` those of the
-    fixed patterns alone. Starts and stops count code points.
+    """(carried, text, base, spans): spans sorted by start, then kind; ``base`` those of the
+    fixed patterns alone. Starts and stops count code points. Entropy spans that touch one of
+    ``base`` are left out; ``find_all`` keeps them.
 
     One narrow stage, no shuffle. Null and empty texts have no spans; every row is
     returned once; extra columns, whatever their names, are left out.
     """
+    apart = lambda s: F.filter(s["more"], lambda m: ~F.exists(s["base"], lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+    return _found(df, carried, text_col, lambda t: entropy_spans(t, allow), apart)
+
+
+def find_all(df: DataFrame, carried: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``find_secrets``, but no part of a secret goes because another span touches it: of the entropy
+    spans only those go that lie wholly inside a span of a fixed pattern or of an earlier class."""
+    def uncovered(s):
+        return F.filter(s["more"], lambda m: ~F.exists(F.concat(s["base"], s["more"]), lambda b: (
+            (b["rank"] < m["rank"]) & (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))))
+
+    return _found(df, carried, text_col, entropy_spans, uncovered)
+
+
+def _found(df: DataFrame, carried: str, text_col: str, entropy, kept) -> DataFrame:
     # one row per row in between, so that a text and its spans are made once
     one = df.select(df[carried].alias("c"), F.explode(F.array(whole_text(df[text_col]))).alias("t"))
     one = one.select("c", "t", F.explode(F.array(F.struct(
-        base_spans(F.col("t")).alias("base"), entropy_spans(F.col("t"), allow).alias("more")))).alias("s"))
-    apart = F.filter("s.more", lambda m: ~F.exists(F.col("s.base"), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+        base_spans(F.col("t")).alias("base"), entropy(F.col("t")).alias("more")))).alias("s"))
     return one.select(F.col("c").alias(carried), F.col("t").alias(text_col), F.col("s.base").alias("base"),
-                      F.sort_array(F.concat(F.col("s.base"), apart)).alias("spans"))
+                      F.sort_array(F.concat(F.col("s.base"), kept(F.col("s")))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -183,7 +197,7 @@ def scrub(df: DataFrame, text_col: str = "text", length_col: str = "n_chars") ->
     """``df`` with secrets in its texts replaced; its columns as they came, the length column (if
     it has one) brought up to date in changed rows. Null texts stay null."""
     row = "__secrets_row"
-    found = find_secrets(df.select(F.struct(*[df[c] for c in df.columns]).alias(row), df[text_col].alias("__t")), row, "__t")
+    found = find_all(df.select(F.struct(*[df[c] for c in df.columns]).alias(row), df[text_col].alias("__t")), row, "__t")
     hit = F.size("spans") > 0
     one = found.select(row, hit.alias("hit"), F.explode(F.array(redact(F.col("__t"), F.col("spans")))).alias("clean"))
     out = []

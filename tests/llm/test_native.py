@@ -127,6 +127,29 @@ def test_many_spans_in_a_long_text(spark):
     assert [(x.start, x.stop) for x in r.base] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
 
 
+def leaked(spark, texts):
+    """(the scrubbed texts, the kinds found in each)."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kinds = {r.doc_id: {x.kind for x in r.spans} for r in secrets.find_all(df).collect()}
+    clean = {r.doc_id: r.text for r in secrets.scrub(df).collect()}
+    return [clean[i] for i in range(len(texts))], [kinds[i] for i in range(len(texts))]
+
+
+def random_run(seed, alphabet, n):
+    rnd = random.Random(seed)
+    return "".join(rnd.choice(alphabet) for _ in range(n))
+
+
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def test_an_entropy_span_survives_a_pattern_that_touches_it(spark):
+    tail = random_run(3, LOWER + UPPER + DIGITS, 40)
+    (clean, covered), (kinds, inside) = leaked(spark, [f"use 1234098712340987123-{tail} here", f"token={tail} here"])
+    assert kinds == {"hex", "entropy-base64"} and clean == "use [SECRET] here"
+    assert inside == {"assign"} and covered == "[SECRET] here"
+
+
 # ------------------------------------------------------------------ license scans
 def test_license_phrases_and_alignments(spark, odd, none):
     mit = next(t for label, t in licenses.TEMPLATES if label == "text:mit")
