@@ -37,6 +37,10 @@ ALLOW = (
     r"(?i)0123456789|abcdefghij|(.)\1{7,}",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
 )
+# What parts a candidate into stretches that are scanned apart; of the allow-list above, only a UUID
+# clears a whole candidate, and a repeated character lowers the entropy by itself.
+CUTS = ALLOW[0] + "|0123456789|abcdefghij"
+CLEARED = ALLOW[2:]
 _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
 
@@ -117,8 +121,23 @@ def window_segments(candidate: Column, alphabet: str, threshold: float, window:
     return let(ids, walk)
 
 
-def entropy_spans(text: Column, allow=ALLOW) -> Column:
-    """Spans of high-entropy windows in candidate strings, without allowed candidates."""
+def _between(candidate: Column, cuts: str) -> Column:
+    """Array of (start, match): the stretches of a candidate between the matches of ``cuts``."""
+    text = candidate["match"]
+
+    def part(found):
+        starts = F.concat(F.array(F.lit(0)), F.transform(found, lambda c: c["start"] + F.length(c["match"])))
+        stops = F.concat(F.transform(found, lambda c: c["start"]), F.array(F.length(text)))
+        parts = F.zip_with(starts, stops, lambda a, b: F.struct(
+            (candidate["start"] + a).alias("start"), F.substring(text, a + 1, b - a).alias("match")))
+        return F.filter(parts, lambda x: F.length(x["match"]) >= WINDOW)
+
+    return F.when(text.rlike(cuts), let(_located(text, cuts), part)).otherwise(F.array(candidate))
+
+
+def entropy_spans(text: Column, allow=ALLOW, cuts: str | None = None) -> Column:
+    """Spans of high-entropy windows in candidate strings, without allowed candidates; ``cuts`` are
+    taken out of a candidate and what stands between them is scanned."""
     none = F.array().cast(_SPAN)
 
     def of(rank, kind, alphabet, pattern, needs, threshold):
@@ -133,7 +152,10 @@ def entropy_spans(text: Column, allow=ALLOW) -> Column:
             return F.transform(window_segments(folded, alphabet, threshold),
                                lambda s: _span(x["start"] + s["start"], rank, x["start"] + s["stop"], kind))
 
-        spans = F.flatten(F.transform(F.filter(_located(text, pattern), wanted), hot))
+        found = F.filter(_located(text, pattern), wanted)
+        if cuts:
+            found = F.flatten(F.transform(found, lambda x: _between(x, cuts)))
+        spans = F.flatten(F.transform(found, hot))
         return F.when(text.rlike(pattern), spans).otherwise(none)
 
     return F.concat(*[of(len(BASE_KINDS) + k, *fixed) for k, fixed in enumerate(CLASSES)])
@@ -152,13 +174,14 @@ def find_secrets(df: DataFrame, carried: str = "doc_id", text_col: str = "text",
 
 
 def find_all(df: DataFrame, carried: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``find_secrets``, but no part of a secret goes because another span touches it: of the entropy
-    spans only those go that lie wholly inside a span of a fixed pattern or of an earlier class."""
+    """As ``find_secrets``, but no part of a secret goes because another span touches it or an allowed
+    word stands beside it: of the entropy spans only those go that lie wholly inside a span of a
+    fixed pattern or of an earlier class, and allowed words only part a candidate."""
     def uncovered(s):
         return F.filter(s["more"], lambda m: ~F.exists(F.concat(s["base"], s["more"]), lambda b: (
             (b["rank"] < m["rank"]) & (b["start"] <= m["start"]) & (m["stop"] <= b["stop"]))))
 
-    return _found(df, carried, text_col, entropy_spans, uncovered)
+    return _found(df, carried, text_col, lambda t: entropy_spans(t, CLEARED, CUTS), uncovered)
 
 
 def _found(df: DataFrame, carried: str, text_col: str, entropy, kept) -> DataFrame:

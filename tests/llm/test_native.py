@@ -150,6 +150,15 @@ def test_an_entropy_span_survives_a_pattern_that_touches_it(spark):
     assert inside == {"assign"} and covered == "[SECRET] here"
 
 
+def test_an_allowed_word_does_not_clear_its_neighbours(spark):
+    key = random_run(5, LOWER + UPPER + DIGITS, 40)
+    texts = ["b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ", f"path/sample/{key}",
+             f"{key}0123456789{key}", UPPER + LOWER + DIGITS, "123e4567-e89b-12d3-a456-426614174000", "Your_Key_1example_Here_sample"]
+    clean, kinds = leaked(spark, texts)
+    assert all("entropy-base64" in k for k in kinds[:3]) and not any(kinds[3:])
+    assert clean[0].startswith("[SECRET]") and clean[1] == "path/sample[SECRET]" and clean[2] == "[SECRET]0123456789[SECRET]"
+
+
 # ------------------------------------------------------------------ license scans
 def test_license_phrases_and_alignments(spark, odd, none):
     mit = next(t for label, t in licenses.TEMPLATES if label == "text:mit")
