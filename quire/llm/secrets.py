@@ -30,6 +30,12 @@ CLASSES = (
      r"^(?=.*[0-9])(?=.*[A-Fa-f])", 3.0),
     ("entropy-base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
      r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])", 3.8),
+    # runs of one case (base32 among them) and runs without digits, also inside longer ones
+    ("entropy-upper-digit", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"[A-Z0-9]{20,}", r"^(?=.*[0-9])(?=.*[A-Z])", 3.5),
+    ("entropy-lower-digit", "abcdefghijklmnopqrstuvwxyz0123456789", r"[a-z0-9]{20,}", r"^(?=.*[0-9])(?=.*[a-z])", 3.5),
+    ("entropy-upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[A-Z]{20,}", r"^", 3.5),
+    ("entropy-lower", "abcdefghijklmnopqrstuvwxyz", r"[a-z]{20,}", r"^", 3.5),
+    ("entropy-letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", r"[A-Za-z]{20,}", r"^(?=.*[A-Z])(?=.*[a-z])", 3.8),
 )
 # Candidates that are no secrets: example values, counting runs, UUIDs, one repeated character.
 ALLOW = (

@@ -159,6 +159,16 @@ def test_an_allowed_word_does_not_clear_its_neighbours(spark):
     assert clean[0].startswith("[SECRET]") and clean[1] == "path/sample[SECRET]" and clean[2] == "[SECRET]0123456789[SECRET]"
 
 
+def test_random_runs_of_one_case_or_without_digits(spark):
+    alphabets = [UPPER + "234567", UPPER + DIGITS, LOWER + DIGITS, UPPER, LOWER, UPPER + LOWER]
+    want = ["upper-digit", "upper-digit", "lower-digit", "upper", "lower", "letters"]
+    texts = [f"seed {random_run(7 + k, a, 40)} end" for k, a in enumerate(alphabets)]
+    plain = ["internationalizations of counterrevolutionaries", "Rechtsschutzversicherungsgesellschaften", "A" * 30, "CHAPTERCHAPTERCHAPTER1"]
+    clean, kinds = leaked(spark, texts + plain)
+    assert [f"entropy-{w}" in k for w, k in zip(want, kinds)] == [True] * 6 and not any(kinds[6:])
+    assert all(len(c) < 30 for c in clean[:6]), clean
+
+
 # ------------------------------------------------------------------ license scans
 def test_license_phrases_and_alignments(spark, odd, none):
     mit = next(t for label, t in licenses.TEMPLATES if label == "text:mit")
