@@ -11,7 +11,8 @@ For each language l the evidence of a document adds up in logarithms:
 All three tables are grouped sums, over all documents, of the posteriors that the texts
 alone give; a document's own share is taken out of its host's counts. "und" is one more
 hypothesis, under which every trigram is about as likely as any other: text in no language
-of the corpus goes there. The trigram model is fitted on a bounded sample of the
+of the corpus goes there. A trigram that a language's sample lacks is less likely than that
+by the same factor under every language, however small its sample. The trigram model is fitted on a bounded sample of the
 documents that declare a language.
 """
 
@@ -29,6 +30,8 @@ SAMPLE_DOCS = 2000  # labelled documents per language, about; the bound of the t
 MAX_LANGUAGES = 64
 SATURATION = 50.0
 UND = "und"
+FLOOR_SHARE = 0.02  # of every language's trigram model, the share spread evenly over the buckets, whatever its sample
+FLOOR = math.log(FLOOR_SHARE / BUCKETS)  # log-probability, under any language, of a trigram not in its sample
 UND_TRIGRAM = -math.log(BUCKETS) - 1.0  # a trigram's log-probability under "und"
 
 
@@ -100,11 +103,12 @@ def train(df: DataFrame, text_col: str, declared: Column, sample_docs: int = SAM
 
     found = (rows.where(pick).mapInArrow(counts, "label string, bucket int, n long")
              .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow())  # BUCKETS * MAX_LANGUAGES rows at most
-    table = np.full((BUCKETS, len(languages)), 0.5)
+    table = np.zeros((BUCKETS, len(languages)))
     place = {x: k for k, x in enumerate(languages)}
     column = np.array([place[x] for x in found.column("label").to_pylist()], dtype=np.int64)
     np.add.at(table, (found.column("bucket").to_numpy().astype(np.int64), column), found.column("n").to_numpy())
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
+    seen = table / np.maximum(table.sum(axis=0), 1)
+    return languages, np.log((1 - FLOOR_SHARE) * seen + FLOOR_SHARE / BUCKETS).astype(np.float32)
 
 
 def _soft(scores: Column) -> Column:

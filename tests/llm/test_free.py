@@ -216,6 +216,19 @@ def test_language_accuracy_and_edges(spark, docs, odd, none):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_a_label_of_two_documents_takes_no_gibberish(spark, docs):
+    import random
+    rnd = random.Random(6)
+    known = [(r.doc_id, r.text, r.lang, r.source) for r in docs.where("lang is not null").collect()]
+    few = [(8000, "qaf qol", "xx", None), (8001, "zim qol", "xx", None)]
+    odd = [(9000 + i, " ".join("".join(rnd.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(60)), None, None) for i in range(5)]
+    odd += [(9005, "".join(chr(rnd.randint(0x1200, 0x1350)) for _ in range(200)), None, None)]
+    df = spark.createDataFrame(known + few + odd, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert [got[r[0]].language for r in odd] == ["und"] * 6
+    assert [got[r[0]].language for r in few] == ["xx"] * 2
+
+
 def test_language_evidence_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = pages.select("page_id", "url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"), language.markup_language(F.col("html")).alias("lang"))
