@@ -27,7 +27,6 @@ from quire.llm.common import cut, let, row_key, whole_text
 
 BUCKETS = 1 << 15
 SAMPLE_DOCS = 2000  # labelled documents per language, about; the bound of the training sample
-MAX_LANGUAGES = 64
 SATURATION = 50.0
 UND = "und"
 FLOOR_SHARE = 0.02  # of every language's trigram model, the share spread evenly over the buckets, whatever its sample
@@ -72,43 +71,67 @@ def host_of(address: Column) -> Column:
     return F.when(host != "", host)
 
 
-def train(df: DataFrame, text_col: str, declared: Column, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], object]:
-    """(languages, log-probabilities [bucket, language]) from about ``sample_docs`` documents of each of
-    the ``MAX_LANGUAGES`` most declared languages. Counts are summed by Spark; the driver gets
-    one number per bucket and language."""
+def train(df: DataFrame, text_col: str, declared: Column, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], tuple]:
+    """(languages, model) from about ``sample_docs`` documents of each declared language. Counts are
+    summed by Spark; the driver gets one number per language and bucket that its sample holds.
+
+    The model is sparse: (first entry of each bucket, languages, log-probabilities over ``FLOOR``).
+    """
     import numpy as np
 
     rows = df.select(declared.alias("label"), whole_text(df[text_col]).alias("text")).where("label is not null")
-    named = (rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect())
-    languages = sorted(r["label"] for r in named)
+    named = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
+    languages = sorted(named)
     if not languages:
-        return [], np.zeros((BUCKETS, 0))
-    share = F.lit(0.0)
-    for r in named:
-        share = F.when(F.col("label") == r["label"], min(1.0, sample_docs / r["count"])).otherwise(share)
-    pick = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 20)) < share * (1 << 20)
+        return [], (np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    share = df.sparkSession.createDataFrame(
+        [(k, x, min(1.0, sample_docs / named[x])) for k, x in enumerate(languages)], "place int, label string, share double")
+    rows = rows.join(F.broadcast(share), "label")
+    pick = F.pmod(F.xxhash64("text", "label"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
 
     def counts(batches):
         import pyarrow as pa
+
+        def part(place, total):
+            at = np.nonzero(total)[0].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place, np.int32)), pa.array(at), pa.array(total[at])],
+                                              names=["place", "bucket", "n"])
+
         sums = {}
         for b in batches:
-            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total = sums.setdefault(label, np.zeros(BUCKETS, dtype=np.int64))
+            for place, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if place not in sums and len(sums) == 64:  # no more tables at a time; Spark adds the parts up
+                    yield from (part(*x) for x in sums.items())
+                    sums.clear()
+                total = sums.setdefault(place, np.zeros(BUCKETS, dtype=np.int64))
                 for codes in trigrams(text):
                     total += np.bincount(codes, minlength=BUCKETS)
-        for label, total in sums.items():
-            at = np.nonzero(total)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])],
-                                             names=["label", "bucket", "n"])
+        yield from (part(*x) for x in sums.items())
+
+    found = (rows.where(pick).select("place", "text").mapInArrow(counts, "place int, bucket int, n long")
+             .groupBy("place", "bucket").agg(F.sum("n").alias("n")).toArrow())
+    place, bucket, n = (found.column(c).to_numpy() for c in ("place", "bucket", "n"))
+    total = np.bincount(place, weights=n, minlength=len(languages))
+    above = np.log((1 - FLOOR_SHARE) * n / total[place] + FLOOR_SHARE / BUCKETS) - FLOOR
+    order = np.lexsort((place, bucket))
+    first = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+    return languages, (first, place[order].astype(np.int32), above[order].astype(np.float32))
+
+
+def text_scores(model: tuple, size: int, text: str | None) -> list[float]:
+    """The mean log-probability of a text's trigrams under each of ``size`` languages, and their number."""
+    import numpy as np
 
-    found = (rows.where(pick).mapInArrow(counts, "label string, bucket int, n long")
-             .groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow())  # BUCKETS * MAX_LANGUAGES rows at most
-    table = np.zeros((BUCKETS, len(languages)))
-    place = {x: k for k, x in enumerate(languages)}
-    column = np.array([place[x] for x in found.column("label").to_pylist()], dtype=np.int64)
-    np.add.at(table, (found.column("bucket").to_numpy().astype(np.int64), column), found.column("n").to_numpy())
-    seen = table / np.maximum(table.sum(axis=0), 1)
-    return languages, np.log((1 - FLOOR_SHARE) * seen + FLOOR_SHARE / BUCKETS).astype(np.float32)
+    first, place, above = model
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for codes in trigrams(text):
+        seen += np.bincount(codes, minlength=BUCKETS)
+    n = int(seen.sum())
+    at = np.nonzero(seen)[0]
+    wide = first[at + 1] - first[at]
+    entry = np.arange(wide.sum()) + np.repeat(first[at] - (np.cumsum(wide) - wide), wide)
+    total = np.bincount(place[entry], weights=above[entry] * np.repeat(seen[at], wide), minlength=size)
+    return [*(FLOOR + total / max(n, 1)).tolist(), float(n)]
 
 
 def _soft(scores: Column) -> Column:
@@ -133,24 +156,15 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
     spark = df.sparkSession
     declared = declared_language(df[declared_col]) if declared_col else F.lit(None).cast("string")
     host = host_of(df[address_col]) if address_col else F.lit(None).cast("string")
-    languages, table = train(df, text_col, declared, sample_docs)
+    languages, model = train(df, text_col, declared, sample_docs)
     names = [*languages, UND]
     size = len(names)
-    shared = spark.sparkContext.broadcast(table)  # BUCKETS * MAX_LANGUAGES numbers at most
+    shared = spark.sparkContext.broadcast(model)  # as large as the training samples' trigrams
 
     @F.pandas_udf("array<double>")
     def score(texts):
-        import numpy as np
         import pandas as pd
-        t = shared.value
-        out = []
-        for x in texts:
-            total, n = np.zeros(t.shape[1]), 0
-            for codes in trigrams(x):
-                total += t[codes].sum(axis=0, dtype=np.float64)
-                n += len(codes)
-            out.append([*(total / max(n, 1)).tolist(), float(n)])
-        return pd.Series(out)
+        return pd.Series([text_scores(shared.value, len(languages), x) for x in texts])
 
     given = df.select(df[id_col].alias("id"), *[df[c].alias(f"k{i}") for i, c in enumerate(carry)], declared.alias("declared"),
                       host.alias("host"), score(whole_text(df[text_col])).alias("s"))

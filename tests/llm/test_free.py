@@ -229,6 +229,19 @@ def test_a_label_of_two_documents_takes_no_gibberish(spark, docs):
     assert [got[r[0]].language for r in few] == ["xx"] * 2
 
 
+def test_no_language_is_cut_by_rank(spark):
+    import random
+    rnd = random.Random(9)
+    names = ["q" + a + b for a in "abcdefg" for b in "abcdefghij"]
+    words = {x: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for x in names}
+    text = lambda x: " ".join(rnd.choices(words[x], k=40))
+    rows = [(100 * k + i, text(x), x) for k, x in enumerate(names) for i in range(4 if k < 64 else 3)]
+    rows += [(10_000 + k, text(x), None) for k, x in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(df, address_col=None).collect()}
+    assert [got[10_000 + k].language for k in range(len(names))] == names
+
+
 def test_language_evidence_of_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = pages.select("page_id", "url", F.regexp_replace("html", "<[^>]*>", " ").alias("text"), language.markup_language(F.col("html")).alias("lang"))
