@@ -24,7 +24,8 @@ SAMPLE_PAGES = 500  # pages of the table used for training, about
 
 # Parts of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe object svg math".split())
+UNSEEN = frozenset("head script style template iframe".split())
+HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form "
                     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary "
                     "table tbody td tfoot th thead tr ul").split())
@@ -48,6 +49,8 @@ _OUTSIDE = ("ad ads advert advertisement sponsored sponsor promo promotion banne
             "sidebar side widget rail related recommended trending popular teaser|comment comments reply replies discussion respond disqus|"
             "menu nav navbar navigation breadcrumb breadcrumbs pagination toc|footer copyright legal bottom|"
             "header masthead topbar toolbar logo branding|newsletter subscribe signup login register search form|share sharing social follow tags meta")
+_FORMULA = "math semantics mrow mstyle mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd mpadded".split()
+_LETTERS = "<mi>x</mi><mo>=</mo><mn>1</mn><mtext>if</mtext><ms>s</ms>"
 _INSIDE = "article content post entry body text story main articlebody postcontent prose markdown"
 
 
@@ -66,6 +69,9 @@ def marked_pages() -> list[str]:
                          f"<aside data-main=0><p>Aside</p></aside><nav data-main=0><a href=x>next</a></nav><form data-main=0><input><button>Go</button></form><section data-main=1><h2>Part</h2><p>Text of it.</p>"
                          f"<div data-main=1><p>And more of it.</p></div></section></article>{part}<aside><p>Aside</p></aside><form><label>Name</label><input>"
                          f"<button>Send</button><select><option>a</option></select><textarea>t</textarea></form></div></body></html>")
+    formula = "".join(f"<{t}>" for t in _FORMULA) + _LETTERS + "".join(f"</{t}>" for t in reversed(_FORMULA))
+    for _ in range(10):  # a formula goes with the text that it stands in
+        pages.append(f"<html><body data-main=0><nav><a href=x>{formula}</a></nav><article data-main=1>{_BODY}<p>A rule, {formula} in words.</p></article></body></html>")
     for _ in range(40):  # plain pages: the body itself is the content
         pages.append(f"<html><body data-main=1><nav data-main=0><a href=x>Home</a></nav><h1>Heading</h1>{_BODY}{_BODY}</body></html>")
         pages.append(f"<html><body data-main=0><div data-main=1><h1>Heading</h1>{_BODY}{_BODY}</div><div><a href=x>Home</a> <a href=x>Next</a></div></body></html>")
@@ -75,7 +81,7 @@ def marked_pages() -> list[str]:
 class Tree(HTMLParser):
     """The DOM of a page as parallel lists, parents before children; text nodes have tag "#text".
 
-    Character references are decoded; end tags that HTML lets out are supplied; comments and
+    Character references are decoded; end tags that HTML lets out are supplied, that of head too; comments and
     what is never shown are left out.
     """
 
@@ -102,7 +108,13 @@ class Tree(HTMLParser):
                 return None
         return None
 
+    def _leave_head(self, inside=frozenset(["template", "title", "noscript"])) -> None:
+        if self.unseen and (k := self._find(lambda t: t == "head", inside)) is not None:
+            self._pop(k)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_TAGS:
+            self._leave_head(frozenset(["template", "title"]))
         if tag in BLOCKS or tag in CLOSED_BY["td"]:
             while (k := self._find(lambda t: tag in CLOSED_BY.get(t, ()), SCOPE)) is not None:
                 self._pop(k)
@@ -117,13 +129,17 @@ class Tree(HTMLParser):
             self.unseen += tag in UNSEEN
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # in HTML a slash closes nothing
+        self.handle_starttag(tag, attrs)  # in HTML a slash closes nothing, in formulas and drawings it does
+        if tag not in VOID and self._find(lambda t: t in ("svg", "math"), ()) is not None:
+            self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if (k := self._find(lambda t: t == tag, ())) is not None:
             self._pop(k)
 
     def handle_data(self, data):
+        if self.tag[self.open[-1]] == "head" and data.strip():
+            self._leave_head()
         if self.unseen:
             return
         self.tag.append("#text")

@@ -318,6 +318,22 @@ def test_marginals_match_enumeration():
             assert odds == pytest.approx(math.log(mass[i][1] / mass[i][0]), abs=1e-6)
 
 
+def test_formulas_fallback_text_and_open_heads_are_seen():
+    from collections import Counter
+    counts = Counter()
+    for page in html_extract.marked_pages():
+        counts.update(html_extract.count_page(page))
+    model = html_extract.Model(dict(counts))
+    story = ("<article><p>A long sentence of the story, with commas, and a formula <math><mi>x</mi><mspace/><mo>=</mo><mn>42</mn></math> in it.</p>"
+             "<noscript><p>The figure shows a plan, in short.</p></noscript><p>Another sentence of the story, the last one.</p></article>")
+    whole = model.extract(f"<html><head><title>t</title></head><body>{story}</body></html>")
+    assert "formula x=42 in it." in whole and "The figure shows a plan" in whole
+    assert model.extract(f"<html><head><title>t</title><meta charset=utf-8>{story}</html>") == whole
+    seen = lambda page: "".join(html_extract.Tree(page).text)
+    assert seen("<head><title>t</title><style>s</style><template><p>no</p></template> yes") == " yes"
+    assert seen("<p><svg><path/><text>label</text></svg><object>shown</object></p>") == "labelshown"
+
+
 def test_html_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_text(empty).count() == 0
