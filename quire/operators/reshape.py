@@ -141,9 +141,11 @@ def preview(df: DataFrame, cols: dict[str, object], n: int = 3, max_chars: int =
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """P-13: 1-based numbering in ``order`` without a single-partition window."""
-    from quire.operators.split import with_global_index
-    return with_global_index(df, order, "_idx").withColumn(name, F.col("_idx") + 1).drop("_idx")
+    """P-13: 1-based numbering in ``order`` without a single-partition window; equal keys get
+    consecutive numbers."""
+    from quire.operators.split import unused, with_global_index
+    at = unused(df, "_idx")
+    return with_global_index(df, order, at).withColumn(name, F.col(at) + 1).drop(at)
 
 
 def sft_max_turns(max_length: int = 512) -> int:

@@ -1,9 +1,9 @@
 """Ordering, splitting, shuffling and batching (W-1..W-5, J-3, U-1, U-2).
 
-Global positions are computed the distributed way: range-partition on the
-order key, sort inside partitions, count rows per partition (a table with one
-row per partition), prefix-sum those counts and add the local position. No
-window ever spans the whole data set.
+Global positions are computed the distributed way: give every row an id,
+range-partition (order key, id), sort inside partitions, count rows per
+partition (a table with one row per partition), prefix-sum those counts and
+add the local position. No window ever spans the whole data set.
 """
 
 from __future__ import annotations
@@ -15,52 +15,59 @@ from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition index << 33 | row in partition
 
-INDEX_PARTITION_BYTES = 128 << 20
+#: rows of one key range; a range holds only the order columns and a row id
+INDEX_ROWS = 1 << 20
+MAX_INDEX_PARTITIONS = 1 << 16
 
 
-def _num_partitions(keys: DataFrame) -> int:
-    """Enough partitions for the planner's estimate of the keys' size, at least the session's number."""
-    least = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    size = int(str(keys._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # an unknown size counts as the largest number there is; it says nothing then
-    return least if size >= 1 << 62 else max(least, -(-size // INDEX_PARTITION_BYTES))
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it (case ignored)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def index_partitions(rows: int, least: int) -> int:
+    """Key ranges for ``rows`` counted rows: one per ``INDEX_ROWS``, no fewer than ``least``
+    nor than one, and never more than ``MAX_INDEX_PARTITIONS`` or one per row."""
+    return max(1, min(max(least, -(-rows // INDEX_ROWS)), MAX_INDEX_PARTITIONS, rows))
 
 
 def with_global_index(df: DataFrame, order: list[str], name: str = "idx",
                       num_partitions: int | None = None) -> DataFrame:
-    """0-based position of each row in ``order`` (the order columns must be unique).
-
-    Only the order columns are sorted and written: one range exchange sorts
-    them into key ranges, and a reliable ``checkpoint()`` (the cluster's shared
-    checkpoint folder) fixes them, so the per-partition counts and the local
-    positions are read from the same copy, and a lost executor cannot make a
-    recomputation draw different range bounds. The positions are joined back
-    on the order columns (nulls equal). The offsets table has one row per
-    partition, so broadcasting it is bounded by the partition count.
+    """0-based position of each row in ``order``: every row is returned once, whatever repeats.
+
+    Nulls come first. Rows with equal keys take consecutive positions, in the order in which they
+    are stored. ``df`` may be any table: in memory, joined, empty.
+
+    ``df`` is written once to the cluster's shared checkpoint folder, which gives every row an id
+    that later jobs and recomputed tasks see alike. Only the order columns and that id are then
+    sorted: one range exchange on (order, id), so that a key held by a third of all rows is spread
+    over many ranges, the number of ranges taken from the counted rows. The sorted keys are written
+    too, each range is counted, the counts (one row per range) are summed up, and position = offset
+    + place in the range. Positions go back to the rows over the id, which is unique.
     """
     from quire.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    keys = df.select(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
-    cols = [F.col(c) for c in keys.columns]
-    ranked = (keys.repartitionByRange(num_partitions or _num_partitions(keys), *cols)
-              .sortWithinPartitions(*cols)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_local", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
-              .drop("_mid")
+    rid = unused(df, "_rid")
+    rows = df.withColumn(rid, F.monotonically_increasing_id()).checkpoint(eager=True)
+    least = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    parts = num_partitions or index_partitions(rows.count(), least)
+    by = [F.col(f"_o{k}") for k in range(len(order))] + [F.col("_id")]
+    ranked = (rows.select(*[F.col(f"`{c}`").alias(f"_o{k}") for k, c in enumerate(order)], F.col(rid).alias("_id"))
+              .repartitionByRange(parts, *by).sortWithinPartitions(*by)
+              .select("_id", F.monotonically_increasing_id().alias("_mid"))
+              .select("_id", F.shiftright("_mid", _LOCAL_BITS).alias("_part"),
+                      F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1).alias("_local"))
               .checkpoint(eager=True))
     counts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: an unpartitioned window here is over n rows, not the data
+    # one row per range: an unpartitioned window here is over the ranges, not the data
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     placed = (ranked.join(F.broadcast(offsets), "_part")
-              .select(*keys.columns, (F.col("_off") + F.col("_local")).alias(name)))
-    if set(df.columns) == set(order):  # nothing else to carry
-        return placed.select(*[F.col(f"_o{order.index(c)}").alias(c) for c in df.columns], name)
-    same = F.lit(True)
-    for k, c in enumerate(order):
-        same = same & df[c].eqNullSafe(placed[f"_o{k}"])
-    return df.join(placed, same).drop(*keys.columns)
+              .select(F.col("_id").alias(rid), (F.col("_off") + F.col("_local")).alias(name)))
+    return rows.join(placed, rid).drop(rid)
 
 
 def take_first(df: DataFrame, n: int, order: list[str]) -> DataFrame:
@@ -108,10 +115,11 @@ def assign_batches(df: DataFrame, order: list[str], batch_size: int = 64,
                    batch_col: str = "batch_id", pos_col: str = "pos_in_batch",
                    num_partitions: int | None = None) -> DataFrame:
     """W-4: consecutive groups of ``batch_size`` in ``order``; the last short batch is kept."""
-    idx = with_global_index(df, order, "_gidx", num_partitions)
-    return (idx.withColumn(batch_col, F.floor(F.col("_gidx") / batch_size).cast("bigint"))
-            .withColumn(pos_col, (F.col("_gidx") % batch_size).cast("int"))
-            .drop("_gidx"))
+    at = unused(df, "_gidx")
+    idx = with_global_index(df, order, at, num_partitions)
+    return (idx.withColumn(batch_col, F.expr(f"`{at}` div {int(batch_size)}"))
+            .withColumn(pos_col, (F.col(at) % batch_size).cast("int"))
+            .drop(at))
 
 
 def lr_at(it, total, base_lr: float, warmup: int = 0) -> F.Column:

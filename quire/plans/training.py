@@ -95,6 +95,29 @@ def assign_batches(spark, d):
     return S.assign_batches(sh, ["shuffle_key"], 64).select("doc_id", "batch_id", "pos_in_batch")
 
 
+@query("batches_by_language", "W-4", """
+SELECT lang, idx // 64 AS batch_id, CAST(count(*) AS BIGINT) AS n_docs, CAST(min(idx % 64) AS INTEGER) AS first_pos
+FROM (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx FROM documents) GROUP BY ALL
+""")
+def batches_by_language(spark, d):
+    """Batches over a key that a quarter of the rows share: equal keys take consecutive places."""
+    b = S.assign_batches(table(spark, d, "documents", "doc_id", "lang"), ["lang"], 64)
+    return b.groupBy("lang", "batch_id").agg(F.count("*").alias("n_docs"), F.min("pos_in_batch").alias("first_pos"))
+
+
+@query("qa_report_repeated", "P-13 G-3", """
+WITH q AS (SELECT item_id // 3 AS k, text FROM benchmark),
+a AS (SELECT DISTINCT k, 'group ' || CAST(k AS VARCHAR) AS answer FROM q)
+SELECT row_number() OVER (ORDER BY k) AS number, k, answer FROM q JOIN a USING (k)
+""")
+def qa_report_repeated(spark, d):
+    """Three questions share every key: each is numbered once."""
+    from quire.operators.generate import qa_report as report
+    b = table(spark, d, "benchmark", "item_id", "text").select(F.expr("item_id div 3").alias("k"), "text")
+    a = b.select("k", F.concat(F.lit("group "), F.col("k").cast("string")).alias("answer")).distinct()
+    return report(b, a, "k", "text", "answer").select("number", "k", "answer")
+
+
 # ---------------------------------------------------------------- W-5
 _PLAN_SQL = f"""
 WITH {SQL_CHUNKS},

@@ -169,3 +169,33 @@ def test_global_index_carries_other_columns_and_nulls(spark):
     df = spark.createDataFrame([(k, k % 7, "x" * k) for k in range(50)] + [(None, 1, "n")], "k long, j long, t string")
     got = {r.k: (r.idx, r.t) for r in S.with_global_index(df, ["k"], "idx", num_partitions=5).collect()}
     assert got == {None: (0, "n"), **{k: (k + 1, "x" * k) for k in range(50)}}
+
+
+def test_positions_with_repeated_keys_nulls_memory_and_joined_tables(spark):
+    import pandas as pd
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)] + [("hot", k) for k in range(400)]
+    memory = spark.createDataFrame(pd.DataFrame(rows, columns=["k", "v"]))
+    joined = memory.alias("l").join(spark.range(3).withColumnRenamed("id", "n"), F.lit(True), "cross")
+    for df, times in ((memory, 1), (joined, 3), (memory.limit(4), 1), (memory.limit(0), 1)):
+        want = sorted(("" if r.k is None else r.k) for r in df.collect())
+        got = S.with_global_index(df, ["k"]).collect()
+        assert sorted(r.idx for r in got) == list(range(len(want)))
+        assert [("" if r.k is None else r.k) for r in sorted(got, key=lambda r: r.idx)] == want
+        b = S.assign_batches(df, ["k"], 4).collect()
+        assert sorted((r.batch_id, r.pos_in_batch) for r in b) == [(i // 4, i % 4) for i in range(len(want))]
+    four = spark.createDataFrame([("x", "q1"), ("x", "q2"), ("x", "q3"), ("y", "q4")], "k string, _idx string")
+    from quire.operators import reshape as R
+    numbered = sorted((r.number, r.k, r._idx) for r in R.number_rows(four, ["k"]).collect())
+    assert [(n, k) for n, k, _ in numbered] == [(1, "x"), (2, "x"), (3, "x"), (4, "y")]
+    assert sorted(q for *_, q in numbered) == ["q1", "q2", "q3", "q4"]
+
+
+def test_a_hot_key_is_spread_over_many_ranges_and_ranges_are_bounded(spark):
+    from quire.operators import split
+    df = spark.range(4000).select(F.lit("hot").alias("k"), "id")
+    assert sorted(r.idx for r in S.with_global_index(df, ["k"], num_partitions=8).collect()) == list(range(4000))
+    spread = (df.withColumn("_id", F.monotonically_increasing_id()).repartitionByRange(8, "k", "_id")
+              .groupBy(F.spark_partition_id()).count().collect())
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 1500
+    assert split.index_partitions(0, 200) == 1 and split.index_partitions(5, 200) == 5
+    assert split.index_partitions(10 ** 9, 200) == 954 and split.index_partitions(10 ** 15, 200) == split.MAX_INDEX_PARTITIONS
