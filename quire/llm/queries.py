@@ -151,6 +151,84 @@ def op1(spark, d):
     return fingerprints.edited_pairs(table(spark, d, "documents"))
 
 
+# crc32 by its rule: eight shifts a byte, with the reversed polynomial 0xEDB88320
+def _crc32(text: str) -> str:
+    """DuckDB's crc32 of the UTF-8 bytes of ``text``, unsigned."""
+    step = "list_reduce(range(8), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, xor(c, b))"
+    bits = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({bits}, lambda c, b: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+@query("op11_importance_resampling", rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS f FROM benchmark),
+d AS (SELECT doc_id, unnest(w) AS f FROM w),
+b AS (SELECT f, {_crc32('f')} % 10000 AS b FROM (SELECT f FROM d UNION SELECT f FROM v)),
+s AS (SELECT b, count(*) AS s FROM d JOIN b USING (f) GROUP BY 1), t AS (SELECT b, count(*) AS t FROM v JOIN b USING (f) GROUP BY 1),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS ss, (SELECT coalesce(sum(t), 0) FROM t) AS tt),
+g AS (SELECT x.b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss::DOUBLE + 10000)
+             / ((coalesce(s, 0)::DOUBLE + 1) * (tt::DOUBLE + 10000)))) AS BIGINT) AS gain
+      FROM (SELECT unnest(range(10000)) AS b) x LEFT JOIN s USING (b) LEFT JOIN t USING (b), n),
+a AS (SELECT doc_id, sum(gain) AS weight FROM d JOIN b USING (f) JOIN g USING (b) GROUP BY 1),
+r AS (SELECT w.doc_id, len(w) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+             CAST('0x' || substr(sha256('2024:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT)::DOUBLE AS h FROM w LEFT JOIN a USING (doc_id)),
+k AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM r),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM k WHERE n >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, CAST(score AS BIGINT) AS score,
+       CAST(CASE WHEN place <= eligible * 10 // 100 THEN place END AS BIGINT) AS rank
+FROM k LEFT JOIN o USING (doc_id)
+""")
+def op11(spark, d):
+    from quire.llm import resampling
+    return resampling.resample(table(spark, d, "documents"), table(spark, d, "benchmark"), percent=10, least_words=20,
+                               buckets=10_000, longest=1, seed=2024)
+
+
+@query("op12_substring_dedup", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM g JOIN f USING (g), range(13) t(k) WHERE least < doc_id),
+l AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY 1),
+k AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN l USING (doc_id)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+t AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i WHERE c.i IS NULL GROUP BY 1)
+SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN t USING (doc_id)
+""")
+def op12(spark, d):
+    from quire.llm import substrings
+    return substrings.remove_repeats(table(spark, d, "documents"), k=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_conversation_trie", rf"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':'
+                                     || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY pos) AS own, {_crc32('CAST(c AS VARCHAR)')} % 6 AS h FROM t GROUP BY c),
+r AS (SELECT o.c, coalesce(b.own, [])[1:CAST(o.h AS BIGINT)] || o.own[CAST(o.h AS BIGINT) + 1:] AS s
+      FROM o LEFT JOIN o b ON b.c = o.c - o.c % 100),
+m AS (SELECT c, d, s[1:d] AS p, s[1:d - 1] AS up, CASE WHEN d > 0 THEN length(s[d].text) ELSE 0 END AS chars, d = len(s) AS ends
+      FROM (SELECT c, s, unnest(range(len(s) + 1)) AS d FROM r)),
+n AS (SELECT p, any_value(up) AS up, d, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+             sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM m GROUP BY p, d),
+k AS (SELECT up AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+a AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON n.p = k.p AND n.d = k.d),
+x AS (SELECT DISTINCT t.p AS low, t.d AS low_d, t.p[1:y.d] AS p, y.d FROM a t, (SELECT unnest(range(1000)) AS d) y WHERE y.d <= t.d),
+u AS (SELECT x.p, x.d, sum(CASE WHEN a.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((a.n_convs - 1) * a.chars) AS saved
+      FROM x JOIN a ON a.p = x.low AND a.d = x.low_d GROUP BY 1, 2)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+       CAST(u.n_leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM a JOIN u ON u.p = a.p AND u.d = a.d LEFT JOIN n b ON a.d > 0 AND b.d = a.d - 1 AND b.p = a.up
+""")
+def op13(spark, d):
+    from quire.llm import trie
+    return trie.conversation_trie(table(spark, d, "conversations"), block=100, most=6)
+
+
 @query("op3_html_main_text")
 def op3(spark, d):
     from quire.llm import html_extract
