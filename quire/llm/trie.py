@@ -122,41 +122,42 @@ def subtree_totals(nodes: DataFrame, values: list[str], max_rounds: int = 200, s
     ``nodes``: id, parent (bigint, null for roots; every parent is a node) and the bigint ``values``.
     """
     own, up = [f"a_{v}" for v in values], [f"u_{v}" for v in values]
-    live = nodes.select("id", "parent", *[F.col(v).alias(a) for v, a in zip(values, own)], *[F.lit(0).cast("long").alias(u) for u in up])
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
+    live = cut(nodes.join(kids, "id", "left")
+               .select("id", "parent", F.coalesce("kids", F.lit(0)).alias("kids"), *[F.col(v).alias(a) for v, a in zip(values, own)],
+                       *[F.lit(0).cast("long").alias(u) for u in up]))
     raked, spliced = [], []
     for turn in range(max_rounds):
         # rake: leaves give what they have to the parent
-        kids = live.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
-        marked = cut(live.join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0))))
-        raked.append(marked.where("kids = 0").select("id", *[F.col(a).alias(v) for a, v in zip(own, values)]))
-        given = (marked.where("kids = 0 and parent is not null").groupBy(F.col("parent").alias("id"))
+        raked.append(live.where("kids = 0").select("id", *[F.col(a).alias(v) for a, v in zip(own, values)]))
+        given = (live.where("kids = 0 and parent is not null").groupBy(F.col("parent").alias("id"))
                  .agg(F.count("*").alias("gone"), *[F.sum(F.col(a) + F.col(u)).alias(f"g_{a}") for a, u in zip(own, up)]))
-        rest = (marked.where("kids > 0").join(given, "id", "left")
-                .select("id", "parent", (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"),
-                        *[(F.col(a) + F.coalesce(f"g_{a}", F.lit(0))).alias(a) for a in own], *up)
-                # a node with one child draws a coin; heads go unless their parent goes
-                .withColumn("heads", (F.col("kids") == 1) & F.col("parent").isNotNull() & (F.xxhash64(F.lit(turn), "id") % 2 == 0)))
-        rest = cut(rest)
-        if not rest.count():
+        left = F.col("kids") - F.coalesce("gone", F.lit(0))
+        # a node left with one child draws a coin; on heads it goes, unless its child shows heads too
+        rest = cut(live.where("kids > 0").join(given, "id", "left")
+                   .select("id", "parent", left.alias("kids"), *[(F.col(a) + F.coalesce(f"g_{a}", F.lit(0))).alias(a) for a in own], *up,
+                           ((left == 1) & F.col("parent").isNotNull() & (F.xxhash64(F.lit(turn), "id") % 2 == 0)).alias("heads")))
+        if rest.isEmpty():
             break
-        chain = rest.where("heads").select(F.col("id").alias("parent"), F.lit(True).alias("above"))
-        going = (rest.where("heads").join(chain, "parent", "left").where("above is null")
-                 .select(F.col("id").alias("gone"), F.col("parent").alias("grand"),
-                         *[F.col(c).alias(f"s_{c}") for c in (*own, *up)]))
-        stay = rest.join(going.select(F.col("gone").alias("id"), F.lit(True).alias("goes")), "id", "left").where("goes is null")
-        moved = cut(stay.join(going, stay.parent == going.gone, "left"))
-        spliced.append(moved.where("gone is not null")
-                       .select(F.col("gone").alias("id"), F.col("id").alias("child"),
-                               *[(F.col(f"s_{a}") + F.col(u)).alias(v) for a, u, v in zip(own, up, values)]))
-        live = moved.select("id", F.when(F.col("gone").isNull(), F.col("parent")).otherwise(F.col("grand")).alias("parent"), *own,
-                            *[(F.col(u) + F.coalesce(F.col(f"s_{a}") + F.col(f"s_{u}"), F.lit(0))).alias(u) for a, u in zip(own, up)])
+        above = rest.where("heads").select(F.col("id").alias("parent"), F.col("parent").alias("grand"), *[F.col(c).alias(f"s_{c}") for c in (*own, *up)])
+        took = rest.where("not heads").join(above, "parent").withColumnRenamed("parent", "gone")
+        took = cut(took)
+        spliced.append(took.select(F.col("gone").alias("id"), F.col("id").alias("child"),
+                                   *[(F.col(f"s_{a}") + F.col(u)).alias(v) for a, u, v in zip(own, up, values)]))
+        # both the child as it was and the node above it give way to the child as it is now
+        old = took.select(F.explode(F.array("id", "gone")).alias("id"))
+        live = cut(rest.join(old, "id", "left_anti").select("id", "parent", "kids", *own, *up)
+                   .unionByName(took.select("id", F.col("grand").alias("parent"), "kids", *own,
+                                            *[(F.col(u) + F.col(f"s_{a}") + F.col(f"s_{u}")).alias(u) for a, u in zip(own, up)])))
     else:
         raise RuntimeError(f"tree not contracted after {max_rounds} rounds")
     if stats is not None:
         stats["rounds"] = turn + 1
     # expansion, last round first
-    done = cut(_union(raked))
+    done = _union(raked)
     for record in reversed(spliced):
+        if record.isEmpty():
+            continue
         child = done.select(F.col("id").alias("child"), *[F.col(v).alias(f"t_{v}") for v in values])
         more = cut(record.join(child, "child").select("id", *[(F.col(v) + F.col(f"t_{v}")).alias(v) for v in values]))
         done = done.unionByName(more)
