@@ -1,19 +1,9 @@
 """Byte-level BPE tokenizer on Spark (T-1..T-8, Q-1..Q-3, A-9).
 
-Training (T-5) never gathers the corpus: the corpus pass is a distributed word
-count (T-4), and each merge round is one aggregation over the distinct-word
-table (pair and triple counts from a single shuffle), a top-K of candidate
-pairs brought to the driver (K is bounded), and a narrow rewrite of the words.
-Only the model itself (vocabulary and merges, bounded by ``vocab_size``)
-lives on the driver, as a trained model does.
-
-The exact batched rule: sort pairs by (count desc, left id, right id); accept
-from the top while a pair shares no symbol with an accepted pair (so its count
-cannot change) and its count is strictly greater than every triple count that
-touches an accepted pair (a pair formed by a merge, ``(x, ab)`` or
-``(ab, y)``, cannot occur more often than ``x a b`` or ``a b y``). Stop at the
-first pair that fails. This gives the merges, in order, of the one-at-a-time
-trainer.
+Training (T-5, ``bpe_training``) never gathers the corpus: the corpus pass is a
+distributed word count (T-4), and the rounds keep the counts of pairs and triples
+up to date from the words that change. Only the model itself (vocabulary and
+merges, bounded by ``vocab_size``) lives on the driver, as a trained model does.
 
 Encoding (T-6) splits texts into words on the JVM (T-1, T-2) and hands word
 arrays to an Arrow-batched UDF over a broadcast of the model, which looks words
@@ -35,7 +25,6 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from quire.functions import col_of, int_array, let
 from quire.functions.ids import SPECIAL_TOKENS
-from quire.session import checkpoint_dir
 
 # ---------------------------------------------------------------- fixed values
 # The published byte-level pre-tokenizer split pattern (add_prefix_space=False).
@@ -357,126 +346,26 @@ class _Codec:
 
 
 # ---------------------------------------------------------------- T-5
-def _stats(words: DataFrame) -> DataFrame:
-    """(left, right, third-or-null, weighted count) per position: pairs and triples in one shuffle.
-
-    Three shifted views of each word zipped together; ``arrays_zip`` pads the
-    shorter third view with null at the last pair.
-    """
-    n = F.size("syms")
-    z = F.arrays_zip(F.slice("syms", 1, F.greatest(n - 1, F.lit(0))).alias("l"),
-                     F.slice("syms", 2, F.greatest(n - 1, F.lit(0))).alias("r"),
-                     F.slice("syms", 3, F.greatest(n - 2, F.lit(0))).alias("t"))
-    g = words.select(F.explode(z).alias("g"), "cnt")
-    return g.groupBy(F.col("g.l").alias("l"), F.col("g.r").alias("r"), F.col("g.t").alias("t")).agg(
-        F.sum("cnt").alias("c"))
-
-
-_KEY_SHIFT = 1 << 24
-
-
-def _apply_merges(syms: Column, merges: list[tuple[int, int, int]]) -> Column:
-    """Rewrite a word left to right with a round's merges (their symbols are disjoint)."""
-    kv = []
-    for a, b, n in merges:
-        kv += [F.lit(a * _KEY_SHIFT + b), F.lit(n)]
-    m = F.create_map(*kv)
-
-    def step(acc, x):
-        last = F.get(acc, F.size(acc) - 1)
-        hit = F.when(F.size(acc) > 0, F.try_element_at(m, last.cast("bigint") * _KEY_SHIFT + x))
-        return F.when(hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))) \
-            .otherwise(F.concat(acc, F.array(x)))
-    folded = F.aggregate(syms, F.array().cast("array<int>"), step)
-    # most words hold none of the round's left symbols: keep them as they are
-    lefts = int_array(sorted({a for a, _, _ in merges}))
-    return F.when(F.arrays_overlap(syms, lefts), folded).otherwise(syms)
-
-
 def train_bpe(df: DataFrame, text: str = "text", vocab_size: int = 6144, min_frequency: int = 2,
-              special_tokens: tuple[str, ...] = SPECIAL_TOKENS, candidates: int = 64, exact: bool = True,
-              checkpoint_every: int = 8, word_table: DataFrame | None = None) -> BpeModel:
-    """T-5: train a byte-level BPE model on the ``text`` column.
-
-    ``exact=False`` accepts every symbol-disjoint pair of the top-K in a round
-    without the triple bound (fewer rounds for large vocabularies; merges may
-    then differ from the one-at-a-time order). Special tokens take ids 0..4 in
-    the listed order and are verified.
+              special_tokens: tuple[str, ...] = SPECIAL_TOKENS, candidates: int = 256, exact: bool = True,
+              checkpoint_every: int = 4, word_table: DataFrame | None = None, log_dir: str | None = None,
+              stop_after: int | None = None) -> BpeModel:
+    """T-5: train a byte-level BPE model on the ``text`` column (see ``bpe_training``).
+
+    ``exact=False`` accepts every symbol-disjoint pair of the top-K in a round without proof (fewer
+    rounds; merges may then differ from the one-at-a-time order). Special tokens take ids 0..4 in
+    the listed order and are verified. ``log_dir`` makes the job resumable; ``stop_after`` ends it after
+    so many rounds.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    from quire.operators import bpe_training
     vocab = list(special_tokens) + ALPHABET
-    index = {t: i for i, t in enumerate(vocab)}
     for i, t in enumerate(special_tokens):
-        if index[t] != i:
+        if vocab.index(t) != i:
             raise ValueError(f"special token {t!r} must have id {i}")
-    merges: list[tuple[str, str]] = []
     wc = word_table if word_table is not None else word_counts(df, text)
-    # the distinct-word table is small next to the corpus and adaptive execution
-    # would pack it into a task or two; spread it explicitly, once, so every
-    # round's array work runs on all cores, then write it down
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    words = (wc.select(word_symbols("word").alias("syms"), F.col("cnt").cast("bigint"))
-             .filter(F.size("syms") >= 2)
-             .repartition(parts)
-             .checkpoint(eager=True))
-    rounds, sizes, prev = 0, [], None
-    while len(vocab) < vocab_size:
-        stats = _stats(words)
-        # one job per round: every (l, r, t) count feeds its pair (l, r) (count and
-        # largest right extension) and, when t exists, the pair (r, t) (largest
-        # left extension); one more aggregation, then the top-K candidates
-        has_t = F.col("t").isNotNull()
-        fan = F.array(
-            F.struct(F.col("l").alias("a"), F.col("r").alias("b"), F.col("c").alias("pc"),
-                     F.when(has_t, F.col("c")).alias("ext")),
-            F.when(has_t & F.lit(exact), F.struct(F.col("r").alias("a"), F.col("t").alias("b"),
-                                                  F.lit(0).cast("bigint").alias("pc"), F.col("c").alias("ext"))))
-        pairs = (stats.select(F.explode(F.filter(fan, lambda x: x.isNotNull())).alias("x"))
-                 .groupBy(F.col("x.a").alias("l"), F.col("x.b").alias("r"))
-                 .agg(F.sum("x.pc").alias("pc"), F.max("x.ext").alias("mr"))
-                 .withColumn("ml", F.lit(None).cast("bigint")))
-        top = (pairs.filter(F.col("pc") >= min_frequency)
-               .orderBy(F.desc("pc"), "l", "r").limit(candidates).collect())
-        if not top:
-            break
-        tmax = {(int(r["l"]), int(r["r"])): max(int(r["mr"] or 0), int(r["ml"] or 0)) for r in top}
-        accepted, used, bound = [], set(), -1
-        for r in top:
-            a, b, pc = int(r["l"]), int(r["r"]), int(r["pc"])
-            if len(vocab) >= vocab_size:
-                break
-            if accepted and (a in used or b in used or (exact and pc <= bound)):
-                break
-            new_tok = vocab[a] + vocab[b]
-            nid = index.get(new_tok)
-            if nid is None:
-                nid = len(vocab)
-                vocab.append(new_tok)
-                index[new_tok] = nid
-            merges.append((vocab[a], vocab[b]))
-            accepted.append((a, b, nid))
-            used |= {a, b, nid}
-            bound = max(bound, tmax.get((a, b), 0))
-        rounds += 1
-        sizes.append(len(accepted))
-        # the previous table was read by this round's job through the current
-        # one's cache, so it can go now; the new table is cached by the next job
-        if prev is not None:
-            prev.unpersist()
-        nxt = words.select(_apply_merges(F.col("syms"), accepted).alias("syms"), "cnt").filter(F.size("syms") >= 2)
-        if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint(eager=True)
-            words.unpersist()
-            prev = None
-        else:
-            nxt = nxt.persist()
-            prev = words
-        words = nxt
-    if prev is not None:
-        prev.unpersist()
-    words.unpersist()
-    return BpeModel(vocab, merges, tuple(special_tokens), rounds, sizes)
+    vocab, merges, sizes = bpe_training.train(wc, vocab, BYTE_IDS, vocab_size, min_frequency, candidates, exact, checkpoint_every,
+                                              log_dir, stop_after)
+    return BpeModel(vocab, merges, tuple(special_tokens), len(sizes), sizes)
 
 
 # ---------------------------------------------------------------- Q-1, Q-2, Q-3
