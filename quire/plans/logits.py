@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import logits as L
 from quire.operators import logits as LO
-from quire.plans.registry import query, table
+from quire.operators import logits_long as LL
+from quire.plans.registry import ORACLES, query, table
 
 _E_SQL = """
 WITH e AS (SELECT vec_id, vec_id // 64 AS batch_id, CAST(embedding AS DOUBLE[]) AS l, label AS target FROM embeddings),
@@ -94,3 +95,29 @@ FROM c
 def seeded_sample(spark, d):
     r = logit_rows(spark, d)
     return r.select("vec_id", L.seeded_sample("logits", 0.05, 10, 42, F.col("vec_id"), 0).alias("pick"))
+
+
+# ---------------------------------------------------------------- long tables and vocabulary shards
+@query("sharded_cross_entropy", "M-1 M-2", _E_SQL + """
+SELECT vec_id, round(lse, 9) AS logsumexp, round(lse - l[target + 1], 9) AS xent FROM s
+""")
+def sharded_cross_entropy(spark, d):
+    """Eight shards a row: two numbers of each are merged, the logits stay."""
+    shards = LL.split_logits(logit_rows(spark, d), ["vec_id", "target"], 8)
+    x = LL.sharded_cross_entropy(shards, ["vec_id"])
+    return x.select("vec_id", F.round("logsumexp", 9).alias("logsumexp"), F.round("xent", 9).alias("xent"))
+
+
+@query("topk_long", "W-6", _E_SQL + """,
+k AS (SELECT *, list_sort(l, 'DESC')[5] AS thr FROM e)
+SELECT vec_id, token, round(l[token + 1], 9) AS logit FROM (SELECT vec_id, l, thr, unnest(range(len(l))) AS token FROM k) WHERE l[token + 1] >= thr
+""")
+def topk_long(spark, d):
+    rows = LL.explode_logits(logit_rows(spark, d), ["vec_id"])
+    return LL.topk_long(rows, ["vec_id"], 5).select("vec_id", F.col("token").cast("long").alias("token"), F.round("logit", 9).alias("logit"))
+
+
+@query("sample_long", "W-10 W-6", ORACLES["seeded_sample"])
+def sample_long(spark, d):
+    rows = LL.explode_logits(logit_rows(spark, d), ["vec_id"])
+    return LL.sample_long(rows, ["vec_id"], 0.05, 10, 42, "vec_id", 0, block=16).select("vec_id", "pick")

@@ -102,6 +102,12 @@ def fetch_lines(spark, d):
     return J.fetch_lines(spark, _chunk_lines(spark, d), table(spark, d, "labels", "doc_id"), "doc_id").select("idx", "value")
 
 
+@query("seek_lines", "S-6 S-5", _LINES_SQL + "SELECT idx, value FROM placed WHERE idx IN (SELECT doc_id FROM labels)")
+def seek_lines(spark, d):
+    index = J.write_line_index(spark, _chunk_lines(spark, d), scratch_dir(spark, "line-index"))
+    return J.seek_lines(index, table(spark, d, "labels", "doc_id"), "doc_id").select("idx", "value")
+
+
 @query("messages_jsonl", "S-3 S-4", f"""
 WITH {SQL_MSGS}
 SELECT array_to_string(list_transform(m, lambda x: x.role), ',') AS roles, len(m) AS n_messages,

@@ -78,13 +78,74 @@ def fetch_lines(spark: SparkSession, path, wanted: DataFrame, key: str = "idx")
     return numbered_lines(spark, path, "\n").join(keys, "idx", "left_semi").select("idx", "file", "line_no", "value")
 
 
+def write_line_index(spark: SparkSession, path, index_path: str, line_index_rows: DataFrame | None = None) -> DataFrame:
+    """S-5, stored: the line index of ``path`` as Parquet in ranges of ``idx``, so that a lookup reads only the row
+    groups that hold its lines. Returns the stored table."""
+    rows = line_index(spark, path) if line_index_rows is None else line_index_rows
+    (rows.select("idx", "file", "line_no", "byte_offset", "byte_len").repartitionByRange("idx").sortWithinPartitions("idx")
+     .write.mode("overwrite").parquet(index_path))
+    return spark.read.parquet(index_path)
+
+
+def read_ranges(places: DataFrame, gap: int = 1 << 16) -> DataFrame:
+    """(idx, file, line_no, value) for rows (idx, file, line_no, byte_offset, byte_len): each task opens the files of its
+    rows and reads their byte ranges, ranges of one file up to ``gap`` bytes apart in one read. Files are
+    reached by the file system that their address names (file, hdfs, s3, gs, abfs).
+
+    A line's end mark is taken off; bytes that are no UTF-8 become U+FFFD. A range beyond the end of a file
+    (the index is older than the file) stops the job.
+    """
+    def fetch(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            rows = sorted(zip(*(b.column(c).to_pylist() for c in ("file", "byte_offset", "byte_len", "idx", "line_no"))))
+            out, at = [], 0
+            while at < len(rows):
+                name, begin, n, *_ = rows[at]
+                to, end = at + 1, begin + n
+                while to < len(rows) and rows[to][0] == name and rows[to][1] <= end + gap:
+                    end = max(end, rows[to][1] + rows[to][2])
+                    to += 1
+                system, inner = fs.FileSystem.from_uri(name)
+                with system.open_input_file(inner) as f:
+                    if rows[to - 1][1] > f.size():
+                        raise ValueError(f"line index and file differ: {name}")
+                    data = f.read_at(min(end, f.size()) - begin, begin)
+                for _, offset, size, idx, line_no in rows[at:to]:
+                    line = data[offset - begin:offset - begin + size]
+                    out.append((idx, name, line_no, line.removesuffix(b"\n").decode("utf-8", "replace")))
+                at = to
+            yield pa.RecordBatch.from_pydict({c: [r[i] for r in out] for i, c in enumerate(("idx", "file", "line_no", "value"))},
+                                             pa.schema([("idx", pa.int64()), ("file", pa.string()), ("line_no", pa.int64()), ("value", pa.string())]))
+
+    return (places.select("idx", "file", "line_no", "byte_offset", "byte_len")
+            .mapInArrow(fetch, "idx long, file string, line_no long, value string"))
+
+
+def seek_lines(index: DataFrame, wanted: DataFrame, key: str = "idx") -> DataFrame:
+    """S-6 by offset: the lines whose data-set index is in ``wanted[key]``, once each, over a stored line index.
+
+    Only the wanted lines' bytes are read. The smallest and largest wanted index go to the index's scan as
+    filters; the wanted rows stay distributed, dealt by file and place so that a task reads on.
+    """
+    keys = wanted.select(F.col(key).cast("bigint").alias("idx")).where("idx is not null").distinct()
+    ends = keys.agg(F.min("idx").alias("a"), F.max("idx").alias("b")).first()
+    if ends["a"] is None:
+        return read_ranges(index.limit(0))
+    places = index.where(F.col("idx").between(ends["a"], ends["b"])).join(keys, "idx", "left_semi")
+    return read_ranges(places.repartitionByRange("file", "byte_offset"))
+
+
 def read_jsonl_text(spark: SparkSession, path, text_field: str = "text") -> tuple[DataFrame, DataFrame]:
     """S-1: lenient reader. Returns ``(good, rejects)``.
 
     ``good``: ``file, text`` for every object with a ``text`` key
     (``text: null`` is kept as null; a non-string value is kept as its JSON
     text); a narrow parse of one scan. ``rejects``: ``file, line_no, reason`` with
-    reason ``bad_json`` (a blank line too, and anything before or after the one
+    reason ``bad_utf8`` (bytes that are no UTF-8, whatever the rest of the line),
+    ``bad_json`` (a blank line too, and anything before or after the one
     value), ``missing_text`` (an object or array without the key) or
     ``not_object`` (a bare number, string, boolean or null, where the reference
     stops with an error). Duplicate keys keep the last value. Only rejects are numbered.
@@ -119,7 +180,9 @@ def lenient_parse(value="value", text_field: str = "text"):
     alone = F.coalesce(F.size(F.from_json(listed, f"array<{row}>", strict)) == 1, F.lit(False))
     fallback = F.when(alone & again.isNotNull(), again.getField(text_field))
     present = F.variant_get(v, f"$.k.{text_field}", "variant").isNotNull()
-    reason = (F.when(~one & fallback.isNull(), F.lit("bad_json"))
+    # the text source hands on the bytes of a line as they are, so they can be checked here
+    reason = (F.when(~F.is_valid_utf8(value), F.lit("bad_utf8"))
+              .when(~one & fallback.isNull(), F.lit("bad_json"))
               .when(~one, F.lit(None))
               .when(kind.startswith("OBJECT") & present, F.lit(None))
               .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit("missing_text"))

@@ -142,3 +142,38 @@ def test_stream_equals_batch(spark):
     b2 = sorted(tuple(r) for r in qs["loss_by_batch"](spark, d).collect())
     s2 = sorted(tuple(r) for r in qs["stream_loss_by_batch"](spark, d).collect())
     assert b2 == s2
+
+
+def test_lines_that_are_no_utf8_are_rejected(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_bytes(b'{"text":"a"}\n{"text":"\xff\xfe"}\n\xc3\n{"text":"\xc3\xa9"}\n{"text":"\xed\xa0\x80"}\n{"text":"b"}\n')
+    good, rej = J.read_jsonl_text(spark, str(p))
+    assert sorted(r.text for r in good.collect()) == ["a", "b", "\u00e9"]
+    assert [(r.line_no, r.reason) for r in rej.orderBy("line_no").collect()] == [(2, "bad_utf8"), (3, "bad_utf8"), (5, "bad_utf8")]
+    assert [r.byte_len for r in J.line_index(spark, str(p)).orderBy("idx").collect()] == [13, 14, 2, 14, 15, 13]
+
+
+def test_seek_reads_only_the_wanted_ranges(spark, tmp_path):
+    random.seed(6)
+    lines = {}
+    folder = tmp_path / "a b"  # a name that addresses spell differently
+    folder.mkdir()
+    for name in ("x.txt", "y.txt"):
+        lines[name] = [random.choice(["", "\u00e9t\u00e9", "z" * random.randint(0, 300), "a\rb"]) for _ in range(2000)]
+        (folder / name).write_bytes("".join(x + "\n" for x in lines[name]).encode())
+    every = lines["x.txt"] + lines["y.txt"]
+    index = J.write_line_index(spark, str(folder), f"file://{tmp_path}/index")
+    picks = random.sample(range(4000), 10)
+    wanted = spark.createDataFrame([(i,) for i in picks * 2] + [(None,), (10 ** 9,)], "k long")
+    # all other bytes are overwritten: they cannot have been read
+    keep = {"x.txt": [i for i in picks if i < 2000], "y.txt": [i - 2000 for i in picks if i >= 2000]}
+    for name, own in keep.items():
+        raw = [(x + "\n").encode() for x in lines[name]]
+        (folder / name).write_bytes(b"".join(r if i in own else b"#" * len(r) for i, r in enumerate(raw)))
+    got = J.seek_lines(index, wanted, "k").collect()
+    assert sorted((r.idx, r.value) for r in got) == sorted((i, every[i]) for i in picks)
+    assert all(r.line_no == (r.idx % 2000) + 1 for r in got)
+    assert J.seek_lines(index, wanted.where("k is null"), "k").count() == 0
+    (folder / "y.txt").write_bytes(b"")
+    with pytest.raises(Exception, match="line index and file differ"):
+        J.seek_lines(index, spark.createDataFrame([(3999,)], "k long"), "k").collect()
