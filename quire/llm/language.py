@@ -23,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.split import unused
 from quire.llm.common import cut, let, row_key, whole_text
 
 BUCKETS = 1 << 15
@@ -224,8 +225,9 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
 
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose language was found, with their columns as they came."""
-    keyed = docs.withColumn("__key", row_key(docs))
-    stay = (identify(keyed, carry=["__key"], **options).where("kept")
-            .select(F.col("doc_id").alias("__id"), F.col("__key").alias("__kept")))
-    on = keyed.doc_id.eqNullSafe(stay["__id"]) & (keyed["__key"] == stay["__kept"])
-    return keyed.join(stay, on, "left_semi").select(*[docs[c] for c in docs.columns])
+    key = unused(docs, "__key")
+    keyed = docs.withColumn(key, row_key(docs))
+    stay = (identify(keyed, carry=[key], **options).where("kept")
+            .select(F.col("doc_id").alias("kept_id"), F.col(key).alias("kept_key")))
+    on = keyed["doc_id"].eqNullSafe(stay["kept_id"]) & (keyed[key] == stay["kept_key"])
+    return keyed.join(stay, on, "left_semi").select(*docs.columns)

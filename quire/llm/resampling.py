@@ -36,13 +36,11 @@ def words(text: Column) -> Column:
 
 def features(w: Column, longest: int = 1) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space, repeats included."""
-    if longest == 1:
-        return w
-    runs = [w]
-    for n in range(2, longest + 1):
+    def runs(n):
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
-    return F.concat(*runs)
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), " "))
+
+    return w if longest == 1 else F.concat(w, *[runs(n) for n in range(2, longest + 1)])
 
 
 def bucket(feature: Column, buckets: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import bpe, language, packing, quality, secrets, simhash
 from quire.llm.common import cut, row_key
+from quire.operators.split import unused
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +27,14 @@ def quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: that with the smallest id (ties: the smallest row
     hash; rows equal in every column collapse to one; a null id comes last)."""
-    keyed = docs.withColumn("__key", row_key(docs))
-    groups = simhash.near_duplicates(keyed, "doc_id", "text", ngram=3, radius=3, keep=["__key"])
+    key = unused(docs, "__key")
+    keyed = docs.withColumn(key, row_key(docs))
+    groups = simhash.near_duplicates(keyed, "doc_id", "text", ngram=3, radius=3, keep=[key])
     best = (groups.groupBy("group_fp")
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key")).alias("best"))
-            .select(F.col("best.doc_id").alias("__id"), F.col("best.__key").alias("__best")))
-    stay = (keyed.doc_id.eqNullSafe(best["__id"])) & (keyed["__key"] == best["__best"])
-    return (keyed.join(best, stay, "left_semi")
-            .dropDuplicates(["doc_id", "__key"]).select(*[docs[c] for c in docs.columns]))
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("key"))).alias("best"))
+            .select(F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key")))
+    stay = keyed["doc_id"].eqNullSafe(best["best_id"]) & (keyed[key] == best["best_key"])
+    return keyed.join(best, stay, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

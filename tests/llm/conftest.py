@@ -12,10 +12,10 @@ def odd(spark):
     rows = [(i, t, ["en", None, "de"][i % 3], ["a.example.org", None, "http://x.de/y"][i % 3], None if t is None else len(t)) for i, t in enumerate(text)]
     rows += [rows[0], (None, "no id but words, enough of them to be kept by all of the rules", None, None, None), (None, None, None, None, None)]
     extra = ["fingerprint", "component_id", "kept", "bits", "ids", "id", "t", "w", "spans", "base", "language", "n_tokens", "bucket", "fp", "c0", "h",
-             "__key"]
-    df = spark.createDataFrame([r + ("x",) * len(extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, "
-                               + ", ".join(f"`{c}` string" for c in extra[:-1]) + ", `__key` string")
-    return df.drop("__key").cache()
+             "__key", "__id", "__kept", "__best", "best_id", "best_key", "kept_id", "kept_key", "key", "row", "at", "place", "score", "weight",
+             "n_words", "batch", "slot", "_rid"]
+    return spark.createDataFrame([r + ("x",) * len(extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{c}` string" for c in extra)).cache()
 
 
 @pytest.fixture(scope="session")
