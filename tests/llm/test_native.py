@@ -158,7 +158,7 @@ def test_long_texts_take_linear_time(spark):
             base = secrets.find_all(df).select(F.transform("base", lambda x: x["start"]).alias("b")).first().b
             assert base == [17 * i for i in range(spans)]
         else:
-            assert r.n < 60 and "[SECRET]" in r.head
+            assert r.n < len(text) / 100 and "[SECRET]" in r.head  # a few windows lie under the threshold
 
 
 def test_addresses_paths_and_compound_words_stay(spark):
