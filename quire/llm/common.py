@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, scratch_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,6 +21,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and go on from the written copy.
+
+    For loops: a checkpointed DataFrame hands its plan's constraints on to what is made from it, and over
+    many rounds of sums and joins those grow until the driver's memory is full; a table has none.
+    """
+    path = scratch_dir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def whole_text(text: Column | str) -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, stored
 from quire.operators.split import with_global_index
 
 #: turns of one block of the running hash
@@ -124,7 +124,7 @@ def subtree_totals(nodes: DataFrame, values: list[str], max_rounds: int = 200, s
     """
     own, up = [f"a_{v}" for v in values], [f"u_{v}" for v in values]
     kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
-    live = cut(nodes.join(kids.hint("merge"), "id", "left")
+    live = stored(nodes.join(kids.hint("merge"), "id", "left")
                .select("id", "parent", F.coalesce("kids", F.lit(0)).alias("kids"), *[F.col(v).alias(a) for v, a in zip(values, own)],
                        *[F.lit(0).cast("long").alias(u) for u in up]))
     raked, spliced = [], []
@@ -135,19 +135,19 @@ def subtree_totals(nodes: DataFrame, values: list[str], max_rounds: int = 200, s
                  .agg(F.count("*").alias("gone"), *[F.sum(F.col(a) + F.col(u)).alias(f"g_{a}") for a, u in zip(own, up)]))
         left = F.col("kids") - F.coalesce("gone", F.lit(0))
         # a node left with one child draws a coin; on heads it goes, unless its child shows heads too
-        rest = cut(live.where("kids > 0").join(given.hint("merge"), "id", "left")
+        rest = stored(live.where("kids > 0").join(given.hint("merge"), "id", "left")
                    .select("id", "parent", left.alias("kids"), *[(F.col(a) + F.coalesce(f"g_{a}", F.lit(0))).alias(a) for a in own], *up,
                            ((left == 1) & F.col("parent").isNotNull() & (F.xxhash64(F.lit(f"round {turn}"), "id") % 2 == 0)).alias("heads")))
         if rest.isEmpty():
             break
         above = rest.where("heads").select(F.col("id").alias("parent"), F.col("parent").alias("grand"), *[F.col(c).alias(f"s_{c}") for c in (*own, *up)])
         took = rest.where("not heads").join(above.hint("merge"), "parent").withColumnRenamed("parent", "gone")
-        took = cut(took)
+        took = stored(took)
         spliced.append(took.select(F.col("gone").alias("id"), F.col("id").alias("child"),
                                    *[(F.col(f"s_{a}") + F.col(u)).alias(v) for a, u, v in zip(own, up, values)]))
         # both the child as it was and the node above it give way to the child as it is now
         old = took.select(F.explode(F.array("id", "gone")).alias("id"))
-        live = cut(rest.join(old.hint("merge"), "id", "left_anti").select("id", "parent", "kids", *own, *up)
+        live = stored(rest.join(old.hint("merge"), "id", "left_anti").select("id", "parent", "kids", *own, *up)
                    .unionByName(took.select("id", F.col("grand").alias("parent"), "kids", *own,
                                             *[(F.col(u) + F.col(f"s_{a}") + F.col(f"s_{u}")).alias(u) for a, u in zip(own, up)])))
     else:
@@ -160,7 +160,7 @@ def subtree_totals(nodes: DataFrame, values: list[str], max_rounds: int = 200, s
         if record.isEmpty():
             continue
         child = done.select(F.col("id").alias("child"), *[F.col(v).alias(f"t_{v}") for v in values])
-        more = cut(record.join(child.hint("merge"), "child").select("id", *[(F.col(v) + F.col(f"t_{v}")).alias(v) for v in values]))
+        more = stored(record.join(child.hint("merge"), "child").select("id", *[(F.col(v) + F.col(f"t_{v}")).alias(v) for v in values]))
         done = done.unionByName(more)
     return done
 
@@ -175,14 +175,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def prefix_trie(members: DataFrame) -> DataFrame:
     """One row per node of the trie of ``members`` (see ``memberships``): conv_id (its smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256. No members, no nodes."""
-    members = cut(members)
-    nodes = cut(members.groupBy("k1", "k2").agg(F.min("depth").alias("depth"), F.min("c").alias("conv_id"), F.count("*").alias("n_convs"),
+    members = stored(members)
+    nodes = stored(members.groupBy("k1", "k2").agg(F.min("depth").alias("depth"), F.min("c").alias("conv_id"), F.count("*").alias("n_convs"),
                                                 F.max("chars").alias("chars"), F.min("p1").alias("p1"), F.min("p2").alias("p2"))
                 .withColumn("id", F.monotonically_increasing_id()))
     above = nodes.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     tree = nodes.join(above.hint("merge"), ["p1", "p2"], "left")
     children = tree.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_children"))
-    tree = cut(tree.join(children.hint("merge"), "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
+    tree = stored(tree.join(children.hint("merge"), "id", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
     totals = subtree_totals(tree.select("id", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
                                         ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
     ends = listed_sha256(members.where("last"), ["k1", "k2"], "c").withColumnRenamed("sha256", "ends_sha256")
