@@ -4,7 +4,8 @@ The lexicon holds the terms whose inverse document frequency lies in a band. Eac
 ``SUBSETS`` random subsets of it, from the whole lexicon down to one term in 512, gives one
 signature: the hash of the document's distinct terms in the subset, sorted. A document's
 fingerprint is all its signatures. Texts that differ in a few terms still agree in the
-subsets none of those terms fell into; the likeness of two fingerprints is the share of
+subsets none of those terms fell into. A text without lexicon terms is told by the hash of all
+its terms instead. The likeness of two fingerprints is the share of
 agreeing signatures among those either document has.
 """
 
@@ -22,7 +23,8 @@ HALVINGS = (0, 2, 4, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 8, 8, 8, 8, 9, 9)
 SUBSETS = len(HALVINGS)
 IDF_LOW = math.log(1 / 0.5)  # terms in over half the documents tell nothing
 IDF_HIGH = math.log(1 / 0.0005)  # terms in under one document in 2000 come and go with typing errors
-LEXICON_TERMS = 200_000  # the upper end of the band falls until this many terms are sure to suffice
+BROADCAST_TERMS = 300_000  # a lexicon of counted size up to this, and of up to
+BROADCAST_CHARS = 16 << 20  # so many characters, is broadcast; a larger one is joined by a shuffle, with the same result
 EMPTY = "-" * 8
 
 
@@ -40,36 +42,32 @@ def term_code(term: Column) -> Column:
     return F.conv(F.substring(F.md5(term), 1, 15), 16, 10).cast("long")
 
 
-def lexicon(terms: DataFrame, n_docs: int, n_terms: int, low: float = IDF_LOW, high: float = IDF_HIGH,
-            max_terms: int = LEXICON_TERMS) -> DataFrame:
-    """(term, code, mask) of the terms whose idf = ln(n_docs / df) lies in [low, high].
-
-    ``terms``: (term, df), ``n_terms``: the sum of df. At most n_terms / df terms have that df or more,
-    so with the least df at n_terms / max_terms the lexicon cannot exceed ``max_terms`` rows,
-    whatever the corpus: that is what allows broadcasting it.
-    """
-    least = max(n_docs * math.exp(-high), n_terms / max_terms)
-    return (terms.where((F.col("df") >= least - 1e-9) & (F.col("df") <= n_docs * math.exp(-low) + 1e-9))
-            .select("term", term_code(F.col("term")).alias("code"), subset_mask(F.col("term")).alias("mask")))
-
-
-def build_lexicon(df: DataFrame, text_col: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH,
-                  max_terms: int = LEXICON_TERMS) -> DataFrame:
-    """The lexicon of a table: distinct terms per row, summed before the shuffle. Terms of a single
-    document are in no band."""
+def build_lexicon(df: DataFrame, text_col: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH) -> DataFrame:
+    """(term, code, mask) of the terms whose idf = ln(rows / df) lies in [low, high]; ``df`` counts the rows that
+    hold the term, summed before the shuffle. Terms of a single row are in no band. No other term is left out."""
     n_docs = df.count()
     terms = (df.select(F.explode(F.array_distinct(words(whole_text(df[text_col])))).alias("term"))
              .groupBy("term").agg(F.count("*").alias("df"))
-             .where(F.col("df") >= max(2, n_docs * math.exp(-high) - 1e-9)))
-    terms = cut(terms)
-    n_terms = terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
-    return cut(lexicon(terms, n_docs, n_terms, low, high, max_terms))
+             .where((F.col("df") >= max(2, n_docs * math.exp(-high) - 1e-9)) & (F.col("df") <= n_docs * math.exp(-low) + 1e-9)))
+    return cut(terms.select("term", term_code(F.col("term")).alias("code"), subset_mask(F.col("term")).alias("mask")))
+
+
+def may_broadcast(lex: DataFrame, max_terms: int = BROADCAST_TERMS, max_chars: int = BROADCAST_CHARS) -> bool:
+    """Whether the lexicon, counted, is small enough to be sent to every executor."""
+    n, chars = lex.agg(F.count("*"), F.coalesce(F.sum(F.length("term")), F.lit(0))).first()
+    return n <= max_terms and chars <= max_chars
+
+
+def own_signature(terms: Column) -> Column:
+    """8 hex digits of an array of distinct terms, all of them, sorted; dashes if there is none."""
+    return F.when(F.size(terms) == 0, EMPTY).otherwise(F.substring(F.sha2(F.array_join(F.sort_array(terms), " "), 256), 1, 8))
 
 
-def signatures(pairs: Column) -> Column:
+def signatures(pairs: Column, own: Column) -> Column:
     """The fingerprint of a sorted array of (code, mask): 8 hex digits per subset, dashes where the
-    document has no term of the subset."""
-    return F.concat_ws(".", *[_signature(pairs, k) for k in range(SUBSETS)])
+    document has no term of the subset. Without any pair the first is ``own``, the rest dashes."""
+    lone = F.concat_ws(".", own, *[F.lit(EMPTY)] * (SUBSETS - 1))
+    return F.when(F.size(pairs) == 0, lone).otherwise(F.concat_ws(".", *[_signature(pairs, k) for k in range(SUBSETS)]))
 
 
 def _signature(pairs: Column, k: int) -> Column:
@@ -86,35 +84,47 @@ def likeness(a: Column, b: Column) -> Column:
         F.aggregate(s, F.lit(0), lambda n, x: n + x) / F.size(s)))
 
 
-def fingerprint_texts(texts: DataFrame, lex: DataFrame, row: list[str], text_cols: dict[str, str], info: Column) -> DataFrame:
+def fingerprint_texts(texts: DataFrame, lex: DataFrame, row: list[str], text_cols: dict[str, str], info: Column,
+                      small: bool | None = None) -> DataFrame:
     """(row..., info, one fingerprint per text): ``text_cols`` names output -> column, ``info`` is a
-    string to carry, without a leading space; ``row`` names a row of ``texts``.
+    string to carry; ``row`` names a row of ``texts``.
 
-    Terms are looked up in the broadcast lexicon, so nothing is shuffled if ``texts`` is already
-    dealt by (part of) ``row``. Terms outside the band end at the join.
+    Terms outside the band end at the join. A small lexicon (``may_broadcast``; ``small`` forces either way)
+    is broadcast, and nothing is shuffled if ``texts`` is already dealt by (part of) ``row``. A larger one is
+    joined by term: a frequent term's rows are split by AQE, and the rows' heads pass around the join.
     """
-    # each list starts with an entry that no word equals; it keeps texts without lexicon terms
-    heads = [F.concat(F.lit(" "), info), *[F.lit(" ")] * (len(text_cols) - 1)]
-    sides = F.array(*[F.concat(F.array(h), F.array_distinct(words(F.col(c)))) for h, c in zip(heads, text_cols.values())])
-    spark = lex.sparkSession
-    known = lex.union(spark.createDataFrame([("", None, None)], "term string, code long, mask int"))
-    head = F.col("entry").startswith(" ")
-    found = (texts.select(*row, F.posexplode(sides).alias("side", "entries"))
-             .select(*row, "side", F.explode("entries").alias("entry"))
-             .select(*row, "side", F.when(head, "").otherwise(F.col("entry")).alias("term"),
-                     F.when(head & (F.col("side") == 0), F.substring("entry", 2, 1 << 20)).alias("info"))
-             .join(F.broadcast(known), "term").select(*row, "side", "code", "mask", "info"))
+    small = may_broadcast(lex) if small is None else small
+
+    # each list starts with an entry that no word equals: its text's own signature, and for the first text the info
+    def entries(i, c):
+        head = lambda w: F.concat(F.lit(" "), own_signature(w), info) if i == 0 else F.concat(F.lit(" "), own_signature(w))
+        return let(F.array_distinct(words(F.col(c))), lambda w: F.concat(F.array(head(w)), w))
+
+    sides = F.array(*[entries(i, c) for i, c in enumerate(text_cols.values())])
+    flat = (texts.select(*row, F.posexplode(sides).alias("side", "entries"))
+            .select(*row, "side", F.explode("entries").alias("entry")))
+    is_head = F.col("entry").startswith(" ")
+    if small:
+        known = lex.union(lex.sparkSession.createDataFrame([("", None, None)], "term string, code long, mask int"))
+        found = (flat.select(*row, "side", F.when(is_head, "").otherwise(F.col("entry")).alias("term"), F.when(is_head, F.col("entry")).alias("head"))
+                 .join(F.broadcast(known), "term").select(*row, "side", "code", "mask", "head"))
+    else:
+        found = (flat.where(~is_head).withColumnRenamed("entry", "term").join(lex.hint("merge"), "term")
+                 .select(*row, "side", "code", "mask", F.lit(None).cast("string").alias("head"))
+                 .union(flat.where(is_head).select(*row, "side", F.lit(None).cast("long"), F.lit(None).cast("int"), "entry")))
     pair = F.when(F.col("code").isNotNull(), F.struct("code", "mask"))
     lists = [F.sort_array(F.collect_list(F.when(F.col("side") == i, pair))).alias(f"p{i}") for i in range(len(text_cols))]
-    return (found.groupBy(*row).agg(F.max("info").alias("info"), *lists)
-            .select(*row, "info", *[signatures(F.col(f"p{i}")).alias(n) for i, n in enumerate(text_cols)]))
+    heads = [F.max(F.when(F.col("side") == i, F.col("head"))).alias(f"h{i}") for i in range(len(text_cols))]
+    return (found.groupBy(*row).agg(*heads, *lists)
+            .select(*row, F.substring("h0", 10, 1 << 20).alias("info"),
+                    *[signatures(F.col(f"p{i}"), F.substring(f"h{i}", 2, 8)).alias(n) for i, n in enumerate(text_cols)]))
 
 
 def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lex: DataFrame | None = None) -> DataFrame:
     """(id, fingerprint) of every row, against the table's own lexicon or a given one.
 
-    Equal texts have equal fingerprints; null counts as empty; a text without lexicon terms has
-    only dashes. Rows with the same id and text are each returned; null ids are kept;
+    Equal texts have equal fingerprints; null counts as empty; a text without lexicon terms has the
+    hash of all its terms alone, one without words only dashes. Rows with the same id and text are each returned; null ids are kept;
     extra columns are left out. Empty table: no rows.
     """
     lex = build_lexicon(df, text_col) if lex is None else lex

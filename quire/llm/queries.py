@@ -124,22 +124,22 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt,
              coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
 e AS (SELECT *, substr(t, 1, n - n // 4) || substr(nt, 1, n // 4) AS ed FROM n),
-tw AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(t, '[ 	-
-]+'))) AS term FROM e),
-ew AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(ed, '[ 	-
-]+'))) AS term FROM e),
+w AS (SELECT doc_id, list_filter(list_distinct(regexp_split_to_array(t, '[\x20\x09-\x0D]+')), lambda x: x <> '') AS tw,
+             list_filter(list_distinct(regexp_split_to_array(ed, '[\x20\x09-\x0D]+')), lambda x: x <> '') AS ew FROM e),
+tw AS (SELECT doc_id, unnest(tw) AS term FROM w), ew AS (SELECT doc_id, unnest(ew) AS term FROM w),
+o AS (SELECT doc_id, side, CASE WHEN len(x) = 0 THEN '--------' ELSE substr(sha256(array_to_string(list_sort(x), ' ')), 1, 8) END AS own
+      FROM (SELECT doc_id, 0 AS side, tw AS x FROM w UNION ALL SELECT doc_id, 1, ew FROM w)),
 c AS (SELECT count(*) AS docs FROM d),
-df AS (SELECT term, count(*) AS df FROM tw WHERE term <> '' GROUP BY 1),
-df2 AS (SELECT term, df FROM df, c WHERE df >= greatest(2, docs * 0.0005 - 1e-9)),
-s AS (SELECT sum(df) AS terms FROM df2),
+df AS (SELECT term, count(*) AS df FROM tw GROUP BY 1),
 lex AS (SELECT term, CAST('0x' || substr(md5(term), 1, 15) AS BIGINT) AS code, [{_IN_SUBSET}] AS inside
-        FROM df2, c, s WHERE df >= greatest(docs * 0.0005, terms / 200000) - 1e-9 AND df <= docs * 0.5 + 1e-9),
+        FROM df, c WHERE df >= greatest(2, docs * 0.0005 - 1e-9) AND df <= docs * 0.5 + 1e-9),
 hit AS (SELECT doc_id, 0 AS side, code, inside FROM tw JOIN lex USING (term)
         UNION ALL SELECT doc_id, 1, code, inside FROM ew JOIN lex USING (term)),
 sig AS (SELECT doc_id, side, k, substr(sha256(string_agg(CAST(code AS VARCHAR), ' ' ORDER BY code)), 1, 8) AS s
         FROM hit, range(1, {len(HALVINGS) + 1}) r(k) WHERE inside[k] GROUP BY 1, 2, 3),
-fp AS (SELECT doc_id, side, string_agg(coalesce(s, '--------'), '.' ORDER BY k) AS f
-       FROM (SELECT doc_id, side, k FROM d, range(2) x(side), range(1, {len(HALVINGS) + 1}) r(k)) LEFT JOIN sig USING (doc_id, side, k)
+fp AS (SELECT doc_id, side, string_agg(coalesce(s, CASE WHEN k = 1 AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = x.doc_id AND h.side = x.side)
+                                        THEN own END, '--------'), '.' ORDER BY k) AS f
+       FROM (SELECT doc_id, side, k, own FROM o, range(1, {len(HALVINGS) + 1}) r(k)) x LEFT JOIN sig USING (doc_id, side, k)
        GROUP BY 1, 2),
 a AS (SELECT e.doc_id, e.n, e.ed, o.f AS f, m.f AS g, x.f AS h FROM e JOIN fp o ON o.doc_id = e.doc_id AND o.side = 0
       JOIN fp m ON m.doc_id = e.doc_id AND m.side = 1 JOIN fp x ON x.doc_id = e.next_id AND x.side = 0)

@@ -279,10 +279,22 @@ def test_edits_follow_the_next_document(spark):
     assert {(r.doc_id, r.fingerprint) for r in exact} == {(i, r.fingerprint) for i, r in got.items()}
 
 
-def test_lexicon_size_is_bounded(spark):
-    terms = spark.range(1, 5000).select(F.concat(F.lit("t"), "id").alias("term"), (F.col("id") % 50 + 1).alias("df"))
-    total = terms.agg(F.sum("df")).first()[0]
-    assert fingerprints.lexicon(terms, 100, total, max_terms=500).count() <= 500
+def test_lexicon_is_the_whole_band_and_joins_alike(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(400)], k=30)) + " all") for i in range(300)]
+    rows += [(300, "only here"), (301, "nor there"), (302, "there nor"), (303, ""), (304, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df_of = Counter(w for _, t in rows for w in set(WORD.findall(t or "")))
+    lex = fingerprints.build_lexicon(df)
+    assert {r.term for r in lex.collect()} == {w for w, n in df_of.items() if 2 <= n <= len(rows) / 2}
+    assert fingerprints.may_broadcast(lex) and not fingerprints.may_broadcast(lex, max_terms=10) and not fingerprints.may_broadcast(lex, max_chars=10)
+    one = df.selectExpr("doc_id", "coalesce(text, '') AS t")
+    by = [{tuple(r) for r in fingerprints.fingerprint_texts(one, lex, ["doc_id"], {"f": "t"}, F.lit("x"), small=s).collect()} for s in (True, False)]
+    assert by[0] == by[1] and len(by[0]) == len(rows)
+    f = {r[0]: r[2] for r in by[0]}
+    assert f[300] == hashlib.sha256(b"here only").hexdigest()[:8] + ".--------" * 19
+    assert f[303] == f[304] == ".".join(["-" * 8] * 20)
+    assert f[301] == f[302] != f[303]  # the same terms in another order
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
