@@ -12,6 +12,7 @@ up in a least-recently-used cache; decoding (T-7) is an Arrow-batched UDF.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -268,11 +269,23 @@ class BpeModel:
 
 
     @classmethod
-    def from_tokenizer_file(cls, path: str, special_tokens: tuple[str, ...] = SPECIAL_TOKENS) -> "BpeModel":
-        """The merges of a published byte-level ``tokenizer.json`` (a path on the driver) under our own
-        special tokens: ids 0.. are the special tokens, the file's tokens follow in their order."""
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def from_tokenizer_file(cls, path: str, special_tokens: tuple[str, ...] = SPECIAL_TOKENS, spark: SparkSession | None = None,
+                            sha256: str | None = None) -> "BpeModel":
+        """The merges of a published byte-level ``tokenizer.json`` under our own special tokens: ids 0.. are
+        the special tokens, the file's tokens follow in their order.
+
+        With ``spark`` the path may be on any file system that the session knows; without, it is on the driver. A
+        path that is not there raises ``FileNotFoundError``; a file whose content has another
+        ``sha256`` than the one asked for, ``ValueError``."""
+        if spark is not None:
+            raw = read_file(spark, path)
+        else:
+            with open(path, "rb") as f:
+                raw = f.read()
+        found = hashlib.sha256(raw).hexdigest()
+        if sha256 is not None and found != sha256.lower():
+            raise ValueError(f"{path}: content has sha256 {found}, not {sha256}")
+        model = json.loads(raw.decode("utf-8"))["model"]
         tokens = sorted(model["vocab"], key=model["vocab"].get)
         merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         return cls([*special_tokens, *(t for t in tokens if t not in special_tokens)], merges, tuple(special_tokens))
@@ -288,6 +301,19 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_file(spark: SparkSession, path: str) -> bytes:
+    """One small file's bytes, through the file system that the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 class _Codec:
     """Per-task word lookup and decoder (small helper behind the UDFs)."""
 

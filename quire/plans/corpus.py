@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import chat as C
 from quire.functions import ids as I
 from quire.functions import text as T
+from quire.operators import length_sketches as L
 from quire.operators import reshape as R
 from quire.operators import rows as B
 from quire.plans.registry import SQL_CHUNKS, query, sql_cp, sql_join, sql_pad, table
@@ -74,6 +75,34 @@ def pretrain_length_report(spark, d):
     return B.length_report(rows, ["lang"], 512)
 
 
+@query("length_rollup", "B-ROW-13", """
+WITH l AS (SELECT lang, source, length(text) AS n FROM documents WHERE text IS NOT NULL)
+SELECT lang, source, CAST(2 - bit_count(CAST(grouping(lang, source) AS BIGINT)) AS INTEGER) AS level, count(*) AS n_rows,
+       CAST(sum(n) AS BIGINT) AS sum_length, max(n) AS max_length, true AS p50_ok, true AS p99_ok
+FROM l GROUP BY ROLLUP (lang, source)
+""")
+def length_rollup(spark, d):
+    """Lengths by language and source, by language and over all, with quantiles off the sketches; each quantile is
+    held against the exact ranks of all rows, from a count per distinct length."""
+    group = ["lang", "source"]
+    docs = table(spark, d, "documents", *group, "text").select(*group, F.length("text").cast("long").alias("len"))
+    asked = {"p50": 0.5, "p99": 0.99}
+    report = L.quantiles(L.roll_up(L.length_sketches(docs, group, "len"), group), asked)
+    counts = (docs.where("len is not null").groupBy(*group, "len").agg(F.count(F.lit(1)).alias("k"))
+              .select("len", "k", *[c for c in group], F.explode(F.array(*[F.lit(x) for x in range(3)])).alias("at"))
+              .select("len", "k", "at", *[F.when(F.col("at") > i, F.col(c)).alias(f"own_{c}") for i, c in enumerate(group)])
+              .groupBy("at", "own_lang", "own_source", "len").agg(F.sum("k").alias("k")))
+    on = (F.col("at") == F.col("level")) & F.col("own_lang").eqNullSafe(F.col("lang")) & F.col("own_source").eqNullSafe(F.col("source"))
+    ranks = [F.sum(F.when(F.col("len") < F.col(p), F.col("k")).otherwise(0)).alias(f"{p}_below") for p in asked]
+    ranks += [F.sum(F.when(F.col("len") <= F.col(p), F.col("k")).otherwise(0)).alias(f"{p}_upto") for p in asked]
+    keys = ["lang", "source", "level", "n_rows", "sum_length", "max_length"]
+    seen = counts.join(report, on).groupBy(*keys).agg(*ranks)
+    # a group of a few rows has no rank nearer than one row
+    off = F.lit(L.RANK_ERROR) * F.col("n_rows") + 1
+    return seen.select(*keys, *[((F.col(f"{p}_below") - off <= q * F.col("n_rows")) & (F.col(f"{p}_upto") + off >= q * F.col("n_rows"))).alias(f"{p}_ok")
+                                for p, q in asked.items()])
+
+
 # ---------------------------------------------------------------- conversations
 _RAW_MAP = {"user": "human"}  # the long table already says user; raw corpora say human
 

@@ -20,6 +20,7 @@ from quire.session import scratch_dir
 from quire.sources import jsonl as J
 from quire.sources.tables import load_split
 from quire.streaming import corpus as ST
+from quire.streaming import groups as SG
 
 
 def _chunk_jsonl(spark, d, compression=None):
@@ -268,3 +269,23 @@ def stream_rewards(spark, d):
     stream = ST.read_stream(spark, log, "lang string, reward double", max_files_per_trigger=1)
     return ST.running_mean(spark, stream, "reward", "lang").select(
         "lang", F.round("mean", 9).alias("mean"), "n", (F.col("n_updates") > 1).alias("several_updates"))
+
+
+@query("stream_reward_groups", "ST-2 A-5", """
+WITH c AS (SELECT doc_id // 4 AS prompt_id, CASE WHEN length(text) > 300 THEN 1.0 ELSE 0.0 END AS reward FROM documents)
+SELECT prompt_id, count(*) AS n, round(avg(reward), 9) AS group_mean, round(stddev_samp(reward), 9) AS group_std,
+       max(reward) = min(reward) AS no_signal, true AS complete
+FROM c GROUP BY prompt_id HAVING count(*) = 4
+""")
+def stream_reward_groups(spark, d):
+    # four documents make a group; their rows lie in different files, so that they arrive apart
+    log = scratch_dir(spark, "completion-log")
+    docs = table(spark, d, "documents", "doc_id", "text")
+    (docs.select(F.floor(F.col("doc_id") / 4).cast("bigint").alias("prompt_id"), F.col("doc_id").alias("completion_id"),
+                 F.when(F.length("text") > 300, 1.0).otherwise(0.0).alias("reward"))
+     .repartition(3, "completion_id").write.parquet(log))
+    stream = ST.read_stream(spark, log, "prompt_id long, completion_id long, reward double", max_files_per_trigger=1)
+    out = scratch_dir(spark, "reward-groups")
+    got = SG.run_once_each(SG.stream_reward_groups(stream, 4), f"{out}/data", f"{out}/_checkpoint")
+    return got.select("prompt_id", "n", F.round("group_mean", 9).alias("group_mean"), F.round("group_std", 9).alias("group_std"),
+                      "no_signal", "complete")
