@@ -24,10 +24,10 @@ SAMPLE_PAGES = 500  # pages of the table used for training, about
 
 # Parts of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template iframe".split())
+UNSEEN = frozenset("head script style template iframe button select textarea datalist".split())
 HEAD_TAGS = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form "
-                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary "
+                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary "
                     "table tbody td tfoot th thead tr ul").split())
 #: an open element is closed by the start of one of these
 CLOSED_BY = {
@@ -73,7 +73,8 @@ def marked_pages() -> list[str]:
     for _ in range(10):  # a formula goes with the text that it stands in
         pages.append(f"<html><body data-main=0><nav><a href=x>{formula}</a></nav><article data-main=1>{_BODY}<p>A rule, {formula} in words.</p></article></body></html>")
     for _ in range(40):  # plain pages: the body itself is the content
-        pages.append(f"<html><body data-main=1><nav data-main=0><a href=x>Home</a></nav><h1>Heading</h1>{_BODY}{_BODY}</body></html>")
+        pages.append(f"<html><body data-main=1><nav data-main=0><a href=x>Home</a></nav><h1>Heading</h1>{_BODY}{_BODY}"
+                     "<aside data-main=0>Aside</aside><form data-main=0><label>Name</label><input></form><footer data-main=0>Foot</footer></body></html>")
         pages.append(f"<html><body data-main=0><div data-main=1><h1>Heading</h1>{_BODY}{_BODY}</div><div><a href=x>Home</a> <a href=x>Next</a></div></body></html>")
     return pages
 
@@ -88,8 +89,9 @@ class Tree(HTMLParser):
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.attrs, self.text = ["#root"], [-1], [{}], [""]
-        self.block = [0]  # the number of the block that a text belongs to
-        self.blocks, self.open, self.unseen = 0, [0], 0
+        self.block = [0]  # the number of the block that a text or br belongs to
+        self.blocks, self.open, self.unseen, self.links = 0, [0], 0, 0
+        self.plain = set()  # the blocks that hold a text outside links
         self.feed(page)
         self.close()
 
@@ -97,7 +99,8 @@ class Tree(HTMLParser):
         while len(self.open) > to:
             tag = self.tag[self.open.pop()]
             self.unseen -= tag in UNSEEN
-            self.blocks += tag in BLOCKS
+            self.links -= tag == "a"
+            self.blocks += tag in BLOCKS and not self.unseen
 
     def _find(self, wanted, stop) -> int | None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -118,15 +121,16 @@ class Tree(HTMLParser):
         if tag in BLOCKS or tag in CLOSED_BY["td"]:
             while (k := self._find(lambda t: tag in CLOSED_BY.get(t, ()), SCOPE)) is not None:
                 self._pop(k)
-            self.blocks += 1
+            self.blocks += not self.unseen
         self.tag.append(tag)
         self.parent.append(self.open[-1])
         self.attrs.append({k: v or "" for k, v in attrs})
         self.text.append("")
-        self.block.append(0)
+        self.block.append(self.blocks if tag == "br" else 0)
         if tag not in VOID:
             self.open.append(len(self.tag) - 1)
             self.unseen += tag in UNSEEN
+            self.links += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # in HTML a slash closes nothing, in formulas and drawings it does
@@ -147,6 +151,8 @@ class Tree(HTMLParser):
         self.attrs.append({})
         self.text.append(data)
         self.block.append(self.blocks)
+        if not self.links and any(c.isalnum() for c in data):
+            self.plain.add(self.blocks)
 
     def words(self, i: int) -> list[str]:
         """The words of a node's class, id and role."""
@@ -157,9 +163,10 @@ class Tree(HTMLParser):
         return sorted(set(out.split()))
 
     def shape(self, i: int) -> str:
-        """A coarse shape of a text: its length and whether it has sentence marks."""
+        """A coarse shape of a text: its length, whether it has sentence marks, whether its block is links alone."""
         t = self.text[i].strip()
-        return f"{min(6, len(t).bit_length() // 2)}{'.' if any(c in t for c in '.!?;') else '-'}"
+        marks = "." if any(c in t for c in ".!?;") else "-"
+        return f"{min(6, len(t).bit_length() // 2)}{marks}{'' if self.block[i] in self.plain else 'a'}"
 
 
 def labels(tree: Tree) -> list[int] | None:
@@ -209,6 +216,9 @@ class Model:
         self.tags = {key: self._chances(v, self.any) for (kind, key), v in both.items() if kind == "tag"}
         self.words = {key: self._ratio(v, 0.01) for (kind, key), v in both.items() if kind == "word"}
         self.shapes = {key: self._ratio(v, 1.0) for (kind, key), v in both.items() if kind == "shape"}
+        for kind in (".", "-", ".a", "-a"):  # a length that no labelled page has tells as much as the shorter ones do
+            for size in range(1, 7):
+                self.shapes.setdefault(f"{size}{kind}", max(self.shapes.get(f"{k}{kind}", 0.0) for k in range(size)))
 
     @staticmethod
     def _chances(n: dict, prior) -> tuple[float, float]:
@@ -224,7 +234,7 @@ class Model:
         texts = [i for i in range(1, n) if tree.tag[i] == "#text" and tree.text[i].strip()]
         # the texts of a page count as evidence like three texts at most, so that many
         # paragraphs do not outvote what holds them
-        weight = min(0.3, 3 / max(1, len(texts)))
+        weight = 3 / max(3, len(texts))
         own = [0.0] * n
         for i in range(1, n):
             if tree.attrs[i]:
@@ -255,9 +265,9 @@ class Model:
         for i, t in enumerate(tree.tag):
             if t == "#text" and odds[i] > 0:
                 blocks.setdefault(tree.block[i], []).append(tree.text[i])
-            elif t == "br" and tree.block[i] == 0:
-                blocks.setdefault(tree.block[i - 1] if tree.tag[i - 1] == "#text" else -1, []).append(" ")
-        lines = (" ".join("".join(parts).split()) for k, parts in blocks.items() if k >= 0)
+            elif t == "br":  # parts words wherever it stands in its block
+                blocks.setdefault(tree.block[i], []).append(" ")
+        lines = (" ".join("".join(parts).split()) for parts in blocks.values())
         return "\n".join(x for x in lines if x)
 
 
