@@ -249,6 +249,77 @@ def test_license_phrases_and_alignments(spark, odd, none):
     assert Counter(twice) == Counter({r: 2 for r in got.values()})
 
 
+def test_licences_of_a_family_are_told_apart(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = {gnu.format(""): "gpl,notice:gpl", gnu.format("Affero "): "notice:agpl", gnu.format("Lesser "): "notice:lgpl",
+             cc.format(""): "notice:cc-by", cc.format("-ShareAlike"): "notice:cc-by-sa", cc.format("-NonCommercial-NoDerivatives"): "notice:cc-by-nc-nd",
+             cc.format("-NonCommercial"): "notice:cc-by-nc", "Licensed under CC BY-NC-SA 4.0.": "cc-by,notice:cc-by-nc-sa",
+             "Licensed under CC BY 4.0": "cc-by,notice:cc-by", "// SPDX-License-Identifier: MIT": "spdx:mit", "SPDX-License-Identifier: GPL-2.0-only": "spdx:gpl-2-0",
+             "SPDX-License-Identifier: Private": "", "subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file": "notice:mpl",
+             "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice": "text:isc",
+             gnu.format("Affero ") + " x" * 40 + " " + gnu.format(""): "gpl,notice:agpl,notice:gpl"}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {list(cases)[r.doc_id]: r.labels for r in licenses.scan(df).collect()} == cases
+
+
+def test_alignments_match_brute_force(spark):
+    rnd = random.Random(8)
+    templates = (("a:x", "a b c d e f g h i j"), ("a:y", "a b c d no e f g h i j"), ("b:z", "k l m n o p q r"))
+    telling = ((("a:",), ("no", "non")),)
+    texts = []
+    for _ in range(250):
+        w = []
+        for _ in range(rnd.randint(0, 4)):
+            t = rnd.choice(templates)[1].split()
+            for _ in range(rnd.randint(0, 2)):
+                at = rnd.randrange(len(t))
+                t[at:at + rnd.randint(0, 1)] = rnd.choice([["no"], ["non"], ["z"], []])
+            w += t + ["z"] * rnd.randint(0, 9)
+        texts.append(" ".join(w))
+    k = 3
+
+    def brute(text):
+        w, out = text.split(), []
+        for label, t in templates:
+            t = t.split()
+            own = ("no", "non") if label < "b" else ()
+            hits = [(p - q, p, q) for p in range(len(w) - k + 1) for q in range(len(t) - k + 1) if w[p:p + k] == t[q:q + k]]
+            lines = sorted({d for d, _, _ in hits})
+            for first in [d for i, d in enumerate(lines) if i == 0 or d - lines[i - 1] > 3]:
+                band = [first]
+                while True:
+                    after = [d for d in lines if band[-1] < d <= band[-1] + 3]
+                    if not after:
+                        break
+                    band.append(after[0])
+                mine = [(p, q) for d, p, q in hits if d in band]
+                ats = {q for _, q in mine}
+                n = len(t) - k + 1
+                told = all(any(a <= q < a + k for a in ats) for q, x in enumerate(t) if x in own)
+                alien = any((q > 0 and p > 0 and w[p - 1] in own and w[p - 1] not in t)
+                            or (q < n - 1 and p + k < len(w) and w[p + k] in own and w[p + k] not in t) for p, q in mine)
+                if len(ats) >= n / 2 and max(ats) - min(ats) + 1 >= n / 2 and told and not alien:
+                    out.append((len(ats) / n, len(mine), min(p for p, _ in mine), max(p for p, _ in mine) + k, label))
+        kept, runs = set(), []
+        for x in sorted(out, key=lambda x: (x[2], x[3])):
+            if runs and x[2] < max(y[3] for y in runs[-1]):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        for run in runs:
+            best = max(run)
+            kept |= {(x[4], x[2], x[3], round(x[0], 9)) for x in run
+                     if x[4] == best[4] or x[2] >= best[3] or x[3] <= best[2] or x[:2] >= best[:2]}
+        return kept
+
+    docs = licenses.prepare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {i: set() for i in range(len(texts))}
+    for r in licenses.alignments(docs, templates, k=k, telling=telling).collect():
+        got[r.id].add((r.label, r.start, r.stop, round(r.share, 9)))
+    assert any(got.values()) and got == {i: brute(t) for i, t in enumerate(texts)}
+
+
 # ------------------------------------------------------------------ fingerprints
 def test_fingerprints(spark, odd, none):
     rows = fingerprints.edited_pairs(odd).collect()
