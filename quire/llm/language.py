@@ -53,10 +53,14 @@ def _fold() -> bytes:
     return bytes(ord(chr(b).lower()) if b < 128 and letters(b) else b if letters(b) else 32 for b in range(256))
 
 
+# Tags that declare no one language (undetermined, several, no language, uncoded) and words put in their place.
+NO_LANGUAGE = ("und", "mul", "zxx", "mis", "unknown", "null", "none", "other")
+
+
 def declared_language(value: Column) -> Column:
-    """The primary subtag in lower case; null if there is none."""
+    """The primary subtag in lower case; null if there is none or it names no language."""
     tag = F.regexp_extract(F.lower(F.coalesce(value.cast("string"), F.lit(""))), r"^\s*([a-z]{2,8})(?![a-z])", 1)
-    return F.when(tag != "", tag)
+    return F.when((tag != "") & ~tag.isin(*NO_LANGUAGE), tag)
 
 
 def markup_language(html: Column) -> Column:

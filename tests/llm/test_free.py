@@ -401,3 +401,13 @@ def test_plain_pages_keep_their_text_and_lose_menus_and_form_parts(spark):
         assert page(f"Words one{gap}two of it.") == ["Words one two of it."]
     assert page("Some text <button>Click me</button> and the rest.") == ["Some text and the rest."]
     assert page("Some text <textarea>typed</textarea><select><option>a</select> and the rest.") == ["Some text and the rest."]
+
+
+def test_tags_that_name_no_language_are_no_hypothesis(spark):
+    rnd = random.Random(9)
+    noise = lambda: "".join(rnd.choice("qwxzjkvypfbmg ") for _ in range(300))
+    rows = [(i, noise(), t, None) for i, t in enumerate(["und", "Unknown", "null", "zxx", "mul-x", "mis", "none"] * 10)]
+    rows += [(1000 + i, r.text, "en", None) for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").collect())]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert all((r.language, r.kept, r.declared) == ("und", False, None) for r in got if r.doc_id < 1000)
+    assert sum(r.kept for r in got if r.doc_id >= 1000) >= 0.98 * (len(rows) - 70)
