@@ -60,6 +60,24 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*parts)
 
 
+def without(df: DataFrame, keys: list[str], gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` (nulls equal) are not among the rows of ``gone``, its columns in that order.
+
+    ``gone`` is written first, so that the join goes by its true size: a small one is broadcast and the
+    rows of ``df`` do not move; otherwise both sides are shuffled, with the same result.
+    """
+    return df.join(*_on(df, keys, stored(gone)), "left_anti")
+
+
+def within(df: DataFrame, keys: list[str], these: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are among the rows of ``these``, as in ``without``."""
+    return df.join(*_on(df, keys, stored(these)), "left_semi")
+
+
+def _on(df: DataFrame, keys: list[str], other: DataFrame) -> tuple[DataFrame, list[Column]]:
+    return other, [df[k].eqNullSafe(other[c]) for k, c in zip(keys, other.columns)]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: bigint): root is the smallest node reachable.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.split import unused
-from quire.llm.common import cut, let, row_key, whole_text
+from quire.llm.common import cut, let, row_key, whole_text, without
 
 BUCKETS = 1 << 15
 SAMPLE_DOCS = 2000  # labelled documents per language, about; the bound of the training sample
@@ -228,10 +228,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
 
 
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose language was found, with their columns as they came."""
+    """The rows of ``docs`` whose language was found, with their columns as they came. The keys of the
+    rows that go are written and decide; texts move only if those are many."""
     key = unused(docs, "__key")
     keyed = docs.withColumn(key, row_key(docs))
-    stay = (identify(keyed, carry=[key], **options).where("kept")
-            .select(F.col("doc_id").alias("kept_id"), F.col(key).alias("kept_key")))
-    on = keyed["doc_id"].eqNullSafe(stay["kept_id"]) & (keyed[key] == stay["kept_key"])
-    return keyed.join(stay, on, "left_semi").select(*docs.columns)
+    kept = F.coalesce("kept", F.lit(False))
+    gone = identify(keyed, carry=[key], **options).where(~kept).select(F.col("doc_id").alias("gone_id"), F.col(key).alias("gone_key"))
+    return without(keyed, ["doc_id", key], gone).select(*docs.columns)

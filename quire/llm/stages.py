@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, language, packing, quality, secrets, simhash
-from quire.llm.common import cut, row_key
+from quire.llm.common import cut, row_key, within, without
 from quire.operators.split import unused
 
 
@@ -29,12 +29,19 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     hash; rows equal in every column collapse to one; a null id comes last)."""
     key = unused(docs, "__key")
     keyed = docs.withColumn(key, row_key(docs))
-    groups = simhash.near_duplicates(keyed, "doc_id", "text", ngram=3, radius=3, keep=[key])
+    groups = cut(simhash.near_duplicates(keyed, "doc_id", "text", ngram=3, radius=3, keep=[key])
+                 .select(F.col("doc_id").alias("id"), F.col(key).alias("key"), "group_fp"))
     best = (groups.groupBy("group_fp")
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("key"))).alias("best"))
-            .select(F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key")))
-    stay = keyed["doc_id"].eqNullSafe(best["best_id"]) & (keyed[key] == best["best_key"])
-    return keyed.join(best, stay, "left_semi").dropDuplicates(["doc_id", key]).select(*docs.columns)
+            .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key")).alias("best"))
+            .select("best.id", "best.key"))
+    here = groups.select("id", "key")
+    kept = without(keyed, ["doc_id", key], without(here, ["id", "key"], best))
+    # rows equal in every column share id and key; only they have to meet
+    again = cut(groups.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key"))
+    if not again.isEmpty():
+        equal = within(kept, ["doc_id", key], again).dropDuplicates(["doc_id", key])
+        kept = without(kept, ["doc_id", key], again).unionByName(equal)
+    return kept.select(*docs.columns)
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
