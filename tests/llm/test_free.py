@@ -411,3 +411,76 @@ def test_tags_that_name_no_language_are_no_hypothesis(spark):
     got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert all((r.language, r.kept, r.declared) == ("und", False, None) for r in got if r.doc_id < 1000)
     assert sum(r.kept for r in got if r.doc_id >= 1000) >= 0.98 * (len(rows) - 70)
+
+
+def brute_posteriors(rows, shrink=20.0):
+    """(language, posterior) by id from the definition, in plain loops: rows are (id, text, declared, host)."""
+    from math import exp, log
+    names = sorted({d for _, _, d, _ in rows if d})
+    buckets = {i: [int(b) for part in language.trigrams(t) for b in part] for i, t, _, _ in rows}
+    sample = {x: Counter(b for i, _, d, _ in rows if d == x for b in buckets[i]) for x in names}
+    space, share = language.BUCKETS, language.FLOOR_SHARE
+
+    def soft(scores):
+        top = max(scores)
+        e = [exp(s - top) for s in scores]
+        return [x / sum(e) for x in e]
+
+    like, first = {}, {}
+    for i, _, _, _ in rows:
+        n = len(buckets[i])
+        means = [sum(log((1 - share) * sample[x][b] / sum(sample[x].values()) + share / space) for b in buckets[i]) / max(n, 1) for x in names]
+        like[i] = [m * n / (1 + n / language.SATURATION) for m in [*means, language.UND_TRIGRAM]]
+        first[i] = soft(like[i])
+    size = len(names) + 1
+    suffix = lambda h: h.rsplit(".", 1)[1] if h and "." in h and h.rsplit(".", 1)[1].isalpha() else None
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h else None
+    sums = lambda key: {v: [sum(first[r[0]][k] for r in rows if key(r) == v) for k in range(size)]
+                        for v in {key(r) for r in rows} - {None}}
+    declared, suffixes = sums(lambda r: r[2]), sums(lambda r: suffix(r[3]))
+    domains, hosts = sums(lambda r: domain(r[3])), sums(lambda r: r[3])
+    total = [sum(p[k] for p in first.values()) for k in range(size)]
+    world = [(x + 1) / (sum(total) + size) for x in total]
+
+    def shrunk(m, own, parent):
+        rest = [max(a - b, 0.0) for a, b in zip(m or own, own)]
+        return [(a + shrink * b) / (sum(rest) + shrink) for a, b in zip(rest, parent)]
+
+    out = {}
+    for i, _, d, h in rows:
+        prior = shrunk(hosts.get(h), first[i], shrunk(domains.get(domain(h)), first[i], world))
+        score = [s + log(p) for s, p in zip(like[i], prior)]
+        for table, v in ((declared, d), (suffixes, suffix(h))):
+            if v:
+                score = [s + log((m + 1) / (t + len(table) + 1)) for s, m, t in zip(score, table[v], total)]
+        post = soft(score)
+        best = post.index(max(post))
+        out[i] = (names[best] if best < len(names) and buckets[i] else "und", max(post))
+    return out
+
+
+def test_posteriors_match_brute_force(spark, docs):
+    import random
+    rnd = random.Random(12)
+    hosts = ["a.beispiel.de", "b.beispiel.de", "example.co", "x.example.co", "local", None]
+    known = docs.orderBy("doc_id").limit(90).collect()
+    rows = [(r.doc_id, r.text[:rnd.choice([8, 40, 400])], rnd.choice([r.lang, r.lang, None]), rnd.choice(hosts)) for r in known]
+    rows += [(8000, "", "en", "a.beispiel.de"), (8001, None, None, None), (8002, "zzqx qxzz kkwv", None, "example.co")]
+    want = brute_posteriors(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: (r.language, r.posterior) for r in language.identify(df).collect()}
+    assert got.keys() == want.keys()
+    for i, (name, posterior) in want.items():
+        assert got[i][0] == name and abs(got[i][1] - posterior) < 1e-5, (i, got[i], want[i])
+
+
+def test_near_dedup_leaves_one_row_of_each_group(spark):
+    from quire.llm import stages
+    base = "seven plain words stand in this row and many more follow them here"
+    rows = [(5, base, "a"), (3, base, "b"), (3, base, "b"), (3, base, "c"), (9, "quite another text of several words with nothing in common at all", "d"),
+            (9, "quite another text of several words with nothing in common at all", "d"), (None, base, "e"), (7, "the one lone row stands apart from all of the other rows", "f")]
+    got = stages.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, gone_id string"), SF)
+    assert got.columns == ["doc_id", "text", "gone_id"]
+    assert sorted(r.doc_id for r in got.collect()) == [3, 7, 9]
+    lone = spark.createDataFrame([(None, base, "x"), (None, base, "x")], "doc_id long, text string, gone_id string")
+    assert [r.gone_id for r in stages.near_dedup(spark, lone, SF).collect()] == ["x"]
