@@ -222,7 +222,9 @@ def _decoded(rows, dec, *keys):
     whole = F.slice(F.concat(F.slice("r.X", 1, 1), "r.Y"), F.lit(1), F.col("r.text_len"))
     both = F.arrays_zip(F.col("r.Y").alias("y"), F.col("r.loss_mask").alias("m"))
     marked = F.transform(F.filter(both, lambda p: p["m"] == 1), lambda p: p["y"])
-    return made.select(*keys, dec(whole.cast("array<int>")).alias("rendered"), dec(marked.cast("array<int>")).alias("answers"))
+    # a row that waits for the decoder holds its own ids alone: the padded arrays end here
+    ids = made.select(*keys, F.explode(F.array(F.struct(whole.cast("array<int>").alias("whole"), marked.cast("array<int>").alias("marked")))).alias("d"))
+    return ids.select(*keys, dec("d.whole").alias("rendered"), dec("d.marked").alias("answers"))
 
 
 @query("bpe_pretrain_rows", "B-ROW-7 T-6", _CHUNKS_SQL + """
