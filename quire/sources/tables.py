@@ -35,6 +35,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 def load_split(spark: SparkSession, root: str, split: str, fmt: str | None = None) -> DataFrame:
     """S-7: a named split (``train``, ``test``, ...) of a data set folder on any file system.
 

@@ -16,11 +16,15 @@ from quire.operators.reshape import chunk_text
 from quire.operators.rows import pretrain_rows, sft_rows
 from quire.session import scratch_dir
 from quire.sources.jsonl import lenient_parse
+from quire.sources.tables import is_folder
 
 
 def read_stream(spark: SparkSession, source_dir: str, schema, file_glob: str | None = None,
                 fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream; ``file_glob`` picks one table out of a folder holding several."""
+    """A file stream; ``file_glob`` picks one table out of a folder holding several, be it a file or a folder of files."""
+    if file_glob and is_folder(spark, f"{source_dir.rstrip('/')}/{file_glob}"):
+        # the glob would be held against the names of the files inside
+        source_dir, file_glob = f"{source_dir.rstrip('/')}/{file_glob}", None
     r = spark.readStream.schema(schema).format(fmt)
     if file_glob:
         r = r.option("pathGlobFilter", file_glob)

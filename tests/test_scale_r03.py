@@ -32,3 +32,20 @@ def tables(spark, tmp_path_factory):
 def test_rows_that_wait_for_the_decoder_hold_no_padding(spark, tables, name):
     evals = [x for x in executed(all_queries()[name](spark, tables)) if "ArrowEvalPython" in x]
     assert len(evals) >= 4 and not [x for x in evals if "loss_mask" in x or ".X" in x or ".Y" in x]
+
+
+@pytest.mark.parametrize("name", ["documents", "events"])
+def test_a_streamed_table_may_be_a_folder(spark, tables, tmp_path, name):
+    from quire.streaming import corpus as ST
+    rows = spark.range(40)
+    rows.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows.write.parquet(f"{tmp_path}/other.parquet")
+    ST.run_append(ST.read_stream(spark, str(tmp_path), "id long", f"{name}.parquet"), f"{tmp_path}/out", f"{tmp_path}/check")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(40))
+
+
+def test_streams_over_folders_equal_batch(spark, tables):
+    qs = all_queries()
+    for stream, batch in (("stream_chunk_text", "chunk_text"), ("stream_pretrain_length_report", "pretrain_length_report")):
+        got, want = ([tuple(r) for r in qs[q](spark, tables).collect()] for q in (stream, batch))
+        assert got and sorted(got, key=str) == sorted(want, key=str)
