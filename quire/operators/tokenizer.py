@@ -6,8 +6,9 @@ up to date from the words that change. Only the model itself (vocabulary and
 merges, bounded by ``vocab_size``) lives on the driver, as a trained model does.
 
 Encoding (T-6) splits texts into words on the JVM (T-1, T-2) and hands word
-arrays to an Arrow-batched UDF over a broadcast of the model, which looks words
-up in a least-recently-used cache; decoding (T-7) is an Arrow-batched UDF.
+arrays to an Arrow UDF over a broadcast of the model, which looks up each distinct
+word of a batch once, in a least-recently-used cache; decoding (T-7) is an Arrow
+UDF. Both work on a batch's flat values, so no row becomes Python lists.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import json
 import re
 import unicodedata
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from typing import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -109,7 +114,8 @@ def pretokenize(text) -> Column:
 def split_special(text, specials=SPECIAL_TOKENS) -> Column:
     """A text cut before and after every special token; empty pieces left out."""
     either = "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True))
-    return F.array_remove(F.split(col_of(text), f"(?={either})|(?<={either})"), "")
+    # up to the next special token, lazily: looking behind at every character costs far more
+    return F.regexp_extract_all(col_of(text), F.lit(f"(?s){either}|.+?(?={either}|\\z)"), 0)
 
 
 def words_of(parts, specials=SPECIAL_TOKENS) -> Column:
@@ -193,14 +199,12 @@ class BpeModel:
     def _lookup(self, spark: SparkSession, nested: bool):
         bc = spark.sparkContext.broadcast((self.vocab, self.merges, tuple(self.special_tokens)))
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             codec = _Codec(*bc.value)
-            one = codec.words_to_ids
-            work = (lambda rows: [one(x) for x in rows]) if nested else one
-            for s in batches:
-                yield s.map(lambda x: None if x is None else work(x))
+            for rows in batches:
+                yield _relist(rows, codec.encode_lists(rows.flatten())) if nested else codec.encode_lists(rows)
         ids = ArrayType(IntegerType())
-        return F.pandas_udf(run, ArrayType(ids) if nested else ids)
+        return F.arrow_udf(run, ArrayType(ids) if nested else ids)
 
     def encoder(self, spark: SparkSession):
         """Function of a text column giving its ids: words on the JVM, ids from a word lookup."""
@@ -226,13 +230,13 @@ class BpeModel:
         return encode
 
     def decoder(self, spark: SparkSession, skip_special_tokens: bool = False):
-        bc = spark.sparkContext.broadcast((self.vocab, self.merges, tuple(self.special_tokens)))
+        bc = spark.sparkContext.broadcast((self.vocab, tuple(self.special_tokens)))
 
-        @F.pandas_udf(StringType())
-        def _decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            dec = _Codec(*bc.value)
-            for s in batches:
-                yield s.map(lambda x: None if x is None else dec.decode(x, skip_special_tokens))
+        @F.arrow_udf(StringType())
+        def _decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            dec = _Decoder(*bc.value, skip_special_tokens)
+            for rows in batches:
+                yield dec.decode_lists(rows)
         return lambda c: _decode(col_of(c))
 
     def header_ids(self, text: str = "<|im_start|>assistant\n") -> list[int]:
@@ -315,60 +319,132 @@ def read_file(spark: SparkSession, path: str) -> bytes:
 
 
 class _Codec:
-    """Per-task word lookup and decoder (small helper behind the UDFs)."""
+    """Per-task word lookup (small helper behind the UDFs)."""
 
     WORDS = 200_000  # words remembered; the least recently used go first
+    SHORT = 256  # symbols; longer words keep their pairs in a heap
 
     def __init__(self, vocab, merges, specials):
         from functools import lru_cache
         self.tok2id = {t: i for i, t in enumerate(vocab)}
-        self.vocab = vocab
         self.special_ids = {t: self.tok2id[t] for t in specials}
-        self.ranks = {}
+        self.ranks, self.made = {}, []  # the rank of a pair of ids, the id that a rank makes
         for r, (a, b) in enumerate(merges):
-            pair = (self.tok2id[a], self.tok2id[b])
-            if pair not in self.ranks:
-                self.ranks[pair] = (r, self.tok2id[a + b])
+            self.ranks.setdefault((self.tok2id[a], self.tok2id[b]), r)
+            self.made.append(self.tok2id[a + b])
         self.byte_ids = [self.tok2id[c] for c in BYTE_CHARS]
-        self.char_byte = {c: b for b, c in enumerate(BYTE_CHARS)}
         self.word = lru_cache(self.WORDS)(self._word)
 
     def _word(self, w: str) -> tuple[int, ...]:
         if w in self.special_ids:
             return (self.special_ids[w],)
         ids = [self.byte_ids[b] for b in w.encode("utf-8")]
-        ranks = self.ranks
-        while len(ids) > 1:
-            best = min((ranks[p] + p for p in zip(ids, ids[1:]) if p in ranks), default=None)
-            if best is None:
-                break
-            _, new, a, b = best
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        if len(ids) > self.SHORT:
+            return self._long_word(ids)
+        ranks, made, none = self.ranks, self.made, len(self.made)
+        # the rank of every neighbouring pair, mended where a pair has merged
+        places = [ranks.get(p, none) for p in zip(ids, ids[1:])]
+        while places and (rank := min(places)) < none:
+            while rank in places:  # all of the round's pairs, from left to right
+                i = places.index(rank)
+                ids[i] = made[rank]
+                del ids[i + 1], places[i]
+                if i:
+                    places[i - 1] = ranks.get((ids[i - 1], ids[i]), none)
+                if i < len(places):
+                    places[i] = ranks.get((ids[i], ids[i + 1]), none)
         return tuple(ids)
 
+    def _long_word(self, ids: list[int]) -> tuple[int, ...]:
+        """As ``_word``, round by round, for a word of many symbols: every round takes the places of its pair off a heap."""
+        ranks, end = self.ranks, len(ids)
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        heap = [(ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+        heapify(heap)
+        while heap:
+            rank, made = heap[0][0], []
+            while heap and heap[0][0] == rank:  # from left to right
+                _, i = heappop(heap)
+                j = after[i]
+                found = ranks.get((ids[i], ids[j])) if j < end else None
+                if found != rank:  # one of the two has merged since
+                    continue
+                ids[i], ids[j] = self.made[rank], -1
+                after[i] = after[j]
+                if after[i] < end:
+                    before[after[i]] = i
+                    made.append(i)
+                if before[i] >= 0:
+                    made.append(before[i])
+            for i in made:
+                found = ranks.get((ids[i], ids[after[i]])) if after[i] < end else None
+                if found is not None:
+                    heappush(heap, (found, i))
+        return tuple(i for i in ids if i >= 0)
+
     def words_to_ids(self, words) -> list[int]:
         return [i for w in words for i in self.word(w)]
 
-    def decode(self, ids, skip_special_tokens: bool = False) -> str:
-        special = set(self.special_ids.values())
-        buf = bytearray()
-        for i in ids:
-            i = int(i)
-            if i in special:
-                if not skip_special_tokens:
-                    buf.extend(self.vocab[i].encode("utf-8"))
-                continue
-            for ch in self.vocab[i]:
-                buf.append(self.char_byte[ch])
-        return buf.decode("utf-8", errors="replace")
+    def encode_lists(self, rows: pa.ListArray) -> pa.ListArray:
+        """Rows of words to rows of ids; every distinct word of the batch is looked up once."""
+        words = rows.flatten().dictionary_encode()
+        at = words.indices.to_numpy(zero_copy_only=False)
+        found = [self.word(w) for w in words.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
+        n = sizes[at]
+        values = pa.array(ids[_spans((np.cumsum(sizes) - sizes)[at], n)])
+        ends = np.concatenate(([0], np.cumsum(n)))
+        return _lists(ends[_row_ends(rows)], values, rows)
+
+
+class _Decoder:
+    """Per-task bytes of every id (small helper behind the UDF)."""
+
+    def __init__(self, vocab, specials, skip_special_tokens: bool):
+        byte = {c: bytes([b]) for b, c in enumerate(BYTE_CHARS)}
+        special = set(specials)
+        spelled = [(b"" if skip_special_tokens else t.encode("utf-8")) if t in special
+                   else b"".join(byte[c] for c in t) if all(c in byte for c in t) else None for t in vocab]
+        self.unknown = np.array([x is None for x in spelled], dtype=bool)  # no byte symbols: an error where used
+        self.sizes = np.array([len(x or b"") for x in spelled], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(x or b"" for x in spelled), np.uint8)
+
+    def decode_lists(self, rows: pa.ListArray) -> pa.Array:
+        flat = rows.flatten()
+        if flat.null_count:
+            raise ValueError("a null among the ids")
+        ids = flat.to_numpy(zero_copy_only=False)
+        if len(ids) and self.unknown[ids].any():
+            raise KeyError(f"id {ids[self.unknown[ids]][0]} is not spelled in byte symbols")
+        n = self.sizes[ids]
+        data = self.bytes[_spans(self.starts[ids], n)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(n)))[_row_ends(rows)].tolist()
+        null = rows.is_null().to_pylist()
+        return pa.array([None if x else data[a:b].decode("utf-8", errors="replace") for a, b, x in zip(ends, ends[1:], null)], pa.string())
+
+
+def _row_ends(rows: pa.ListArray) -> np.ndarray:
+    """Where the rows begin and end in ``rows.flatten()``, from 0; a null row is empty."""
+    n = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(n)))
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions ``start .. start + size - 1`` of all spans, one span after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def _lists(ends: np.ndarray, values: pa.Array, like: pa.ListArray) -> pa.ListArray:
+    """Lists of ``values``, null where ``like`` is."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=like.is_null() if like.null_count else None)
+
+
+def _relist(rows: pa.ListArray, values: pa.Array) -> pa.ListArray:
+    """``values``, one for each item of the rows' lists, in lists as the rows'."""
+    return _lists(_row_ends(rows), values, rows)
 
 
 # ---------------------------------------------------------------- T-5
@@ -431,6 +507,8 @@ def vocab_usage(encoded: DataFrame, vocab: DataFrame, ids: str = "ids") -> DataF
     with a null token. The usage counts are a partial aggregation; the
     vocabulary side is bounded by the vocabulary size.
     """
-    uses = encoded.select(F.explode(ids).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("uses"))
+    # the outer form with its empty rows dropped: for the inner one Spark adds a filter on the ids, which encodes all texts again
+    each = encoded.select(F.explode_outer(F.transform(ids, lambda i: F.struct(i.alias("id")))).alias("x")).where("x is not null")
+    uses = each.groupBy(F.col("x.id").alias("id")).agg(F.count(F.lit(1)).alias("uses"))
     return (vocab.join(uses, "id", "full_outer")
             .select("id", "token", "is_special", F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses")))

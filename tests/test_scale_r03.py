@@ -49,3 +49,60 @@ def test_streams_over_folders_equal_batch(spark, tables):
     for stream, batch in (("stream_chunk_text", "chunk_text"), ("stream_pretrain_length_report", "pretrain_length_report")):
         got, want = ([tuple(r) for r in qs[q](spark, tables).collect()] for q in (stream, batch))
         assert got and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_vocab_usage_encodes_once(spark, tables):
+    df = spark.createDataFrame([([1, None, 300],), ([],), (None,), ([1],)], "ids array<int>")
+    vocab = spark.createDataFrame([("<s>", 1, True), ("x", 7, False)], "token string, id int, is_special boolean")
+    assert sorted((r.id, r.uses) for r in TK.vocab_usage(df, vocab).collect() if r.id is not None) == [(1, 2), (7, 0), (300, 1)]
+    assert [(r.token, r.uses) for r in TK.vocab_usage(df, vocab).collect() if r.id is None] == [(None, 1)]
+    assert len([x for x in executed(all_queries()["bpe_vocab_usage"](spark, tables)) if "ArrowEvalPython" in x]) == 2
+
+
+def test_words_merge_as_by_the_plain_rounds():
+    def plain(codec, w):
+        ids = [codec.byte_ids[b] for b in w.encode("utf-8")]
+        while found := [codec.ranks[p] for p in zip(ids, ids[1:]) if p in codec.ranks]:
+            rank, out, i = min(found), [], 0
+            while i < len(ids):
+                hit = i + 1 < len(ids) and codec.ranks.get((ids[i], ids[i + 1])) == rank
+                out.append(codec.made[rank] if hit else ids[i])
+                i += 1 + hit
+            ids = out
+        return tuple(ids)
+
+    for seed in range(20):
+        r = random.Random(seed)
+        pool, vocab, merges = ["a", "b", "c"], [*SPECIAL_TOKENS, *TK.ALPHABET], []
+        for _ in range(25):  # tokens made by two merges too
+            a, b = r.choice(pool), r.choice(pool)
+            merges.append((a, b))
+            if a + b not in vocab:
+                vocab.append(a + b)
+                pool.append(a + b)
+        short, long = (TK._Codec(vocab, merges, SPECIAL_TOKENS) for _ in range(2))
+        long.SHORT = 1
+        for _ in range(60):
+            w = "".join(r.choice("abcé") for _ in range(r.randrange(1, 40)))
+            assert short._word(w) == long._word(w) == plain(short, w)
+    w = "ab" * 40_000  # a search of the whole word for every merge would take minutes
+    assert "".join(vocab[i] for i in short._word(w)) == w
+
+
+def test_texts_are_cut_at_special_tokens(spark):
+    texts = ["", "a<b", "<s>", "<s><s>x</s>", "a\n<|im_end|>\n", "<|im_start|><|im_start", None, "<" * 20_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.p for r in df.orderBy("i").select(TK.split_special("t").alias("p")).collect()]
+    assert got == [[], ["a<b"], ["<s>"], ["<s>", "<s>", "x", "</s>"], ["a\n", "<|im_end|>", "\n"], ["<|im_start|>", "<|im_start"], None, ["<" * 20_000]]
+
+
+def test_lists_of_a_slice_with_nulls():
+    import pyarrow as pa
+    vocab = [*SPECIAL_TOKENS, *TK.ALPHABET]
+    codec = TK._Codec(vocab, [], SPECIAL_TOKENS)
+    rows = pa.array([["ab"], None, [], ["é", "<s>", "ab"]], pa.list_(pa.string()))
+    for k in range(4):
+        ids = codec.encode_lists(rows.slice(k))
+        assert ids.to_pylist() == [None if x is None else codec.words_to_ids(x) for x in rows.slice(k).to_pylist()]
+        back = TK._Decoder(vocab, SPECIAL_TOKENS, True).decode_lists(ids).to_pylist()
+        assert back == [None if x is None else "".join(x).replace("<s>", "") for x in rows.slice(k).to_pylist()]
