@@ -78,7 +78,9 @@ def sft_rows_from_turns(long_df: DataFrame, key: str = "conv_id", order: str = "
     sizes = turns.select(key, "_role", size_of(F.coalesce("_role", F.lit("tool")), F.col("_text")).alias("_n"))
     totals = sizes.groupBy(key).agg(F.sum(F.when(F.col("_role").isNotNull(), F.col("_n")).otherwise(0)).alias("_turns"),
                                     F.count_if(F.col("_role").isNull()).cast("int").alias("dropped_turns"))
-    totals = totals.withColumn("_n", F.col("_turns") + size_of(F.lit("system"), F.lit(system)))
+    # the system message's own count is one value: encoded once, not per conversation
+    alone_size = long_df.sparkSession.range(1).select(size_of(F.lit("system"), F.lit(system)).alias("_system"))
+    totals = totals.crossJoin(F.broadcast(alone_size)).withColumn("_n", F.col("_turns") + F.col("_system")).drop("_system")
     known = R.first_messages(long_df, R.sft_max_turns(max_length), key, order, sender, text, system, sender_map)
     alone = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
     joined = (totals.join(known.select(F.col(key).alias("_key"), "messages"), F.col(key).eqNullSafe(F.col("_key")), "left")

@@ -106,3 +106,9 @@ def test_lists_of_a_slice_with_nulls():
         assert ids.to_pylist() == [None if x is None else codec.words_to_ids(x) for x in rows.slice(k).to_pylist()]
         back = TK._Decoder(vocab, SPECIAL_TOKENS, True).decode_lists(ids).to_pylist()
         assert back == [None if x is None else "".join(x).replace("<s>", "") for x in rows.slice(k).to_pylist()]
+
+
+def test_the_system_message_is_encoded_once(spark):
+    turns = spark.createDataFrame([(c, 0, "human", "hi") for c in range(5)], "conv_id long, turn int, role string, text string")
+    rows = B.sft_rows_from_turns(turns)
+    assert any("Range (0, 1" in x for x in executed(rows)) and rows.count() == 5
