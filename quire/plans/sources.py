@@ -248,9 +248,11 @@ def path_corpus_to_batches(spark, d):
     J.write_jsonl(table(spark, d, "documents", "doc_id", "text").orderBy("doc_id"), lines)
     reason, text = J.lenient_parse("value")
     docs = J.numbered_lines(spark, lines).select("idx", reason.alias("reason"), text.alias("text")).where("reason is null")
-    rows = B.pretrain_rows(R.chunk_text(docs.select("idx", "text")), "text", I.codepoint_ids, 512, keep=["idx", "chunk_id"])
+    # every chunk makes one row, so its place is known before its padded arrays: the sort moves the texts alone
+    placed = S.assign_batches(R.chunk_text(docs.select("idx", "text")), ["idx", "chunk_id"], 64)
+    rows = B.pretrain_rows(placed, "text", I.codepoint_ids, 512, keep=[c for c in placed.columns if c != "text"])
     out = scratch_dir(spark, "batches")
-    S.assign_batches(rows, ["idx", "chunk_id"], 64).write.parquet(out)
+    rows.write.parquet(out)
     return spark.read.parquet(out).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("text_len").cast("bigint").alias("tokens"), F.max("pos_in_batch").alias("last_pos"))
 

@@ -112,3 +112,13 @@ def test_the_system_message_is_encoded_once(spark):
     turns = spark.createDataFrame([(c, 0, "human", "hi") for c in range(5)], "conv_id long, turn int, role string, text string")
     rows = B.sft_rows_from_turns(turns)
     assert any("Range (0, 1" in x for x in executed(rows)) and rows.count() == 5
+
+
+def test_batches_are_dealt_before_the_arrays_are_made(spark, tables, monkeypatch):
+    from quire.plans import sources
+    seen, deal = [], sources.S.assign_batches
+    monkeypatch.setattr(sources.S, "assign_batches", lambda df, *a: seen.append(df.columns) or deal(df, *a))
+    got = all_queries()["path_corpus_to_batches"](spark, tables).collect()
+    assert seen == [["idx", "chunk_id", "text"]]
+    n = all_queries()["chunk_text"](spark, tables).count()
+    assert sum(r.n_rows for r in got) == n and max(r.last_pos for r in got) == min(n, 64) - 1
