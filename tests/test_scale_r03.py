@@ -122,3 +122,15 @@ def test_batches_are_dealt_before_the_arrays_are_made(spark, tables, monkeypatch
     assert seen == [["idx", "chunk_id", "text"]]
     n = all_queries()["chunk_text"](spark, tables).count()
     assert sum(r.n_rows for r in got) == n and max(r.last_pos for r in got) == min(n, 64) - 1
+
+
+def test_packed_numbers_take_little_room():
+    """op12: what batches and groups send is compressed before Spark writes it to a checkpoint as it is."""
+    import numpy as np
+
+    from quire.llm.substrings import pack, unpack
+    ids, slots = np.arange(5000, dtype=np.int64) % 700, np.arange(5000, dtype=np.int32)
+    blob = pack(ids, slots)
+    assert len(blob) < 5000 * 12 // 3
+    assert all((a == b).all() for a, b in zip(unpack(blob, "<i8", "<i4"), (ids, slots)))
+    assert [len(c) for c in unpack(pack(ids[:0], slots[:0]), "<i8", "<i4")] == [0, 0]
