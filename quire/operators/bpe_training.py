@@ -1,13 +1,14 @@
 """T-5: training of a byte-level BPE vocabulary over the distinct-word table, by maintained counts.
 
-State, all of it distributed: the words, each a string with one character per symbol, and the counts of
-all pairs and triples of neighbouring symbols ("grams": two characters at the end of a word, three
-elsewhere, so a pair's count is the sum over the grams that begin with it).
+State, all of it distributed: the words in blocks, a row each (``x``: the symbols of some thousand words, every
+one higher by one, with a 0 after each word; ``c``: the words' counts in ``w`` bytes each), and the counts of all pairs and
+triples of neighbouring symbols ("grams": two symbols at the end of a word, three elsewhere, so a pair's
+count is the sum over the grams that begin with it; ``gram_key`` makes one number of a gram).
 
 A round takes the best pairs and the triples among them to the driver (bounded by ``candidates``),
-decides there on as many merges as are certain, rewrites the words in one narrow pass, and adds to the
-counts only what the changed words lost and gained. The corpus and the unchanged words are never
-counted again. (Finding the changed words is a substring test inside the same narrow pass; an inverted
+decides there on as many merges as are certain, rewrites the blocks' changed words in one narrow pass, and adds
+to the counts only what these words lost and gained. The corpus and the unchanged words are never
+counted again. (Finding the changed words is a comparison of whole arrays inside the same narrow pass; an inverted
 table of pairs would have to be shuffled to the words and kept up to date, which costs more than it saves.)
 
 ``plan_batch`` decides exactly. Every known pair carries a lower and an upper bound of its present
@@ -46,33 +47,160 @@ def symbol_id(ch: str) -> int:
     return (c if c < 0xD800 else c - 0x800) - _FIRST
 
 
-def word_string(word, byte_ids: list[int]) -> Column:
-    """A word's UTF-8 bytes as a string of symbol characters."""
-    lut = F.array(*[F.lit(symbol_char(i)) for i in byte_ids])
-    h = F.hex(F.encode(F.col(word) if isinstance(word, str) else word, "UTF-8"))
-    at = F.when(F.length(h) > 0, F.sequence(F.lit(0), (F.length(h) / 2 - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: F.get(lut, F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("int"))), "")
-
-
-def _grams(s: Column) -> Column:
-    at = F.when(F.length(s) > 1, F.sequence(F.lit(1), F.length(s) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substring(s, i, 3))
-
-
-def count_grams(words: DataFrame) -> DataFrame:
-    """(g, c) over (s, cnt)."""
-    return words.select(F.explode(_grams(F.col("s"))).alias("g"), "cnt").groupBy("g").agg(F.sum("cnt").alias("c"))
-
-
-def changed_grams(rewritten: DataFrame) -> DataFrame:
-    """(g, c) that the words of (s, n, cnt) lose and gain by becoming ``n``; unchanged words add nothing."""
-    signed = lambda s, sign: F.transform(_grams(s), lambda g: F.struct(g.alias("g"), (F.col("cnt") * sign).alias("c")))
-    return (rewritten.where("s <> n").select(F.explode(F.concat(signed(F.col("s"), -1), signed(F.col("n"), 1))).alias("x"))
-            .select("x.g", "x.c"))
+_BITS = 21  # of a symbol in a gram's key
+_MASK = (1 << _BITS) - 1
+_BLOCK = "x binary, c binary, w int, g array<long>, d array<long>"
+
+
+def gram_key(a, b, c):
+    """Three symbols, each higher by one, as one number in their order; ``c`` is 0 for a gram at a word's end."""
+    return (a << 2 * _BITS) | (b << _BITS) | c
+
+
+def gram_symbols(g: int) -> tuple[int, int, int]:
+    return (g >> 2 * _BITS) - 1, (g >> _BITS & _MASK) - 1, (g & _MASK) - 1
+
+
+def _grams(x, cnt):
+    """(key, count) of every gram of a block's words."""
+    import numpy as np
+    first = np.flatnonzero((x[:-1] != 0) & (x[1:] != 0))  # the block ends in 0, so first + 2 is inside
+    a, b, c = (x[first + i].astype(np.int64) for i in range(3))
+    return gram_key(a, b, c), cnt[np.searchsorted(np.flatnonzero(x == 0), first)]
+
+
+def _gained(*parts):
+    """The summed counts of the grams in (key, count) pairs, without those that come to 0."""
+    import numpy as np
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, at.reshape(-1), np.concatenate([c for _, c in parts]))
+    return keys[total != 0], total[total != 0]
+
+
+def merge_symbols(x, batch: list[tuple[int, int, int]]):
+    """A block's symbols rewritten with the merges, one after the other, each from left to right in every word."""
+    import numpy as np
+    for a, b, n in batch:
+        at = np.flatnonzero((x[:-1] == a + 1) & (x[1:] == b + 1))
+        if a == b and len(at):  # of overlapping places every second one, from the first of each run
+            starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0]
+        if len(at):
+            x = x.copy()
+            x[at] = n + 1
+            x = np.delete(x, at + 1)
+    return x
+
+
+def rewrite_block(x, cnt, batch):
+    """(symbols, counts, gram keys, gram counts): the block after the merges, and what its grams gained and lost."""
+    import numpy as np
+    hit = np.zeros(len(x), bool)
+    for a, b, _ in batch:  # a pair of a symbol made in this batch can only come up in a word that holds an earlier one
+        hit[:-1] |= (x[:-1] == a + 1) & (x[1:] == b + 1)
+    ends = np.flatnonzero(x == 0)
+    words = np.unique(np.searchsorted(ends, np.flatnonzero(hit)))
+    if not len(words):
+        return x, cnt, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    changed = np.zeros(len(ends), bool)
+    changed[words] = True
+    inside = np.repeat(changed, np.diff(ends, prepend=-1))
+    old = x[inside]
+    new = merge_symbols(old, batch)
+    g, d = _gained((lambda k, c: (k, -c))(*_grams(old, cnt[changed])), _grams(new, cnt[changed]))
+    # words of one symbol are done
+    sizes = np.diff(np.flatnonzero(new == 0), prepend=-1)
+    long = sizes > 2
+    return (np.concatenate([x[~inside], new[np.repeat(long, sizes)]]), np.concatenate([cnt[~changed], cnt[changed][long]]), g, d)
+
+
+def _row(x, cnt, g, d):
+    import numpy as np
+    import pyarrow as pa
+    kind = np.min_scalar_type(int(cnt.max())) if len(cnt) and cnt.min() >= 0 else np.dtype(np.int64)
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())) for v in (g, d)]
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([cnt.astype(kind).tobytes()], pa.binary()),
+                                       pa.array([kind.itemsize], pa.int32()), *lists], ["x", "c", "w", "g", "d"])
+
+
+def _blocks(batches, wide: str):
+    """(symbols, counts) of the blocks in Arrow batches of (x, c, w)."""
+    import numpy as np
+    for batch in batches:
+        for x, c, w in zip(*(col.to_pylist() for col in batch.columns)):
+            yield np.frombuffer(x, wide), np.frombuffer(c, np.int64 if w == 8 else f"<u{w}").astype(np.int64)
+
+
+def _counts(column):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    return pc.fill_null(column.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+
+
+def blocks_of_words(words: DataFrame, byte_ids: list[int], wide: str) -> DataFrame:
+    """Blocks with all their grams, from (word as bytes, cnt)."""
+    def build(batches):
+        import numpy as np
+        import pyarrow as pa
+        lut = np.array(byte_ids, np.int64) + 1
+        for batch in batches:
+            if batch.num_rows:
+                text = batch.column(0).cast(pa.large_binary())
+                ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+                data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+                x = np.zeros(len(data) + len(text), wide)
+                x[np.arange(len(data)) + np.repeat(np.arange(len(text)), np.diff(ends))] = lut[data]
+                cnt = _counts(batch.column(1))
+                yield _row(x, cnt, *_gained(_grams(x, cnt)))
+
+    return words.mapInArrow(build, _BLOCK)
+
+
+def blocks_of_strings(words: DataFrame, wide: str) -> DataFrame:
+    """Blocks with all their grams, from (s, cnt) as the log has them."""
+    def build(batches):
+        import numpy as np
+        for batch in batches:
+            if batch.num_rows:
+                chars = np.frombuffer("".join(s + "\n" for s in batch.column(0).to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+                x = np.where(chars == 10, 0, chars - _FIRST + 1 - np.where(chars >= 0xE000, 0x800, 0)).astype(wide)
+                cnt = _counts(batch.column(1))
+                yield _row(x, cnt, *_gained(_grams(x, cnt)))
+
+    return words.mapInArrow(build, _BLOCK)
+
+
+def strings_of_blocks(state: DataFrame, wide: str) -> DataFrame:
+    """(s, cnt): a row per word, one character per symbol."""
+    def spell(batches):
+        import numpy as np
+        import pyarrow as pa
+        for x, cnt in _blocks(batches, wide):
+            c = x.astype(np.int64) - 1 + _FIRST
+            chars = np.where(x == 0, 10, np.where(c < 0xD800, c, c + 0x800)).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(chars.tobytes().decode("utf-32-le").split("\n")[:-1], pa.string()), pa.array(cnt)],
+                                             ["s", "cnt"])
+
+    return state.select("x", "c", "w").mapInArrow(spell, "s string, cnt long")
+
+
+def rewritten_blocks(state: DataFrame, batch: list[tuple[int, int, int]], wide: str) -> DataFrame:
+    """The blocks after the merges of a batch, with what their grams gained and lost."""
+    def rewrite(batches):
+        for x, cnt in _blocks(batches, wide):
+            yield _row(*rewrite_block(x, cnt, batch))
+
+    return state.select("x", "c", "w").mapInArrow(rewrite, _BLOCK)
+
+
+def changed_grams(blocks: DataFrame) -> DataFrame:
+    """(g, c): the grams that blocks gained and lost."""
+    return blocks.selectExpr("inline(arrays_zip(g, d))").toDF("g", "c")
 
 
 def apply_merges(s: Column, batch: list[tuple[int, int, int]]) -> Column:
-    """A word rewritten with the merges, one after the other, each from left to right. (A fold over a constant
+    """``merge_symbols`` of a word in the log's spelling, as a column. (A fold over a constant
     array: the generated code is the same every round, so nothing is compiled anew.)"""
     steps = F.split(F.lit(" ".join(symbol_char(a) + symbol_char(b) + symbol_char(n) for a, b, n in batch)), " ")
     return F.aggregate(steps, s, lambda word, m: F.replace(word, F.substring(m, 1, 2), F.substring(m, 3, 1)))
@@ -188,6 +316,9 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
     """
     spark = words.sparkSession
     checkpoint_dir(spark)
+    if vocab_size >= _MASK:
+        raise ValueError(f"vocab_size must be under {_MASK}")
+    wide = "<u2" if max(vocab_size, len(vocab)) < 0xFFFF else "<u4"
     vocab, merges, sizes = list(vocab), [], []
     index = {t: i for i, t in enumerate(vocab)}
     log = RoundLog(spark, log_dir) if log_dir else None
@@ -199,27 +330,29 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
             if a + b not in index:
                 index[a + b] = len(vocab)
                 vocab.append(a + b)
+        state = blocks_of_strings(state.select("s", "cnt"), wide).checkpoint(eager=True)
     else:
         # the distinct words are few next to the corpus; adaptive execution would pack them into a task or two
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        state = (words.select(word_string("word", byte_ids).alias("s"), F.col("cnt").cast("long").alias("cnt"))
-                 .where(F.length("s") > 1).repartition(parts).checkpoint(eager=True))
-    grams = count_grams(state).persist()
+        state = blocks_of_words(words.select(F.col("word").cast("binary"), F.col("cnt").cast("long")).where(F.octet_length("word") > 1)
+                                .repartition(parts), byte_ids, wide).checkpoint(eager=True)
+    grams = changed_grams(state).groupBy("g").agg(F.sum("c").alias("c")).persist()
     held: list[DataFrame] = [grams]
     old: list[DataFrame] = []
     done = 0
+    pair = F.shiftright("g", _BITS)
     while len(vocab) < vocab_size and (stop_after is None or done < stop_after):
-        best = (grams.groupBy(F.substring("g", 1, 2).alias("p")).agg(F.sum("c").alias("c")).where(F.col("c") >= min_frequency)
+        best = (grams.groupBy(pair.alias("p")).agg(F.sum("c").alias("c")).where(F.col("c") >= min_frequency)
                 .orderBy(F.desc("c"), "p").limit(candidates).collect())
         for df in old:  # read for the last time by the job above
             df.unpersist()
         if not best:
             break
-        names = ", ".join(f"'{r['p']}'" for r in best)  # symbol characters are never quotes
-        inner = (grams.where(f"length(g) = 3 AND substring(g, 1, 2) IN ({names}) AND substring(g, 2, 2) IN ({names})").collect()
-                 if exact else [])  # at most candidates ** 2
-        batch = plan_batch([(symbol_id(r["p"][0]), symbol_id(r["p"][1]), r["c"]) for r in best],
-                           {tuple(map(symbol_id, r["g"])): r["c"] for r in inner},
+        names = [r["p"] for r in best]
+        second = F.col("g").bitwiseAND((1 << 2 * _BITS) - 1)
+        inner = grams.where(pair.isin(names) & second.isin(names)).collect() if exact else []  # at most candidates ** 2
+        batch = plan_batch([(*gram_symbols(r["p"] << _BITS)[:2], r["c"]) for r in best],
+                           {gram_symbols(r["g"]): r["c"] for r in inner},
                            best[-1]["c"] if len(best) == candidates else min_frequency - 1, len(vocab), vocab_size - len(vocab),
                            lambda a, b: index.get(vocab[a] + vocab[b]) if max(a, b) < len(vocab) else None, min_frequency, exact)
         for a, b, n in batch:
@@ -229,18 +362,19 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
                 vocab.append(vocab[a] + vocab[b])
         done += 1
         sizes.append(len(batch))
-        rewritten = state.select("s", apply_merges(F.col("s"), batch).alias("n"), "cnt").persist()
+        rewritten = rewritten_blocks(state, batch, wide).persist()
         grams = grams.unionByName(changed_grams(rewritten)).groupBy("g").agg(F.sum("c").alias("c")).where("c > 0")
-        state = rewritten.select(F.col("n").alias("s"), "cnt").where(F.length("n") > 1)
+        state = rewritten
         if done % checkpoint_every == 0:
             grams = grams.checkpoint(eager=True)
-            state = log.write(first + done, state, merges) if log else state.checkpoint(eager=True)
+            state = (blocks_of_strings(log.write(first + done, strings_of_blocks(state, wide), merges), wide) if log
+                     else state.select("x", "c", "w").checkpoint(eager=True))
             old, held = [*held, rewritten], []
         else:
             grams = grams.persist()
             old, held = held, [grams, rewritten]
+    if log and done % checkpoint_every:
+        log.write(first + done, strings_of_blocks(state, wide), merges)
     for df in (*old, *held):
         df.unpersist()
-    if log and done % checkpoint_every:
-        log.write(first + done, state, merges)
     return vocab, merges, sizes

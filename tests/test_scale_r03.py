@@ -134,3 +134,52 @@ def test_packed_numbers_take_little_room():
     assert len(blob) < 5000 * 12 // 3
     assert all((a == b).all() for a, b in zip(unpack(blob, "<i8", "<i4"), (ids, slots)))
     assert [len(c) for c in unpack(pack(ids[:0], slots[:0]), "<i8", "<i4")] == [0, 0]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_of_words_are_rewritten_and_their_grams_follow(seed):
+    """train_bpe: whole blocks of words in arrays, against one word after the other."""
+    from collections import Counter
+
+    import numpy as np
+
+    from quire.operators import bpe_training as BT
+    from test_bpe_training import rewrite
+    rnd = random.Random(seed)
+    words = [(tuple(rnd.randrange(3) for _ in range(rnd.randint(2, 9))), rnd.choice([1, 7, 300, 1 << 40])) for _ in range(60)]
+    batch = rnd.choice([[(0, 0, 3)], [(1, 1, 3), (3, 3, 4), (4, 0, 5)], [(0, 1, 70_000), (2, 70_000, 70_001)], [(8, 9, 10)]])
+
+    def block(words):
+        return (np.array([s for w, _ in words for s in (*(i + 1 for i in w), 0)], "<u4"), np.array([c for _, c in words], np.int64))
+
+    def grams(words):
+        out = Counter()
+        for w, c in words:
+            for i in range(len(w) - 1):
+                out[(*w[i:i + 3], -1)[:3]] += c
+        return out
+
+    after = []
+    for w, c in words:
+        for m in batch:
+            w = rewrite(w, *m)
+        after.append((w, c))
+    x, cnt, g, d = BT.rewrite_block(*block(words), batch)
+    got = [tuple(int(s) - 1 for s in w) for w in np.split(x, np.flatnonzero(x == 0) + 1)[:-1]]
+    assert Counter((w[:-1], c) for w, c in zip(got, cnt.tolist())) == Counter((w, c) for w, c in after if len(w) > 1 or (w, c) in words)
+    want = grams(after)
+    want.subtract(grams(words))
+    assert {BT.gram_symbols(k): c for k, c in zip(g.tolist(), d.tolist())} == {k: c for k, c in want.items() if c}
+
+
+def test_a_round_reads_blocks_not_words(spark):
+    """train_bpe: thousands of words a row, symbols beyond 16 bits too, and back to the log's spelling."""
+    from quire.operators import bpe_training as BT
+    words = spark.createDataFrame([(f"wort{i}", i) for i in range(3000)] + [("a", 5), (None, 2)], "word string, cnt long")
+    for wide in ("<u2", "<u4"):
+        made = BT.blocks_of_words(words.selectExpr("cast(word as binary)", "cnt").where("octet_length(word) > 1").coalesce(1), list(range(256)), wide)
+        assert made.count() == 1
+        spelled = BT.strings_of_blocks(made, wide)
+        again = BT.blocks_of_strings(spelled.coalesce(1), wide)
+        assert {("".join(chr(BT.symbol_id(s)) for s in r.s), r.cnt) for r in spelled.collect()} == {(f"wort{i}", i) for i in range(3000)}
+        assert sorted(BT.changed_grams(made).collect()) == sorted(BT.changed_grams(again).collect())
