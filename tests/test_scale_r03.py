@@ -183,3 +183,16 @@ def test_a_round_reads_blocks_not_words(spark):
         again = BT.blocks_of_strings(spelled.coalesce(1), wide)
         assert {("".join(chr(BT.symbol_id(s)) for s in r.s), r.cnt) for r in spelled.collect()} == {(f"wort{i}", i) for i in range(3000)}
         assert sorted(BT.changed_grams(made).collect()) == sorted(BT.changed_grams(again).collect())
+
+
+def test_prompts_share_states(spark, tmp_path):
+    """stream_reward_groups: calls of the Python function follow the buckets, not the prompts."""
+    from quire.streaming import groups as SG
+    schema = "prompt_id string, completion_id long, reward double"
+    rows = [(f"p{p}", c, float((p + c) % 3)) for p in range(200) for c in range(3)]
+    log = f"file://{tmp_path}/log"
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], schema).coalesce(1).write.parquet(f"{log}/f{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(log)
+    got = SG.run_once_each(SG.stream_reward_groups(stream, 3, buckets=2), f"file://{tmp_path}/o", f"file://{tmp_path}/ck").collect()
+    assert sorted((r.prompt_id, r.n, round(r.group_mean, 9), r.complete) for r in got) == sorted((f"p{p}", 3, 1.0, True) for p in range(200))
