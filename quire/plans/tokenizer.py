@@ -18,7 +18,7 @@ from quire.plans.corpus import _RAW_MAP, SQL_MSGS, _j, conv_messages, conv_turns
 from quire.plans.registry import SQL_CHUNKS, query, sql_cp, table
 from quire.session import scratch_dir
 
-EXACT_VOCAB = 1261  # the query that trains merge by merge: 1,000 merges
+EXACT_VOCAB = 6144  # the reference's vocabulary: five special tokens, 256 bytes, 5,883 merges
 
 
 def exact_model(spark, d: str, vocab_size: int = EXACT_VOCAB) -> TK.BpeModel:
