@@ -1,23 +1,23 @@
 """T-5: training of a byte-level BPE vocabulary over the distinct-word table, by maintained counts.
 
 State, all of it distributed: the words in blocks, a row each (``x``: the symbols of some thousand words, every
-one higher by one, with a 0 after each word; ``c``: the words' counts in ``w`` bytes each), and the counts of all pairs and
-triples of neighbouring symbols ("grams": two symbols at the end of a word, three elsewhere, so a pair's
-count is the sum over the grams that begin with it; ``gram_key`` makes one number of a gram).
-
-A round takes the best pairs and the triples among them to the driver (bounded by ``candidates``),
-decides there on as many merges as are certain, rewrites the blocks' changed words in one narrow pass, and adds
-to the counts only what these words lost and gained. The corpus and the unchanged words are never
-counted again. (Finding the changed words is a comparison of whole arrays inside the same narrow pass; an inverted
-table of pairs would have to be shuffled to the words and kept up to date, which costs more than it saves.)
-
-``plan_batch`` decides exactly. Every known pair carries a lower and an upper bound of its present
-count. Accepting a merge changes only pairs that share a symbol with it, by the count of the triple in
-which the two overlap, and makes new pairs, no more frequent than such a triple. While all symbols of a
-triple are untouched by the batch its count is exact, later it is a bound. The next merge is accepted
-only if its lower bound beats the upper bounds of all others, in the order of the one-at-a-time
-trainer: count, then left id, then right id. So a batch may chain merges ("t h" then "th e") and share
-symbols, and still lists the merges of the one-at-a-time trainer.
+one higher by one, with a 0 after each word; ``c``: the words' counts in ``w`` bytes each), and the counts of all pairs of
+neighbouring symbols. A block reports what it gained and lost by "grams" (two symbols at the end of a word, three
+elsewhere, so a pair's count is the sum over the grams that begin with it; ``gram_key`` makes one number of a gram).
+
+A round lists the best pairs and cuts the words into stretches in which every neighbouring pair is listed
+(``stretches``). Equal stretches are added up across the corpus, and the driver merges them one pair after the
+other (``plan_stretches``), down to the last listed pair in the order of the one-at-a-time trainer: count, then
+left id, then right id. That is exact. A pair across a border of a stretch, whatever its symbols were merged from, is
+never more frequent than the unlisted pair that stood there, so it comes later than all listed ones; and
+an occurrence of any other pair lies inside a stretch, where all are counted. The number of pairs listed doubles
+from round to round while the distinct stretches have no more than ``STRETCHES`` symbols, and is halved where
+they have more; so the driver's share is bounded whatever the corpus, and the words stay where they are. Then
+the blocks' changed words are rewritten in one narrow pass, and only what these words lost and gained is added to
+the counts. The corpus and the unchanged words are never counted again.
+
+``exact=False`` merges all listed pairs that share no symbol (``plan_batch``, which can also decide
+exactly from pairs and triples alone, by lower and upper bounds of their counts, some twenty merges a round).
 
 With ``log_dir`` every ``checkpoint_every`` rounds the words, then the merges so far, are written to
 that folder, and a job that is started again goes on from there.
@@ -49,6 +49,8 @@ def symbol_id(ch: str) -> int:
 
 _BITS = 21  # of a symbol in a gram's key
 _MASK = (1 << _BITS) - 1
+STRETCHES = 2_000_000  # symbols of distinct stretches that the driver merges in a round, some 60 bytes each
+LISTED = 1 << 16  # pairs listed in a round
 _BLOCK = "x binary, c binary, w int, g array<long>, d array<long>"
 
 
@@ -78,27 +80,113 @@ def _gained(*parts):
     return keys[total != 0], total[total != 0]
 
 
+def _grouped(keys, at):
+    """(key, its places) of places with their keys."""
+    import numpy as np
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[cuts].tolist(), np.split(at, cuts[1:]) if len(cuts) else [], order, cuts
+
+
+class Places:
+    """Words as chains of symbols (every one higher by one, a 0 after each word), with the places of their pairs.
+
+    A merge visits the places of its pair alone. ``wanted``: keys of the pairs to keep places of; of pairs that
+    come up by a merge those in ``wanted``, or all with a count of ``least`` or more. Keys are ``gram_key(0, a, b)``.
+    """
+
+    def __init__(self, x, weights=None, wanted=None, least: int = 0):
+        import numpy as np
+        self.x = np.append(x, 0).astype(np.int64)
+        self.after = np.arange(1, len(self.x) + 1, dtype=np.int32)
+        self.before = np.arange(-1, len(self.x) - 1, dtype=np.int32)
+        self.weights, self.wanted, self.least = weights, wanted, least
+        at = np.flatnonzero((self.x[:-1] != 0) & (self.x[1:] != 0))
+        keys = self._keys(at)
+        if wanted is not None:
+            kept = np.isin(keys, wanted)
+            keys, at = keys[kept], at[kept]
+            self.wanted = set(wanted.tolist())
+        names, places, order, cuts = _grouped(keys, at.astype(np.int32))
+        self.places = dict(zip(names, places))
+        self.counts = dict(zip(names, np.add.reduceat(weights[at[order]], cuts).tolist())) if weights is not None and len(cuts) else {}
+
+    def _keys(self, at):
+        return (self.x[at] << _BITS) | self.x[self.after[at]]
+
+    def _add(self, at, sign: int):
+        """Add the pairs that begin at some places to the counts; for new ones returns (key, places)."""
+        import numpy as np
+        keys = self._keys(at)
+        if sign < 0:
+            order = np.argsort(keys)
+            keys, at = keys[order], at[order]
+            cuts = np.flatnonzero(np.diff(keys, prepend=-1))
+            counts = self.counts
+            for k, c in zip(keys[cuts].tolist(), np.add.reduceat(self.weights[at], cuts).tolist()):
+                if k in counts:
+                    counts[k] -= c
+                    yield k
+            return
+        names, places, order, cuts = _grouped(keys, at)
+        totals = np.add.reduceat(self.weights[at[order]], cuts).tolist() if self.weights is not None else [None] * len(names)
+        for k, p, c in zip(names, places, totals):
+            if k in self.wanted if self.wanted is not None else c >= self.least:
+                self.places[k] = np.concatenate((self.places[k], p)) if k in self.places else p
+                self.counts[k] = self.counts.get(k, 0) + c if c is not None else 0
+                yield k
+
+    def merge(self, a: int, b: int, n: int) -> list[int]:
+        """Merge a pair (ids as in ``x``, higher by one) wherever it stands; the keys of changed counts."""
+        import numpy as np
+        key = gram_key(0, a, b)
+        at = self.places.pop(key, None)
+        self.counts.pop(key, None)
+        if at is None:
+            return []
+        at = np.sort(at[(self.x[at] == a) & (self.x[self.after[at]] == b)])
+        if a == b and len(at):  # of overlapping places every second one, from the first of each run
+            starts = np.flatnonzero(np.append(True, self.after[at[:-1]] != at[1:]))
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0]
+        if not len(at):
+            return []
+        gone, left = self.after[at], self.before[at]
+        left = np.where((left >= 0) & (self.x[left] != 0), left, -1)
+        changed = []
+        if self.weights is not None:
+            own = np.append(True, left[1:] != gone[:-1])  # between two merged places a pair stands once
+            old = np.concatenate((left[(left >= 0) & own], gone[self.x[self.after[gone]] != 0]))
+            changed += self._add(old, -1) if len(old) else []
+        self.x[at], self.x[gone] = n, -1
+        right = self.after[gone]
+        self.after[at], self.before[right] = right, at
+        left = self.before[at]
+        follows = np.append(False, left[1:] == at[:-1])
+        new = np.concatenate((left[(left >= 0) & (self.x[left] > 0) & ~follows], at[self.x[right] != 0]))
+        changed += self._add(new, 1) if len(new) else []
+        return changed
+
+    def symbols(self):
+        return self.x[:-1][self.x[:-1] >= 0]
+
+
 def merge_symbols(x, batch: list[tuple[int, int, int]]):
     """A block's symbols rewritten with the merges, one after the other, each from left to right in every word."""
     import numpy as np
+    wanted = np.array([gram_key(0, a + 1, b + 1) for a, b, _ in batch], np.int64)
+    words = Places(x, wanted=wanted)
     for a, b, n in batch:
-        at = np.flatnonzero((x[:-1] == a + 1) & (x[1:] == b + 1))
-        if a == b and len(at):  # of overlapping places every second one, from the first of each run
-            starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0]
-        if len(at):
-            x = x.copy()
-            x[at] = n + 1
-            x = np.delete(x, at + 1)
-    return x
+        words.merge(a + 1, b + 1, n + 1)
+    return words.symbols().astype(x.dtype)
 
 
 def rewrite_block(x, cnt, batch):
     """(symbols, counts, gram keys, gram counts): the block after the merges, and what its grams gained and lost."""
     import numpy as np
     hit = np.zeros(len(x), bool)
-    for a, b, _ in batch:  # a pair of a symbol made in this batch can only come up in a word that holds an earlier one
-        hit[:-1] |= (x[:-1] == a + 1) & (x[1:] == b + 1)
+    # a pair of a symbol made in this batch can only come up in a word that holds an earlier one
+    hit[:-1] = np.isin(gram_key(0, x[:-1].astype(np.int64), x[1:]), [gram_key(0, a + 1, b + 1) for a, b, _ in batch])
     ends = np.flatnonzero(x == 0)
     words = np.unique(np.searchsorted(ends, np.flatnonzero(hit)))
     if not len(words):
@@ -194,6 +282,72 @@ def rewritten_blocks(state: DataFrame, batch: list[tuple[int, int, int]], wide:
     return state.select("x", "c", "w").mapInArrow(rewrite, _BLOCK)
 
 
+def changed_pairs(blocks: DataFrame) -> DataFrame:
+    """(p, c): the pairs (keys) that blocks gained and lost."""
+    return changed_grams(blocks).select(F.shiftright("g", _BITS).alias("p"), "c")
+
+
+def stretches(state: DataFrame, pairs: list[int], wide: str) -> DataFrame:
+    """(s, c): the stretches of the blocks' words in which every neighbouring pair is one of ``pairs`` (keys), a 0 after
+    each, with their counts added up."""
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+        listed = np.array(sorted(pairs), np.int64)
+        for x, cnt in _blocks(batches, wide):
+            key = gram_key(0, x[:-1].astype(np.int64), x[1:])
+            joined = np.append(listed[np.minimum(np.searchsorted(listed, key), len(listed) - 1)] == key, False)
+            inside = joined.copy()  # symbols of a stretch: those joined to the next one, and the last
+            inside[1:] |= joined[:-1]
+            last = inside & ~joined
+            out = x[inside]
+            ends = np.flatnonzero(last[inside])
+            size = x.dtype.itemsize
+            if len(ends):
+                out = np.insert(out, ends + 1, 0)
+                offsets = np.append(0, (ends + 2 + np.arange(len(ends)))) * size
+                c = cnt[np.searchsorted(np.flatnonzero(x == 0), np.flatnonzero(last))]
+                s = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out.tobytes())])
+                found = pa.table([s, pa.array(c)], ["s", "c"]).group_by("s", use_threads=False).aggregate([("c", "sum")])
+                yield from found.select(["s", "c_sum"]).rename_columns(["s", "c"]).cast(pa.schema([("s", pa.binary()), ("c", pa.int64())])).to_batches()
+
+    return state.select("x", "c", "w").mapInArrow(cut, "s binary, c long").groupBy("s").agg(F.sum("c").alias("c"))
+
+
+def plan_stretches(x, weights, last: tuple[int, int, int] | None, next_id: int, room: int, known=lambda a, b: None,
+                   min_frequency: int = 2) -> list[tuple[int, int, int]]:
+    """Merges (left, right, id) of one round, in order, from the stretches' symbols and their counts.
+
+    ``last``: the least of the listed pairs as (-count, left, right), with which the merges end; None if all pairs
+    are listed. ``known(left, right)`` names the id of a token spelled alike, if there is one; its pairs may
+    rise in count outside the stretches, so the round ends there.
+    """
+    import numpy as np
+    from heapq import heapify, heappop, heappush
+    each = np.repeat(weights, np.diff(np.flatnonzero(x == 0), prepend=-1))
+    least = max(min_frequency, -last[0]) if last else min_frequency
+    words = Places(x, np.append(each, 0), least=least)
+    heap = [(-c, k) for k, c in words.counts.items()]
+    heapify(heap)
+    out: list[tuple[int, int, int]] = []
+    while heap and len(out) < room:
+        c, key = heappop(heap)
+        now = words.counts.get(key, 0)
+        if now != -c:  # an older count of the pair
+            continue
+        a, b = (key >> _BITS) - 1, (key & _MASK) - 1
+        if now < min_frequency or last and (c, a, b) > last:
+            break
+        n = known(a, b)
+        out.append((a, b, next_id if n is None else n))
+        if n is not None:
+            break
+        for k in set(words.merge(a + 1, b + 1, next_id + 1)):
+            heappush(heap, (-words.counts[k], k))
+        next_id += 1
+    return out
+
+
 def changed_grams(blocks: DataFrame) -> DataFrame:
     """(g, c): the grams that blocks gained and lost."""
     return blocks.selectExpr("inline(arrays_zip(g, d))").toDF("g", "c")
@@ -307,6 +461,36 @@ class RoundLog:
         return self.spark.read.parquet(f"{self.base}/words/round={n}")
 
 
+class _Spelled:
+    """``known`` of a round: the id of a token spelled as two symbols together, new tokens of the round included."""
+
+    def __init__(self, vocab: list[str], index: dict[str, int]):
+        self.vocab, self.index = list(vocab), dict(index)
+
+    def __call__(self, a: int, b: int) -> int | None:
+        token = self.vocab[a] + self.vocab[b]
+        n = self.index.get(token)
+        if n is None:
+            self.index[token] = len(self.vocab)
+            self.vocab.append(token)
+        return n
+
+
+def _collected(found: DataFrame, wide: str):
+    """(symbols, counts) of the stretches; None if they have more than ``STRETCHES`` symbols."""
+    import numpy as np
+    import pyarrow as pa
+    found = found.persist()
+    try:
+        if (found.agg(F.sum(F.octet_length("s"))).first()[0] or 0) > STRETCHES * np.dtype(wide).itemsize:
+            return None
+        rows = found.toArrow()
+    finally:
+        found.unpersist()
+    x = np.frombuffer(b"".join(rows["s"].to_pylist()), wide)
+    return x, rows["c"].cast(pa.int64()).to_numpy()
+
+
 def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: int, min_frequency: int = 2, candidates: int = 256,
           exact: bool = True, checkpoint_every: int = 4, log_dir: str | None = None,
           stop_after: int | None = None) -> tuple[list[str], list[tuple[str, str]], list[int]]:
@@ -336,25 +520,29 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
         parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
         state = blocks_of_words(words.select(F.col("word").cast("binary"), F.col("cnt").cast("long")).where(F.octet_length("word") > 1)
                                 .repartition(parts), byte_ids, wide).checkpoint(eager=True)
-    grams = changed_grams(state).groupBy("g").agg(F.sum("c").alias("c")).persist()
-    held: list[DataFrame] = [grams]
+    counts = changed_pairs(state).groupBy("p").agg(F.sum("c").alias("c")).persist()
+    held: list[DataFrame] = [counts]
     old: list[DataFrame] = []
     done = 0
-    pair = F.shiftright("g", _BITS)
+    listed = max(1, candidates // 32) if exact else candidates
     while len(vocab) < vocab_size and (stop_after is None or done < stop_after):
-        best = (grams.groupBy(pair.alias("p")).agg(F.sum("c").alias("c")).where(F.col("c") >= min_frequency)
-                .orderBy(F.desc("c"), "p").limit(candidates).collect())
+        best = counts.where(F.col("c") >= min_frequency).orderBy(F.desc("c"), "p").limit(listed).collect()
         for df in old:  # read for the last time by the job above
             df.unpersist()
         if not best:
             break
-        names = [r["p"] for r in best]
-        second = F.col("g").bitwiseAND((1 << 2 * _BITS) - 1)
-        inner = grams.where(pair.isin(names) & second.isin(names)).collect() if exact else []  # at most candidates ** 2
-        batch = plan_batch([(*gram_symbols(r["p"] << _BITS)[:2], r["c"]) for r in best],
-                           {gram_symbols(r["g"]): r["c"] for r in inner},
-                           best[-1]["c"] if len(best) == candidates else min_frequency - 1, len(vocab), vocab_size - len(vocab),
-                           lambda a, b: index.get(vocab[a] + vocab[b]) if max(a, b) < len(vocab) else None, min_frequency, exact)
+        pairs = [(*gram_symbols(r["p"] << _BITS)[:2], r["c"]) for r in best]
+        if exact:
+            rest = len(pairs) == listed  # there may be pairs that are not listed
+            while (found := _collected(stretches(state, [gram_key(0, a + 1, b + 1) for a, b, _ in pairs], wide), wide)) is None:
+                pairs, rest = pairs[:len(pairs) // 2], True
+            a, b, c = pairs[-1]
+            made = _Spelled(vocab, index)
+            batch = plan_stretches(*found, (-c, a, b) if rest else None, len(vocab), vocab_size - len(vocab), made, min_frequency)
+            listed = min(LISTED, 2 * len(pairs) if len(found[0]) <= STRETCHES // 3 else max(listed // 2, len(pairs)))
+        else:
+            batch = plan_batch(pairs, {}, best[-1]["c"], len(vocab), vocab_size - len(vocab),
+                               lambda a, b: index.get(vocab[a] + vocab[b]) if max(a, b) < len(vocab) else None, min_frequency, False)
         for a, b, n in batch:
             merges.append((vocab[a], vocab[b]))
             if n == len(vocab):
@@ -363,16 +551,16 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
         done += 1
         sizes.append(len(batch))
         rewritten = rewritten_blocks(state, batch, wide).persist()
-        grams = grams.unionByName(changed_grams(rewritten)).groupBy("g").agg(F.sum("c").alias("c")).where("c > 0")
+        counts = counts.unionByName(changed_pairs(rewritten)).groupBy("p").agg(F.sum("c").alias("c")).where("c > 0")
         state = rewritten
         if done % checkpoint_every == 0:
-            grams = grams.checkpoint(eager=True)
+            counts = counts.checkpoint(eager=True)
             state = (blocks_of_strings(log.write(first + done, strings_of_blocks(state, wide), merges), wide) if log
                      else state.select("x", "c", "w").checkpoint(eager=True))
             old, held = [*held, rewritten], []
         else:
-            grams = grams.persist()
-            old, held = held, [grams, rewritten]
+            counts = counts.persist()
+            old, held = held, [counts, rewritten]
     if log and done % checkpoint_every:
         log.write(first + done, strings_of_blocks(state, wide), merges)
     for df in (*old, *held):

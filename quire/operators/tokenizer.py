@@ -31,6 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from quire.functions import col_of, int_array, let
 from quire.functions.ids import SPECIAL_TOKENS
+from quire.operators import pretokens
 
 # ---------------------------------------------------------------- fixed values
 # The published byte-level pre-tokenizer split pattern (add_prefix_space=False).
@@ -149,11 +150,21 @@ def word_symbols(word) -> Column:
     return let(F.hex(F.encode(col_of(word), "UTF-8")), body)
 
 
+_COUNTED = 2_000  # texts whose words are counted at once
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """T-4: frequency of each pre-token over the corpus (NFKC first); a partial aggregation."""
+    """T-4: frequency of each pre-token over the corpus (NFKC first); a partial aggregation, begun batch by batch."""
+    def count(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _COUNTED):
+                words, _ = pretokens.words(batch.column(0).slice(at, _COUNTED))
+                found = words.dictionary_encode()
+                n = np.bincount(found.indices.to_numpy(zero_copy_only=False), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+
     n = nfkc(df.select(text), text)
-    return (n.select(F.explode(pretokenize(text)).alias("word"))
-            .groupBy("word").agg(F.count(F.lit(1)).alias("cnt")))
+    return n.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("cnt"))
 
 
 def whitespace_word_counts(df: DataFrame, text: str = "text") -> DataFrame:

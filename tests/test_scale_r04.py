@@ -21,6 +21,60 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString().split("\n")
 
 
+def stretches_of(words, names):
+    out = Counter()
+    for w, c in words.items():
+        cuts = [0, *(i + 1 for i, p in enumerate(zip(w, w[1:])) if p not in names), len(w)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                out[w[a:b]] += c
+    return out
+
+
+def in_stretches(words, first_id, steps, listed):
+    words, merges = dict(words), []
+    while len(merges) < steps:
+        pairs = Counter()
+        for w, c in words.items():
+            for p in zip(w, w[1:]):
+                pairs[p] += c
+        best = sorted(((-c, a, b) for (a, b), c in pairs.items() if c >= 2))[:listed]
+        if not best:
+            break
+        found = stretches_of(words, {x[1:] for x in best})
+        x = np.array([s for w in found for s in (*(i + 1 for i in w), 0)], "<u4")
+        batch = BT.plan_stretches(x, np.array(list(found.values()), np.int64), best[-1] if len(best) == listed else None,
+                                  first_id + len(merges), steps - len(merges))
+        assert batch
+        merges += batch
+        for m in batch:
+            new = Counter()
+            for w, c in words.items():
+                new[rewrite(w, *m)] += c
+            words = new
+    return merges
+
+
+@pytest.mark.parametrize("seed", range(120))
+def test_stretches_give_the_merges_of_the_one_at_a_time_trainer(seed):
+    """train_bpe: ties, runs of one symbol and few listed pairs too."""
+    rnd = random.Random(seed)
+    letters = rnd.choice([1, 2, 3, 5, 12])
+    stems = [tuple(rnd.randrange(letters) for _ in range(rnd.randint(1, 6))) for _ in range(12)]
+    words = Counter()
+    for _ in range(rnd.choice([5, 40, 200])):
+        words[sum((rnd.choice(stems) for _ in range(rnd.randint(1, 3))), ())] += rnd.randint(1, 30) if seed % 2 else 1
+    assert in_stretches(words, 100, 40, rnd.choice([1, 2, 3, 10, 64])) == one_at_a_time(words, 100, 40)
+
+
+def test_a_round_that_makes_a_known_token_ends_there():
+    """train_bpe: a token spelled alike keeps its id, and its pairs are counted anew."""
+    x = np.array([1, 2, 0, 3, 4, 0], "<u2")
+    seen = []
+    got = BT.plan_stretches(x, np.array([9, 5]), None, 50, 10, lambda a, b: seen.append((a, b)) or (7 if (a, b) == (0, 1) else None))
+    assert got == [(0, 1, 7)] and seen == [(0, 1)]
+
+
 def syllables(seed, n):
     rnd = random.Random(seed)
     parts = ["".join(rnd.choice("abcdefghiklmnoprstuw") for _ in range(rnd.randint(1, 3))) for _ in range(90)]
@@ -57,6 +111,19 @@ def plain_training(words, steps):
     return merges
 
 
+@pytest.mark.parametrize("room", [None, 400])
+def test_hundreds_of_merges_take_few_rounds(spark, monkeypatch, room):
+    """train_bpe: about ten rounds for 700 merges (it was one for about twenty); with little room on the driver the same merges."""
+    if room:
+        monkeypatch.setattr(BT, "STRETCHES", room)
+    words = syllables(3, 1500)
+    steps = 700 if room is None else 60
+    table = spark.createDataFrame(words, "word string, cnt long").groupBy("word").agg(F.sum("cnt").alias("cnt"))
+    model = TK.train_bpe(table, "word", vocab_size=261 + steps, word_table=table)
+    assert model.merges == plain_training(words, steps)
+    assert room or model.rounds <= 12
+
+
 def test_the_query_trains_the_whole_vocabulary(spark, tmp_path):
     """train_bpe: 5,883 merges of the reference's 6,144 entries; 1,000 were trained before."""
     words = syllables(4, 900)
@@ -66,3 +133,27 @@ def test_the_query_trains_the_whole_vocabulary(spark, tmp_path):
     rows = all_queries()["train_bpe"](spark, str(tmp_path)).collect()
     want = plain_training([((" " if i else "") + w, n) for w0 in [text.split(" ")] for (i, w), n in Counter((min(k, 1), w) for k, w in enumerate(w0)).items()], 5883)
     assert len(want) > 1000 and [(r.left, r.right) for r in sorted(rows, key=lambda r: r["rank"])] == want
+
+
+# ---------------------------------------------------------------- encoding
+BITS = ["'", "s", "t", "re", "'ll", "'ve", "d", " ", "  ", "\n", "\t", " ", "　", "a", "é", "Z9", "12", "²", "!", "?..", "<s>",
+        "<|im_end|>", "<", "ｆ", "😀", "​", "m", "'d", "l", "v", "\x1c", "\x00"]
+
+
+@pytest.mark.parametrize("specials", [(), SPECIAL_TOKENS])
+def test_words_are_the_splitters(specials):
+    """bpe_decode, bpe_pretrain_rows, train_bpe: words of whole batches by arrays, against the pattern."""
+    regex = pytest.importorskip("regex")
+    pattern = regex.compile(TK.PRETOKEN_PATTERN)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(BITS) for _ in range(rnd.randrange(14))) for _ in range(20_000)] + [None, ""]
+
+    def want(x):
+        parts = regex.split("(" + "|".join(map(regex.escape, specials)) + ")", x) if specials else [x]
+        return [w for p in parts for w in ([p] if p in specials else pattern.findall(p))]
+
+    for given in (texts, [x for x in texts if x is None or x.isascii()], texts[-2:], []):
+        for array in (pa.array(given, pa.string()), pa.array(given, pa.string()).slice(min(1, len(given)))):
+            words, ends = PT.words(array, specials)
+            words = words.to_pylist()
+            assert [words[a:b] for a, b in zip(ends, ends[1:])] == [want(x) if x else [] for x in array.to_pylist()]
