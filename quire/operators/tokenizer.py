@@ -5,9 +5,9 @@ distributed word count (T-4), and the rounds keep the counts of pairs and triple
 up to date from the words that change. Only the model itself (vocabulary and
 merges, bounded by ``vocab_size``) lives on the driver, as a trained model does.
 
-Encoding (T-6) splits texts into words on the JVM (T-1, T-2) and hands word
-arrays to an Arrow UDF over a broadcast of the model, which looks up each distinct
-word of a batch once, in a least-recently-used cache; decoding (T-7) is an Arrow
+Encoding (T-6) hands whole texts to an Arrow UDF over a broadcast of the model, which
+cuts a batch into words (T-2, ``pretokens``), looks up each distinct word once and
+merges all words that are new to it side by side; decoding (T-7) is an Arrow
 UDF. Both work on a batch's flat values, so no row becomes Python lists.
 """
 
@@ -119,11 +119,6 @@ def split_special(text, specials=SPECIAL_TOKENS) -> Column:
     return F.regexp_extract_all(col_of(text), F.lit(f"(?s){either}|.+?(?={either}|\\z)"), 0)
 
 
-def words_of(parts, specials=SPECIAL_TOKENS) -> Column:
-    """The words (T-2) of a text cut by ``split_special``; a special token is a word of its own."""
-    return F.flatten(F.transform(parts, lambda p: F.when(p.isin(*specials), F.array(p)).otherwise(pretokenize(p))))
-
-
 def _nfkc_parts_udf(specials: tuple[str, ...], nested: bool = False):
     """NFKC between special tokens: text to pieces (``nested``: array of texts to arrays of pieces)."""
     cut = "(" + "|".join(re.escape(t) for t in sorted(specials, key=len, reverse=True)) + ")"
@@ -210,22 +205,25 @@ class BpeModel:
     def _lookup(self, spark: SparkSession, nested: bool):
         bc = spark.sparkContext.broadcast((self.vocab, self.merges, tuple(self.special_tokens)))
 
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             codec = _Codec(*bc.value)
-            for rows in batches:
-                yield _relist(rows, codec.encode_lists(rows.flatten())) if nested else codec.encode_lists(rows)
+            for texts, parts in batches:
+                if nested:  # the pieces of a row's texts, by the text's number in the batch
+                    ends, given = _row_ends(texts).tolist(), _pieces(parts)
+                    pieces = {ends[i] + k: p for i, row in given.items() for k, p in enumerate(row)}
+                    yield _relist(texts, codec.encode_texts(texts.flatten(), pieces))
+                else:
+                    yield codec.encode_texts(texts, _pieces(parts))
         ids = ArrayType(IntegerType())
         return F.arrow_udf(run, ArrayType(ids) if nested else ids)
 
     def encoder(self, spark: SparkSession):
-        """Function of a text column giving its ids: words on the JVM, ids from a word lookup."""
+        """Function of a text column giving its ids. Texts that NFKC may change come in pieces as well."""
         lookup = self._lookup(spark, False)
 
         def encode(c) -> Column:
             c = col_of(c)
-            parts = F.coalesce(_nfkc_parts_udf(tuple(self.special_tokens))(F.when(~c.rlike(_NFKC_STABLE), c)),
-                               split_special(c, self.special_tokens))
-            return lookup(words_of(parts, self.special_tokens))
+            return lookup(c, _nfkc_parts_udf(tuple(self.special_tokens))(F.when(~c.rlike(_NFKC_STABLE), c)))
         return encode
 
     def array_encoder(self, spark: SparkSession):
@@ -235,9 +233,7 @@ class BpeModel:
         def encode(c) -> Column:
             c = col_of(c)
             stable = F.forall(c, lambda x: x.rlike(_NFKC_STABLE))
-            parts = F.coalesce(_nfkc_parts_udf(tuple(self.special_tokens), True)(F.when(~stable, c)),
-                               F.transform(c, lambda x: split_special(x, self.special_tokens)))
-            return lookup(F.transform(parts, lambda p: words_of(p, self.special_tokens)))
+            return lookup(c, _nfkc_parts_udf(tuple(self.special_tokens), True)(F.when(~stable, c)))
         return encode
 
     def decoder(self, spark: SparkSession, skip_special_tokens: bool = False):
@@ -332,19 +328,34 @@ def read_file(spark: SparkSession, path: str) -> bytes:
 class _Codec:
     """Per-task word lookup (small helper behind the UDFs)."""
 
-    WORDS = 200_000  # words remembered; the least recently used go first
+    WORDS = 300_000  # words remembered; beyond them all are forgotten
     SHORT = 256  # symbols; longer words keep their pairs in a heap
+    SIDE_BY_SIDE = 64  # bytes; shorter words are merged many at once
+    CHARS = 1 << 22  # bytes of text encoded at once
 
     def __init__(self, vocab, merges, specials):
-        from functools import lru_cache
         self.tok2id = {t: i for i, t in enumerate(vocab)}
+        self.specials = tuple(specials)
         self.special_ids = {t: self.tok2id[t] for t in specials}
         self.ranks, self.made = {}, []  # the rank of a pair of ids, the id that a rank makes
         for r, (a, b) in enumerate(merges):
             self.ranks.setdefault((self.tok2id[a], self.tok2id[b]), r)
             self.made.append(self.tok2id[a + b])
         self.byte_ids = [self.tok2id[c] for c in BYTE_CHARS]
-        self.word = lru_cache(self.WORDS)(self._word)
+        # the same for arrays: pairs in order as one number each
+        self.width = len(vocab)
+        order = sorted((a * self.width + b, r) for (a, b), r in self.ranks.items())
+        self.pairs = np.array([k for k, _ in order], np.int64)
+        self.pair_ranks = np.array([r for _, r in order], np.int32)
+        self.made_by = np.array(self.made, np.int32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # a word's number; where its ids are and how many
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def word(self, w: str) -> tuple[int, ...]:
+        return tuple(self._found(pa.array([w], pa.large_string()))[1].tolist())
 
     def _word(self, w: str) -> tuple[int, ...]:
         if w in self.special_ids:
@@ -396,17 +407,109 @@ class _Codec:
     def words_to_ids(self, words) -> list[int]:
         return [i for w in words for i in self.word(w)]
 
-    def encode_lists(self, rows: pa.ListArray) -> pa.ListArray:
-        """Rows of words to rows of ids; every distinct word of the batch is looked up once."""
-        words = rows.flatten().dictionary_encode()
+    def _pair_ranks(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The rank of the pair that begins at each place; beyond all ranks if it has none. -1 parts words."""
+        none = len(self.made)
+        if not len(self.pairs):
+            return np.full(len(at), none, np.int32)
+        left, right = ids[at], ids[at + 1]
+        key = left.astype(np.int64) * self.width + right
+        k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where((self.pairs[k] == key) & (left >= 0) & (right >= 0), self.pair_ranks[k], none)
+
+    def _merged(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of ``_word`` for many words at once: a round takes in every word all places of its
+        least rank. Every word ends in -1."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ids = np.full(int(sizes.sum()) + len(raw), -1, np.int32)
+        owner = np.repeat(np.arange(len(raw)), sizes + 1)
+        inside = np.arange(len(ids)) - owner  # its byte, for all places but the -1s
+        ends = np.cumsum(sizes + 1) - 1
+        body = np.ones(len(ids), bool)
+        body[ends] = False
+        ids[body] = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(raw), np.uint8)[inside[body]]]
+        none = len(self.made)
+        rank = np.full(len(ids), none, np.int32)
+        rank[:-1] = self._pair_ranks(ids, np.arange(len(ids) - 1))
+        done = []
+        while len(ids):
+            ends = np.flatnonzero(ids < 0)
+            n = np.diff(ends, prepend=-1)
+            least = np.minimum.reduceat(rank, np.append(0, ends[:-1] + 1))
+            over = least == none
+            if over.any():
+                stay = np.repeat(over, n)
+                done.append((owner[stay], ids[stay]))
+                ids, owner, rank, least, n = ids[~stay], owner[~stay], rank[~stay], least[~over], n[~over]
+                if not len(ids):
+                    break
+            at = np.flatnonzero((rank == np.repeat(least, n)) & (rank < none))
+            follows = np.diff(at, prepend=-2) == 1  # of overlapping places every second one, from the first of each run
+            if follows.any():
+                starts = np.flatnonzero(~follows)
+                at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0]
+            ids[at] = self.made_by[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = at - np.arange(len(at))  # their places once the right halves are gone
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            around = np.concatenate((moved, moved[moved > 0] - 1))
+            rank[around] = self._pair_ranks(ids, around)
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], ids[order]
+        return ids[ids >= 0], np.bincount(owner, minlength=len(raw)) - 1
+
+    def _learn(self, fresh: list[str]) -> None:
+        raw = [w.encode("utf-8") for w in fresh]
+        alone = {i: self._word(w) for i, w in enumerate(fresh) if w in self.special_ids or len(raw[i]) >= self.SIDE_BY_SIDE or not raw[i]}
+        many = [i for i in range(len(fresh)) if i not in alone]
+        parts = [np.array(x, np.int32) for x in alone.values()]
+        sizes = [len(x) for x in parts]
+        if many:
+            ids, n = self._merged([raw[i] for i in many])
+            parts.append(ids)
+            sizes = np.concatenate((np.array(sizes, np.int64), n))
+        sizes = np.asarray(sizes, np.int64)
+        for k, i in enumerate([*alone, *many], len(self.known)):
+            self.known[fresh[i]] = k
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.ids = np.concatenate((self.ids, *parts))
+
+    def _found(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per word, all ids) of words one after the other; every distinct word is looked up once."""
+        words = words.dictionary_encode()
         at = words.indices.to_numpy(zero_copy_only=False)
-        found = [self.word(w) for w in words.dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
-        n = sizes[at]
-        values = pa.array(ids[_spans((np.cumsum(sizes) - sizes)[at], n)])
+        spelled = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.WORDS:
+            self._forget()
+        fresh = [w for w in spelled if w not in self.known]
+        if fresh:
+            self._learn(fresh)
+        slots = np.fromiter(map(self.known.__getitem__, spelled), np.int64, len(spelled))
+        n = self.sizes[slots][at]
+        return n, self.ids[_spans(self.starts[slots][at], n)]
+
+    def encode_lists(self, rows: pa.ListArray) -> pa.ListArray:
+        """Rows of words to rows of ids."""
+        n, ids = self._found(rows.flatten())
         ends = np.concatenate(([0], np.cumsum(n)))
-        return _lists(ends[_row_ends(rows)], values, rows)
+        return _lists(ends[_row_ends(rows)], pa.array(ids), rows)
+
+    def encode_texts(self, texts: pa.Array, pieces: dict[int, list[str]] | None = None) -> pa.ListArray:
+        """Texts to rows of ids, null for null (``pieces`` as in ``pretokens.words``)."""
+        pieces = pieces or {}
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // self.CHARS, prepend=0)).tolist()  # a text that ends a stretch
+        ends, ids = [np.zeros(1, np.int64)], []
+        for a, b in zip([0, *(c + 1 for c in cuts)], [*(c + 1 for c in cuts), len(texts)]):
+            if a < b:
+                words, at = pretokens.words(texts.slice(a, b - a), self.specials, {i - a: p for i, p in pieces.items() if a <= i < b})
+                n, found = self._found(words)
+                ends.append(ends[-1][-1] + np.concatenate(([0], np.cumsum(n)))[at[1:]])
+                ids.append(found)
+        return _lists(np.concatenate(ends), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), texts)
 
 
 class _Decoder:
@@ -418,9 +521,7 @@ class _Decoder:
         spelled = [(b"" if skip_special_tokens else t.encode("utf-8")) if t in special
                    else b"".join(byte[c] for c in t) if all(c in byte for c in t) else None for t in vocab]
         self.unknown = np.array([x is None for x in spelled], dtype=bool)  # no byte symbols: an error where used
-        self.sizes = np.array([len(x or b"") for x in spelled], dtype=np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.bytes = np.frombuffer(b"".join(x or b"" for x in spelled), np.uint8)
+        self.pieces = pa.array([x or b"" for x in spelled], pa.large_binary())
 
     def decode_lists(self, rows: pa.ListArray) -> pa.Array:
         flat = rows.flatten()
@@ -429,13 +530,22 @@ class _Decoder:
         ids = flat.to_numpy(zero_copy_only=False)
         if len(ids) and self.unknown[ids].any():
             raise KeyError(f"id {ids[self.unknown[ids]][0]} is not spelled in byte symbols")
-        n = self.sizes[ids]
-        data = self.bytes[_spans(self.starts[ids], n)].tobytes()
-        ends = np.concatenate(([0], np.cumsum(n)))[_row_ends(rows)].tolist()
+        if not len(ids):
+            return pa.array([None if x else "" for x in rows.is_null().to_pylist()], pa.string())
+        spelled = self.pieces.take(flat)
+        _, at, data = spelled.buffers()
+        data = bytes(data or b"")
+        ends = np.frombuffer(at, np.int64)[:len(ids) + 1][_row_ends(rows)].tolist()
         null = rows.is_null().to_pylist()
         return pa.array([None if x else data[a:b].decode("utf-8", errors="replace") for a, b, x in zip(ends, ends[1:], null)], pa.string())
 
 
+def _pieces(parts: pa.Array) -> dict[int, list]:
+    """The rows that are not null, by number."""
+    at = np.flatnonzero(parts.is_valid().to_numpy(zero_copy_only=False))
+    return dict(zip(at.tolist(), parts.take(pa.array(at)).to_pylist())) if len(at) else {}
+
+
 def _row_ends(rows: pa.ListArray) -> np.ndarray:
     """Where the rows begin and end in ``rows.flatten()``, from 0; a null row is empty."""
     n = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -189,7 +189,9 @@ def bpe_decode(spark, d):
     m = query_model()
     enc, keep, skip = m.encoder(spark), m.decoder(spark), m.decoder(spark, skip_special_tokens=True)
     ids = doc_chunks(spark, d).select("doc_id", "chunk_id", enc(C.render_pretrain("text")).alias("ids"))
-    return ids.select("doc_id", "chunk_id", keep("ids").alias("kept"), skip("ids").alias("skipped"))
+    # one generated row per row: a text is encoded once, not by each of the decoders
+    ids = ids.select("doc_id", "chunk_id", F.explode(F.array(F.struct("ids"))).alias("r"))
+    return ids.select("doc_id", "chunk_id", keep("r.ids").alias("kept"), skip("r.ids").alias("skipped"))
 
 
 @query("bpe_roundtrip", "Q-1 T-7", _CHUNKS_SQL + "SELECT lang, 1.0 AS roundtrip_rate, count(*) AS n FROM chunks GROUP BY lang")

@@ -157,3 +157,62 @@ def test_words_are_the_splitters(specials):
             words, ends = PT.words(array, specials)
             words = words.to_pylist()
             assert [words[a:b] for a, b in zip(ends, ends[1:])] == [want(x) if x else [] for x in array.to_pylist()]
+
+
+def small_codec(seed=1):
+    r = random.Random(seed)
+    pool, vocab, merges = [*"abc ", "Ã", "©"], [*SPECIAL_TOKENS, *TK.ALPHABET], []
+    pool[3] = TK.BYTE_CHARS[32]
+    for _ in range(40):
+        a, b = r.choice(pool), r.choice(pool)
+        merges.append((a, b))
+        if a + b not in vocab:
+            vocab.append(a + b)
+            pool.append(a + b)
+    return TK._Codec(vocab, merges, SPECIAL_TOKENS)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_new_words_merge_side_by_side(seed):
+    """bpe_decode, bpe_pretrain_rows: all new words of a batch at once, against one word after the other."""
+    r = random.Random(seed)
+    codec = small_codec(seed)
+    words = ["".join(r.choice("aabcé ") for _ in range(r.randrange(0, 90))) for _ in range(400)] + ["<s>"]
+    n, ids = codec._found(pa.array(words, pa.large_string()))
+    ends = np.append(0, np.cumsum(n))
+    assert [tuple(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])] == [codec._word(w) for w in words]
+    codec.WORDS = 3  # forgotten and learnt again
+    assert codec.words_to_ids(words[:20]) == [i for w in words[:20] for i in codec._word(w)]
+
+
+def test_texts_in_stretches_and_in_pieces():
+    codec = small_codec()
+    texts = pa.array(["ab c", None, "", "<s>abc", "é" * 30, "x<s>", "cab"], pa.string())
+    want = codec.encode_texts(texts, {5: ["<s>", "x<s>"]}).to_pylist()
+    assert want[1] is None and want[2] == [] and want[3][0] == 1 and want[5][0] == 1 and want[5].count(1) == 1
+    for chars in (1, 3, 8):
+        codec.CHARS = chars
+        assert codec.encode_texts(texts, {5: ["<s>", "x<s>"]}).to_pylist() == want
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("tables"))
+    texts = ["Hello world, <|im_start|>it is", "", None, "a1 fine " * 90, "été <s></s><<|im_end|>\n\n  x", "don't  we'll"] * 2
+    spark.createDataFrame([(i // 2 if i else None, "en", "web", t) for i, t in enumerate(texts)],
+                          "doc_id long, lang string, source string, text string").repartition(3).write.parquet(f"{d}/documents.parquet")
+    return d
+
+
+def test_decoding_encodes_once(spark, tables):
+    """bpe_decode: each of the two decoders encoded all texts again."""
+    df = all_queries()["bpe_decode"](spark, tables)
+    evals = [x for x in executed(df) if "ArrowEvalPython" in x]
+    assert len([x for x in evals if "_decode(" in x]) == 2 and not [x for x in evals if "_decode(run(" in x]
+    chunks = all_queries()["chunk_text"](spark, tables).collect()
+    plain = [r.text for r in chunks]
+    for t in SPECIAL_TOKENS:
+        plain = [x.replace(t, "") for x in plain]
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(
+        ((r.doc_id, r.chunk_id, "<|im_start|>" + r.text, p) for r, p in zip(chunks, plain)), key=key)
