@@ -62,15 +62,20 @@ def truncate_ids(ids, max_length: int = 512) -> Column:
     return F.slice(col_of(ids), 1, max_length)
 
 
-def pad_ids(ids, max_length: int = 512, pad_id: int = PAD_ID) -> Column:
-    """B-ROW-2: right padding to ``max_length`` (longer input is left as is)."""
-    return let(col_of(ids), lambda v: F.concat(v, F.array_repeat(F.lit(pad_id), F.lit(max_length) - F.size(v))))
+def _once(c, body) -> Column:
+    """``body`` of a column that is named as it is, compiled; of any other bound by ``let``, which is interpreted."""
+    return body(F.col(c)) if isinstance(c, str) else let(c, body)
 
 
-def length_mask(ids, max_length: int = 512) -> Column:
+def pad_ids(ids, max_length: int = 512, pad_id: int = PAD_ID, kind: str = "int") -> Column:
+    """B-ROW-2: right padding to ``max_length`` (longer input is left as is); ``kind`` is the ids' type."""
+    return _once(ids, lambda v: F.concat(v, F.array_repeat(F.lit(pad_id).cast(kind), F.lit(max_length) - F.size(v))))
+
+
+def length_mask(ids, max_length: int = 512, kind: str = "int") -> Column:
     """B-ROW-3: 1 per real token, 0 per padding position, by length only."""
     n = F.size(col_of(ids))
-    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_length) - n))
+    return F.concat(F.array_repeat(F.lit(1).cast(kind), n), F.array_repeat(F.lit(0).cast(kind), F.lit(max_length) - n))
 
 
 def shift(ids, mask) -> tuple[Column, Column, Column]:
@@ -80,9 +85,9 @@ def shift(ids, mask) -> tuple[Column, Column, Column]:
 
     def tail(v):
         return F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0)))
-    x = let(col_of(ids), head).cast("array<bigint>")
-    y = let(col_of(ids), tail).cast("array<bigint>")
-    m = let(col_of(mask), tail).cast("array<bigint>")
+    x = _once(ids, head).cast("array<bigint>")
+    y = _once(ids, tail).cast("array<bigint>")
+    m = _once(mask, tail).cast("array<bigint>")
     return x, y, m
 
 

@@ -32,10 +32,12 @@ def pretrain_rows(df: DataFrame, text: str = "text", encoder: Encoder = I.codepo
     """
     keep = _keep(df, keep)
     enc = df.select(*keep, encoder(C.render_pretrain(F.col(text))).alias("_full"))
-    cut = enc.select(*keep, F.size("_full").alias("n_tokens"), I.truncate_ids("_full", max_length).alias("_ids"))
-    x, y, m = I.shift(I.pad_ids("_ids", max_length, pad_id), I.length_mask("_ids", max_length))
-    return cut.select(*keep, "n_tokens", F.size("_ids").alias("text_len"),
-                      x.alias("X"), y.alias("Y"), m.alias("loss_mask"))
+    # wide numbers before the padding, not after it
+    cut = enc.select(*keep, F.size("_full").alias("n_tokens"), I.truncate_ids("_full", max_length).cast("array<bigint>").alias("_ids"))
+    padded = cut.select(*keep, "n_tokens", F.size("_ids").alias("text_len"), I.pad_ids("_ids", max_length, pad_id, "bigint").alias("_pad"),
+                        I.length_mask("_ids", max_length, "bigint").alias("_mask"))
+    x, y, m = I.shift("_pad", "_mask")
+    return padded.select(*keep, "n_tokens", "text_len", x.alias("X"), y.alias("Y"), m.alias("loss_mask"))
 
 
 def sft_rows(df: DataFrame, messages: str = "messages", encoder: Encoder = I.codepoint_ids,

@@ -222,11 +222,14 @@ def _decoded(rows, dec, *keys):
     # one generated row per row: the arrays are made once, before anything reads them
     made = rows.select(*keys, F.explode(F.array(F.struct("X", "Y", "loss_mask", "text_len"))).alias("r"))
     whole = F.slice(F.concat(F.slice("r.X", 1, 1), "r.Y"), F.lit(1), F.col("r.text_len"))
-    both = F.arrays_zip(F.col("r.Y").alias("y"), F.col("r.loss_mask").alias("m"))
-    marked = F.transform(F.filter(both, lambda p: p["m"] == 1), lambda p: p["y"])
+    # compiled up to the last mark: what a lambda or generator holds is interpreted
+    after = F.array_position(F.reverse("r.loss_mask"), F.lit(1).cast("bigint"))
+    upto = F.when(after > 0, F.size("r.loss_mask") - after + 1).otherwise(0).cast("int")
     # a row that waits for the decoder holds its own ids alone: the padded arrays end here
-    ids = made.select(*keys, F.explode(F.array(F.struct(whole.cast("array<int>").alias("whole"), marked.cast("array<int>").alias("marked")))).alias("d"))
-    return ids.select(*keys, dec("d.whole").alias("rendered"), dec("d.marked").alias("answers"))
+    ids = made.select(*keys, whole.alias("whole"), F.slice("r.Y", F.lit(1), upto).alias("y"), F.slice("r.loss_mask", F.lit(1), upto).alias("m"))
+    ids = ids.select(*keys, F.explode(F.array(F.struct("whole", "y", "m"))).alias("d"))
+    marked = F.filter("d.y", lambda y, i: F.get("d.m", i) == 1)
+    return ids.select(*keys, dec(F.col("d.whole").cast("array<int>")).alias("rendered"), dec(marked.cast("array<int>")).alias("answers"))
 
 
 @query("bpe_pretrain_rows", "B-ROW-7 T-6", _CHUNKS_SQL + """

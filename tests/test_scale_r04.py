@@ -216,3 +216,29 @@ def test_decoding_encodes_once(spark, tables):
     key = lambda x: tuple((v is not None, v) for v in x)
     assert sorted(map(tuple, df.collect()), key=key) == sorted(
         ((r.doc_id, r.chunk_id, "<|im_start|>" + r.text, p) for r, p in zip(chunks, plain)), key=key)
+
+
+def test_padding_is_compiled(spark, tables):
+    """bpe_pretrain_rows: no interpreted lambda, generator or cast holds a padded array."""
+    for line in executed(all_queries()["bpe_pretrain_rows"](spark, tables)):
+        assert not ("lambda" in line and ("loss_mask" in line or ".X" in line or "array_repeat" in line))
+        assert not ("Generate" in line and ("slice(" in line or "concat(" in line))
+    texts = spark.createDataFrame([(0, "abc"), (1, ""), (2, None), (3, "abcdefghij")], "k int, t string")
+    rows = {r.k: tuple(r[c] for c in ("n_tokens", "text_len", "X", "Y", "loss_mask")) for r in B.pretrain_rows(texts, "t", max_length=6, keep=["k"]).collect()}
+    assert rows[0] == (4, 4, [3, 97, 98, 99, 4], [97, 98, 99, 4, 4], [1, 1, 1, 0, 0])
+    assert rows[1] == (1, 1, [3, 4, 4, 4, 4], [4] * 5, [0] * 5) and rows[2][2:4] == (None, None)
+    assert rows[3] == (11, 6, [3, 97, 98, 99, 100], [97, 98, 99, 100, 101], [1] * 5)
+
+
+def test_answers_are_what_the_mask_marks(spark):
+    """bpe_pretrain_rows, bpe_sft_answers: whatever its marks, with ids beyond the last mark left out."""
+    from quire.plans import tokenizer as PLT
+    r = random.Random(2)
+    given = []
+    for i in range(60):
+        y = [r.randrange(100) for _ in range(9)]
+        given.append((i, [1, *y[:-1]], y, [int(r.random() < r.choice([0, 0.3, 1])) for _ in range(9)], r.randrange(0, 10)))
+    df = spark.createDataFrame(given, "k int, X array<long>, Y array<long>, loss_mask array<long>, text_len int")
+    got = {x.k: (x.rendered, x.answers) for x in PLT._decoded(df, lambda c: F.array_join(c, " "), "k").collect()}
+    for k, x, y, m, n in given:
+        assert got[k] == (" ".join(map(str, [x[0], *y][:n])), " ".join(str(a) for a, b in zip(y, m) if b == 1))
