@@ -10,8 +10,8 @@ A round lists the best pairs and cuts the words into stretches in which every ne
 other (``plan_stretches``), down to the last listed pair in the order of the one-at-a-time trainer: count, then
 left id, then right id. That is exact. A pair across a border of a stretch, whatever its symbols were merged from, is
 never more frequent than the unlisted pair that stood there, so it comes later than all listed ones; and
-an occurrence of any other pair lies inside a stretch, where all are counted. The number of pairs listed doubles
-from round to round while the distinct stretches have no more than ``STRETCHES`` symbols, and is halved where
+an occurrence of any other pair lies inside a stretch, where all are counted. Two to four times as many pairs are listed
+from round to round while the distinct stretches have far fewer than ``STRETCHES`` symbols, and half as many where
 they have more; so the driver's share is bounded whatever the corpus, and the words stay where they are. Then
 the blocks' changed words are rewritten in one narrow pass, and only what these words lost and gained is added to
 the counts. The corpus and the unchanged words are never counted again.
@@ -517,7 +517,8 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
         state = blocks_of_strings(state.select("s", "cnt"), wide).checkpoint(eager=True)
     else:
         # the distinct words are few next to the corpus; adaptive execution would pack them into a task or two
-        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        # (tasks go through them block by block, so a few per core do, however many a shuffle has)
+        parts = 2 * spark.sparkContext.defaultParallelism
         state = blocks_of_words(words.select(F.col("word").cast("binary"), F.col("cnt").cast("long")).where(F.octet_length("word") > 1)
                                 .repartition(parts), byte_ids, wide).checkpoint(eager=True)
     counts = changed_pairs(state).groupBy("p").agg(F.sum("c").alias("c")).persist()
@@ -539,7 +540,8 @@ def train(words: DataFrame, vocab: list[str], byte_ids: list[int], vocab_size: i
             a, b, c = pairs[-1]
             made = _Spelled(vocab, index)
             batch = plan_stretches(*found, (-c, a, b) if rest else None, len(vocab), vocab_size - len(vocab), made, min_frequency)
-            listed = min(LISTED, 2 * len(pairs) if len(found[0]) <= STRETCHES // 3 else max(listed // 2, len(pairs)))
+            more = (2 if done < 3 else 4) if len(found[0]) <= STRETCHES // 12 else 2 if len(found[0]) <= STRETCHES // 3 else 1
+            listed = min(LISTED, more * len(pairs))
         else:
             batch = plan_batch(pairs, {}, best[-1]["c"], len(vocab), vocab_size - len(vocab),
                                lambda a, b: index.get(vocab[a] + vocab[b]) if max(a, b) < len(vocab) else None, min_frequency, False)
